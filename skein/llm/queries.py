@@ -5,9 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skein.llm.common import table
+from skein.llm.mixing import TAKEN_SQL
+from skein.llm.url_filter import JUDGE_SQL
+from skein.llm.warc import ROUND_TRIP_SQL
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +42,11 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_near_dup": op9_near_dup}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
+    "op9_near_dup": op9_near_dup,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLE: dict[str, str] = {"op4_mixing": TAKEN_SQL, "op6_warc": ROUND_TRIP_SQL, "op10_url_filter": JUDGE_SQL}
