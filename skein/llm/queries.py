@@ -30,6 +30,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.fingerprints import with_next
+
+    return with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.langid import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.url_filter import judge_urls
 
@@ -46,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_mixing": op4_mixing,
     "op6_warc": op6_warc,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_langid": op8_langid,
     "op9_near_dup": op9_near_dup,
     "op10_url_filter": op10_url_filter,
 }
