@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         )
     )
     # One text of each class that is in a group: the first of those with the least doc_id.
-    texts = docs.join(groups.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    # The members are a share of all documents, so neither side is broadcast at any size.
+    texts = docs.join(groups.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     wanted = placed.join(texts, placed["rep"] == texts["doc_id"]).select("unit", "side", "rep", "text")
     links = wanted.mapInArrow(_sets(shingle), "unit string, side int, rep long, shingles binary").groupBy("unit").applyInPandas(_verify(percent), "a long, b long")
     found = save(components(links, "links"), "components")
