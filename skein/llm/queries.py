@@ -18,6 +18,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.decontam import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import taken
 
@@ -56,6 +68,8 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
+    "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op6_warc": op6_warc,
     "op7_fingerprints": op7_fingerprints,
