@@ -8,6 +8,8 @@
    a passage reaches ``COSINE`` are candidates.
 4. A candidate is confirmed by the longest common subsequence of the passage's words and the text
    around the window, and by that of the passage's answer (its last quarter).
+
+Words are compared in lower case without ASCII punctuation.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.textbatch import Words, text_slices
+from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
-FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 128, 8, 2
+FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 256, 8, 2
 STEP, PASSAGE = 16, 64  # windows are of 2 * STEP words
-COSINE, COMMON, ANSWER = 0.15, 0.6, 0.5
+COSINE, COMMON, ANSWER = 0.2, 0.6, 0.5
+#: Terms in more of the documents weigh nothing, but in passages with fewer than FEW rarer ones.
+MOST_DOCUMENTS, FEW = 0.05, 5
 #: Passages compared at once; a larger benchmark is searched in blocks of so many.
 BLOCK = 20_000
 
@@ -44,7 +48,7 @@ def _cut(items: list[tuple[int, str]]) -> Passages:
     item, first, size, words, at = [], [], [], [], 0
     texts = pa.array([t for _, t in items], pa.large_string())
     for a, _, raw, off in text_slices(texts):
-        w = Words(raw, off)
+        w = Words(raw, off, IS_BREAK)
         for i, n in enumerate(w.count):
             parts = -(-int(n) // PASSAGE)
             for p in range(parts):
@@ -70,7 +74,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for _, _, raw, off in text_slices(batch.column("text")):
-                w = Words(raw, off)
+                w = Words(raw, off, IS_BREAK)
                 code = wanted[_term(w.hash)]
                 hit = code >= 0
                 held = np.unique(w.doc()[hit] * len(terms) + code[hit]) % max(len(terms), 1)
@@ -123,6 +127,8 @@ def latent_basis(benchmark: DataFrame, idf: np.ndarray, terms: np.ndarray, rank:
                 if not len(p.size):
                     continue
                 row, term, weight = _rows(p, idf)
+                heavy = place[term] >= 0
+                row, term, weight = row[heavy], term[heavy], weight[heavy]
                 left = _times(row, place[term], weight, len(p.size), right)
                 if gram:
                     part = left.T @ left
@@ -208,6 +214,7 @@ class Searcher:
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
         for a in range(0, len(open_), 4096):
             cosine = (window[a : a + 4096] @ self.latent.T) / np.maximum(norm[open_[a : a + 4096]], 1e-9)[:, None]
+            around = (-1, -1, frozenset())
             for i, j in np.argwhere(cosine >= COSINE):
                 b = open_[a + i]
                 d = int(block_doc[b])
@@ -216,6 +223,10 @@ class Searcher:
                 at = int(w.first[d] + (b - base[d]) * STEP)
                 lo, hi = max(int(w.first[d]), at - size), min(int(w.first[d + 1]), at + 2 * STEP + size)
                 passage, text = self.passages.words[first : first + size].tolist(), w.hash[lo:hi].tolist()
+                if around[:2] != (lo, hi):
+                    around = (lo, hi, frozenset(text))
+                if sum(x in around[2] for x in passage) < COMMON * size:
+                    continue
                 share = common_words(passage, text) / size
                 if share < COMMON:
                     continue
@@ -226,9 +237,25 @@ class Searcher:
         return [(d, item, *v) for (d, item), v in found.items()]
 
 
+def _needed(common: np.ndarray):
+    """The common terms of passages that have few others."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for frame in frames:
+            p = _cut([(0, t) for t in frame["text"]])
+            for a, n in zip(p.first, p.size, strict=True):
+                own = np.unique(_term(p.words[a : a + n]))
+                if (~common[own]).sum() < FEW:
+                    seen |= set(own[common[own]].tolist())
+        yield pd.DataFrame({"term": sorted(seen)}, dtype="int64")
+
+    return run
+
+
 def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Searcher]:
     """One searcher a block of the benchmark's passages, all over one latent space."""
-    bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
 
     def terms_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -242,6 +269,12 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterat
     df, n = document_frequencies(docs, terms)
     idf = np.full(FEATURES, np.log(1 + n) + 1)
     idf[terms] = np.log((1 + n) / (1 + df)) + 1
+    common = np.zeros(FEATURES, bool)
+    common[terms] = df > MOST_DOCUMENTS * n
+    spared = [r.term for r in bench.mapInPandas(_needed(common), "term long").distinct().collect()]  # at most FEATURES
+    common[spared] = False
+    idf[common] = 0
+    terms = terms[~common[terms]]
     basis = latent_basis(bench, idf, terms, rank)
     place = np.full(FEATURES, -1, np.int32)
     place[terms] = np.arange(len(terms))
@@ -250,6 +283,8 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterat
     def ready(rows: list[tuple[int, str]]) -> Searcher:
         p = _cut(rows)
         row, term, weight = _rows(p, idf)
+        heavy = place[term] >= 0
+        row, term, weight = row[heavy], term[heavy], weight[heavy]
         latent = _times(row, place[term], weight, len(p.size), basis.astype(np.float64))
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         return Searcher(p, place, basis, idf, latent.astype(np.float32))
@@ -272,7 +307,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, passage_share double, answer_share double"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = spark.createDataFrame([], schema)
     for searcher in searchers(rows, benchmark):
         out = out.unionByName(rows.mapInArrow(_run(spark.sparkContext.broadcast(searcher)), schema))
@@ -285,7 +320,7 @@ def _run(shared):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for a, _, raw, off in text_slices(batch.column("text")):
-                hits = searcher.hits(Words(raw, off))
+                hits = searcher.hits(Words(raw, off, IS_BREAK))
                 if hits:
                     columns = [pa.array([ids[a + h[0]] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), *(pa.array([float(h[k]) for h in hits]) for k in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "cosine", "passage_share", "answer_share"])
@@ -296,16 +331,18 @@ def _run(shared):
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``benchmark``, unchanged."""
     spark = docs.sparkSession
-    for searcher in searchers(docs.select("doc_id", "text"), benchmark):
+    schema = docs.schema
+    docs = docs.withColumn("_lower", F.lower("text"))
+    for searcher in searchers(docs.select("doc_id", F.col("_lower").alias("text")), benchmark):
         shared = spark.sparkContext.broadcast(searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, _, raw, off in text_slices(batch.column("text")):
-                    for h in shared.value.hits(Words(raw, off)):
+                for a, _, raw, off in text_slices(batch.column("_lower")):
+                    for h in shared.value.hits(Words(raw, off, IS_BREAK)):
                         keep[a + h[0]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(*[f"`{c}`" for c in schema.names])

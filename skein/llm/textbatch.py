@@ -22,6 +22,9 @@ _POWERS: dict[str, np.ndarray] = {}
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: The same with ASCII punctuation and symbols.
+IS_BREAK = IS_SPACE.copy()
+IS_BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,12 +78,15 @@ def hash_prefix(raw: np.ndarray, table: np.ndarray = _TABLE) -> tuple[np.ndarray
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, with A-Z read as a-z when hashed."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, with A-Z read as a-z when hashed.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    ``breaks`` may name other bytes that part words.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE):
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        solid = ~IS_SPACE[raw]
+        solid = ~breaks[raw]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)

@@ -179,6 +179,14 @@ def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
+_PART = [c.split()[0] for c in _SEGMENT.split(", ")[1:]]
+
+
+def _alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in _parse(frames):
+        yield from _assemble([pd.DataFrame({"parts": [[part] for part in frame[_PART].astype(object).where(frame[_PART].notna(), None).to_dict("records")]})])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, error) of each origin record.
 
@@ -186,11 +194,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     malformed or whose digest differs keeps its row, with ``error`` saying so. A revisit has no
     payload of its own: its payload is null and its payload_bytes 0 until ``resolve`` finds them.
     """
-    # A record's segments are bounded by one page; a hot origin cannot arise.
-    segments = spark.read.option("lineSep", SEPARATOR).text(path).mapInPandas(_parse, _SEGMENT)
-    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct(*[c.split()[0] for c in _SEGMENT.split(", ")[1:]])).alias("parts"))
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
-    return grouped.select("parts").mapInPandas(_assemble, schema)
+    records = spark.read.option("lineSep", SEPARATOR).text(path)
+    segmented = F.contains(F.substring_index("value", "\r\n\r\n", 1), F.lit("WARC-Segment-Number:"))
+    # A record's segments are bounded by one page; a hot origin cannot arise. Records in one piece stay where they are read.
+    segments = records.where(segmented).mapInPandas(_parse, _SEGMENT)
+    grouped = segments.groupBy("origin").agg(F.collect_list(F.struct(*_PART)).alias("parts"))
+    return grouped.select("parts").mapInPandas(_assemble, schema).union(records.where(~segmented).mapInPandas(_alone, schema))
 
 
 def resolve(records: DataFrame) -> DataFrame:
