@@ -6,8 +6,8 @@ and WARC-Segment-Total-Length on the last). It writes through Spark's text sink,
 separator is the record separator, so archives can lie in any store Spark reaches. The reader
 splits archives at record starts (files of any size are split among tasks), groups segments by
 origin identifier, orders them by segment number, verifies the total length, and decodes the
-framing. The writer never lets the record start appear inside a block: it sets a chunk border
-there.
+framing. The writer never lets the record start appear inside a record: it sets a chunk border
+there, and escapes it in a URL.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from skein.llm.common import save, shared_path
 
 START = "WARC/1.1\r\n"
-SEPARATOR = "\r\n\r\n" + START
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 CHUNK = 8192
 SEGMENT = 65536
@@ -78,7 +77,7 @@ def _records(segment: int):
             for row in frame.itertuples(index=False):
                 page = None if pd.isna(row.page_id) else int(row.page_id)
                 me = f"<urn:skein:page:{row.number}>"
-                url = (row.url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
+                url = (row.url or "about:blank").replace("\r", "%0D").replace("\n", "%0A").replace("WARC/", "WARC%2F")
                 common = {"WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": url, "WARC-Payload-Digest": _digest(row.digest)}
                 if row.first_page is not None and not pd.isna(row.first_page) and page != int(row.first_page):
                     block = HTTP
@@ -124,14 +123,13 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for value in frame["value"]:
-            value = value.removeprefix(START)
             head, _, block = value.partition("\r\n\r\n")
             fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n")) if v}
             if "warc-type" not in fields:
                 continue
             body = block.encode("utf-8", "surrogatepass")
             length = int(fields.get("content-length", -1))
-            if len(body) == length + 4 and body.endswith(b"\r\n\r\n"):  # the last record of a file
+            if body.endswith(b"\r\n\r\n"):  # what parts records
                 body = body[:-4]
             number = int(fields.get("warc-segment-number", 1))
             total = fields.get("warc-segment-total-length")
@@ -195,7 +193,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload of its own: its payload is null and its payload_bytes 0 until ``resolve`` finds them.
     """
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
-    records = spark.read.option("lineSep", SEPARATOR).text(path)
+    # Record starts hold no prefix of themselves, so they are found across buffers and splits.
+    records = spark.read.option("lineSep", START).text(path)
     segmented = F.contains(F.substring_index("value", "\r\n\r\n", 1), F.lit("WARC-Segment-Number:"))
     # A record's segments are bounded by one page; a hot origin cannot arise. Records in one piece stay where they are read.
     segments = records.where(segmented).mapInPandas(_parse, _SEGMENT)
