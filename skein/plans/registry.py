@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import lifecycle, retrieval, telemetry, timeline
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "bm25_rank"
+for _module in (retrieval, timeline, lifecycle, telemetry):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
+FLAGSHIP = "hybrid_gated"
