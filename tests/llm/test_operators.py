@@ -1,0 +1,299 @@
+"""The operators against brute force on small fixtures, with nulls, empty and long texts, ties and repeats."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import decontam, fingerprints, langid, mixing, near_dup, pii, quality, suffix_dedup, url_filter, warc
+from skein.llm.common import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+ODD = [(-1, None), (-2, ""), (-3, " \t\n"), (-4, "one"), (-5, "ab" * 3000), (-6, "x y z " * 800), (-7, "x y z " * 800), (None, "no id here at all"), (-8, "é" * 400), (-9, "one")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], real.schema)
+    return real.unionByName(odd).withColumn("key", F.lit("clash")).withColumn("rank", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def shingles(text, k):
+    w = WORD.findall((text or "").translate(ASCII))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def brute_components(rows, k, percent=80):
+    sets = [(i, shingles(t, k)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in parent}
+
+
+def test_near_duplicates_match_brute_force(docs, rows):
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs).collect()}
+    want = brute_components(rows, 4)
+    assert {i: got[i].component_id for i in want} == want
+    assert all(got[i].n_shingles == len(shingles(t, 4)) for i, t in rows)
+    assert all(got[i].kept == (i == want[i]) for i in want) and got[None].kept
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    copies = [(n, " ".join(base[:n] + ["changed"] + base[n + 1 :])) for n in range(0, 60, 3)]
+    frame = spark.createDataFrame(copies, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, 2).collect()}
+    assert got == brute_components(copies, 2)
+
+
+def test_deduplicate_keeps_one_of_each_group_and_all_columns(docs, rows):
+    kept = near_dup.deduplicate(docs, 5)
+    want = brute_components(rows, 5)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i in want if want[i] == i)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert near_dup.near_duplicates(none).count() == 0 and suffix_dedup.remove_repeats(none).count() == 0
+    assert pii.find(none).count() == 0 and mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
+    assert fingerprints.with_next(none).count() == 0 and langid.classify(none).count() == 0
+    assert quality.classify(none, labels).count() == 0
+    assert {r.score for r in quality.classify(docs, labels).collect()} == {0.5}
+    assert decontam.search(docs, bench).count() == 0 and decontam.keep_clean(docs, bench).count() == docs.count()
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(pages).count() == 0 and url_filter.judge_urls(pages).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 9), (9, 8), (5, 5), (None, 4), *((20 + i, 21 + i) for i in range(30))], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{20 + i: 20 for i in range(31)}}
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_repeats_match_brute_force(docs, rows, hot):
+    counts = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        counts.update(b[p : p + 200] for p in range(len(b) - 199))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if counts[b[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for n in (*range(1, 30), 200):
+        x = rng.integers(1, 4, n)
+        assert suffix_dedup.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    def holds(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            total = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d))))
+            return 16 <= len(d) <= 19 and total % 10 == 0
+        return kind != "phone" or 8 <= len(d) <= 15
+
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if holds(k, m.group())]
+
+
+TRICKY = ["a@b.c_d@e.f x@y.z.w 1.2.3.4.5 999.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111-1111-1111-1112 é4111111111111111", "+1 (22) 333-4444 +1 2 +123456789012345678", "1" * 9000, "a." * 4000 + "@x.y", "@@ a@b a@b. a@.b"]
+
+
+def test_personal_data_matches_the_base_patterns(spark, docs):
+    cue = [(-200 - i, f"reach me by e-mail: user{i}@mail{i}.example.org, or e-mail: joe{i} [at] site{i} [dot] org") for i in range(30)]
+    odd = spark.createDataFrame([*((-100 - i, t) for i, t in enumerate(TRICKY)), *cue], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    texts = {r.doc_id: r.text or "" for r in every.collect()}
+    got = {r.doc_id: r for r in pii.find(every).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        want = base_spans(text)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), (i, said)
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(k == x for k, _, _ in want) for x in PATTERNS]
+        assert set(said.split(",")) - {""} <= set(got[i].spans.split(","))
+    assert all(got[i].spans.count("email") == 2 for i, _ in cue)  # the obfuscated one is discovered
+    clean = pii.redact(every.where("doc_id IN (-200, -3)"))
+    assert {r.doc_id: r.text for r in clean.collect()}[-3] == " \t\n" and "user0" not in {r.doc_id: r.text for r in clean.collect()}[-200]
+
+
+def test_decontamination_finds_planted_items_only(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "")], "item_id long, text string"))
+    items = [r for r in bench.where("length(text) > 50").orderBy("item_id").collect()]
+    filler = "zarbo plint quavex morit dunsk velpar " * 30
+    words = items[1].text.split()
+    paraphrase = " ".join(w if n % 6 else "changed" for n, w in enumerate(words))
+    plant = [(-301, f"{filler}{items[0].text} {filler}"), (-302, f"{filler}{paraphrase} {filler}"), (-303, filler), (-304, items[2].text.upper()), (-305, " ".join(items[3].text.split()[:4]) + filler)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(plant, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontam.search(every, bench).collect()}
+    assert {(-301, items[0].item_id), (-302, items[1].item_id), (-304, items[2].item_id)} <= got
+    assert not {i for i, _ in got} & {-303, -305}
+    exact = {(i, b.item_id) for i, t in [(r.doc_id, r.text) for r in docs.collect()] for b in items if t and b.text in t}
+    assert exact <= got
+    kept = {r.doc_id for r in decontam.keep_clean(every, bench).collect()}
+    assert kept == {r.doc_id for r in every.collect()} - {i for i, _ in got}
+
+
+def test_common_words_is_the_longest_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 4, 12).tolist(), rng.integers(0, 4, 20).tolist()
+        table = np.zeros((13, 21), int)
+        for i in range(12):
+            for j in range(20):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert decontam.common_words(a, b) == table[-1, -1]
+
+
+def test_quality_learns_the_labels(docs, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    real = docs.where("doc_id >= 0")
+    got = {r.doc_id: r for r in quality.classify(real, labels).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    right = [got[r.doc_id].predicted == r.quality for r in labels.collect()]
+    assert np.mean(right) > 0.9
+    assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels).collect())
+
+
+def test_languages_are_told_apart(docs):
+    got = {r.doc_id: r for r in langid.classify(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.where("lang IS NOT NULL").collect()}
+    held = [i for i in truth if got[i].held_out]
+    assert np.mean([got[i].lang_pred == truth[i] for i in held]) > 0.95
+    assert got[-1].lang_pred == got[-2].lang_pred == got[-3].lang_pred == "und"
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in truth)
+
+
+def test_code_lengths_are_those_of_a_code():
+    symbol = np.zeros(256, np.uint8)
+    symbol[[10, 97, 98, 99]] = [1, 2, 3, 4]
+    model = langid.train([b"abcabcabca", b"cab"], symbol)
+    assert np.allclose(np.exp2(-model.bits).sum(1), 1)
+
+
+def test_fingerprints_estimate_likeness(docs):
+    got = [r for r in fingerprints.with_next(docs).collect()]
+    order = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in docs.collect()))
+    by_id = {r.doc_id if r.doc_id is not None else -(1 << 63): r for r in got}
+    errors = []
+    for k, (i, text) in enumerate(order):
+        nxt, h = order[(k + 1) % len(order)][1], len(text) // 2
+        edited, r = text[: len(text) - h] + nxt[:h], by_id[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for near, other in ((r.near_edited, edited), (r.near_next, nxt)):
+            a, b = shingles(text, 5), shingles(other, 5)
+            errors.append(near - (len(a & b) / len(a | b) if a | b else 1.0))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+    same = collections.defaultdict(set)
+    for r in got:
+        same[dict(order)[r.doc_id if r.doc_id is not None else -(1 << 63)]].add(r.fingerprint)
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_mixing_meets_its_targets(docs):
+    got = mixing.taken(docs).collect()
+    assert len(got) == docs.count() and sorted(map(str, got)) == sorted(map(str, mixing.taken(docs).collect()))
+    sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
+    assert all(r.size == sizes[r.doc_id] and r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in got)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.taken // r.size for r in got if r.size) + mixed.where("text IS NULL OR trim(text) = ''").count()
+
+
+def test_one_source_takes_what_it_has(spark):
+    frame = spark.createDataFrame([(1, "a b c", "s"), (2, "d", "t"), (3, None, None)], "doc_id long, text string, source string")
+    got = {r.source: r for r in mixing.source_targets(frame).collect()}
+    assert [got[k].target for k in ("s", "t", None)] == pytest.approx([1.0, 3.0, 0.0])
+
+
+def test_warc_round_trip(spark):
+    long = "<p>WARC/1.1\r\n\r\nWARC/1.1\r\né</p>" * 9000
+    pages = [(5, "http://a/WARC/1.1", "x" * 200), (3, None, "x" * 200), (4, "u\r\nv", "x" * 99), (6, "u", "x" * 99), (7, "u", long), (8, "u", None), (9, "u", "\r\n\r\n"), (2, "u", long), (None, "u", "x" * 200), (3, "u", "x" * 200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.round_trip(frame, segment=50000).collect()), key=str)
+    want = []
+    for i, _, html in pages:
+        b = (html or "").encode()
+        first = min((j for j, _, h in pages if j is not None and h == html), default=None) if len(b) >= 100 else None
+        revisit = i is not None and first is not None and i != first
+        want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=str)
+
+
+def test_warc_reports_what_is_broken(spark, tmp_path):
+    path = f"file://{tmp_path}/broken"
+    warc.write_warc(spark.createDataFrame([(1, "u", "abc" * 9000)], "page_id long, url string, html string"), path, segment=5000)
+    text = "".join(p.read_bytes().decode() for p in (tmp_path / "broken").glob("part-*"))
+    parts = text.split(warc.START)
+    (tmp_path / "cut.warc").write_bytes(warc.START.join(parts[:3] + parts[4:]).encode())
+    assert [r.error for r in warc.read_warc(spark, f"file://{tmp_path}/cut.warc").collect()] == ["segments missing"]
+    with pytest.raises(ValueError):
+        warc.dechunk(b"5\r\nab\r\n0\r\n\r\n")
+
+
+def test_urls_against_brute_force(spark):
+    urls = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?q#f", "http://www.example.com/en/", "https://a.www.example.com/en/y", "http://b.net/es/", "http://net/fr/z", "http://net/fr", "http://com", "http://com/", "http://xcom/", "http://x.com?/", "x://y://z.com/en/", "http://notexample.com/en/"]
+    real = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    frame = spark.createDataFrame(list(enumerate(urls + real)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    for r in url_filter.judge_urls(frame).collect():
+        url = (urls + real)[r.page_id]
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group().translate(ASCII)
+        path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+        fits = [x for x in url_filter.RULES if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])]
+        best = max(fits, key=lambda x: len(x[0] + x[1]), default=None)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best[0] + best[1], best[2] if best else "allow")
+
+
+def test_digest_collisions_are_told_apart(tmp_path):
+    at = f"{tmp_path}/r-"
+    same = lambda b: len(b) % 2
+    url_filter.DigestArray.write([("a", "/", "block"), ("bb", "/", "allow"), ("ccc", "/x", "block")], at, same)
+    rules = url_filter.DigestArray(at)
+    hits = rules.find([b"bb\0/", b"a\0/", b"ccc\0/x", b"zz\0/"], same)
+    assert [h >= 0 for h in hits] == [True, True, True, False] and len(set(hits[:3])) == 3
