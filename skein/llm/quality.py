@@ -43,7 +43,7 @@ def _per(flags: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+    return np.divide(a, b, out=np.zeros(len(b)), where=b > 0)  # counts of nothing are whole numbers
 
 
 def _logit(p: np.ndarray) -> np.ndarray:

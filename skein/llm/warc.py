@@ -79,7 +79,7 @@ def _records(segment: int):
                 me = f"<urn:skein:page:{row.number}>"
                 url = (row.url or "about:blank").replace("\r", "%0D").replace("\n", "%0A").replace("WARC/", "WARC%2F")
                 common = {"WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": url, "WARC-Payload-Digest": _digest(row.digest)}
-                if row.first_page is not None and not pd.isna(row.first_page) and page != int(row.first_page):
+                if page is not None and not pd.isna(row.first_page) and page != int(row.first_page):
                     block = HTTP
                     fields = {"WARC-Type": "revisit", "WARC-Record-ID": me, "Page-ID": page} | common
                     fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page-ID": int(row.first_page)}

@@ -242,13 +242,16 @@ def test_mixing_meets_its_targets(docs):
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
     assert all(r.size == sizes[r.doc_id] and r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in got)
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.taken // r.size for r in got if r.size) + mixed.where("text IS NULL OR trim(text) = ''").count()
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.taken // r.size for r in got if r.size) + mixed.where(mixing.word_count(F.col("text")) == 0).count()
 
 
 def test_one_source_takes_what_it_has(spark):
     frame = spark.createDataFrame([(1, "a b c", "s"), (2, "d", "t"), (3, None, None)], "doc_id long, text string, source string")
     got = {r.source: r for r in mixing.source_targets(frame).collect()}
-    assert [got[k].target for k in ("s", "t", None)] == pytest.approx([1.0, 3.0, 0.0])
+    assert [got[k].target for k in ("s", "t", None)] == pytest.approx([4 / 3, 8 / 3, 0.0])
+    frame = spark.createDataFrame([(1, "a b c d e f g h", "s"), (2, "d", "t")], "doc_id long, text string, source string")
+    got = {r.source: r for r in mixing.source_targets(frame).collect()}
+    assert [got[k].target for k in ("s", "t")] == pytest.approx([6.0, 3.0])  # t stops at three times its size
 
 
 def test_warc_round_trip(spark):
