@@ -76,9 +76,9 @@ def portrait_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(QUERIES, ORACLE, f"WITH {_FACTS} SELECT srcip, ts::DATE AS day, count(*) AS flows, sum(sent)::BIGINT AS sent FROM f GROUP BY 1, 2")
+@register(QUERIES, ORACLE, f"WITH {_FACTS} SELECT srcip, strftime(ts, '%Y-%m-%d') AS day, count(*) AS flows, sum(sent)::BIGINT AS sent FROM f GROUP BY 1, 2")
 def portrait_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).groupBy("srcip", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("flows"), F.sum("sent").alias("sent"))
+    return _facts(spark, sf_dir).groupBy("srcip", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("flows"), F.sum("sent").alias("sent"))
 
 
 @register(QUERIES, ORACLE, f"WITH {_FACTS} SELECT srcip, hour(ts)::INT AS hour, count(*) AS flows FROM f GROUP BY 1, 2")
