@@ -166,3 +166,52 @@ def test_streams(spark, tmp_path):
     query = source.writeStream.foreachBatch(jobs.project(f"{tmp_path}/index", "k", "id")).option("checkpointLocation", f"{tmp_path}/p").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.k, r.id) for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [("a", 5), ("b", 4)]
+
+
+def test_versions(spark, tmp_path):
+    from skein.sources import versions
+
+    path = f"{tmp_path}/log"
+    frame = lambda *rows: spark.createDataFrame(list(rows), "memory_id string, text string")
+    assert versions.append(frame(("a", "x"), ("b", "y")), path, "memory_id") == 2
+    assert versions.append(frame(("a", "x"), ("b", "z"), ("c", None)), path, "memory_id") == 2
+    log = spark.read.parquet(path)
+    assert {r.memory_id: (r.text, r.version) for r in versions.current(log, "memory_id").collect()} == {"a": ("x", 1), "b": ("z", 2), "c": (None, 1)}
+    stale = spark.createDataFrame([("b", 1)], "memory_id string, version long")
+    with pytest.raises(versions.Conflict):
+        versions.append(frame(("b", "w")), path, "memory_id", stale)
+    with pytest.raises(ValueError):
+        versions.append(frame(("b", "w"), ("b", "v")), path, "memory_id")
+    first = [r.event_offset for r in versions.events_after(log, 0, 2).collect()]
+    assert first == sorted(first) and versions.events_after(log, first[-1], 10).count() == 2
+    versions.save_snapshot(log, f"{tmp_path}/snap")
+    assert versions.load_snapshot(spark, f"{tmp_path}/snap").count() == 4
+    log.limit(1).write.mode("append").parquet(f"{tmp_path}/snap/data")
+    with pytest.raises(ValueError):
+        versions.load_snapshot(spark, f"{tmp_path}/snap")
+
+
+def test_approximate_search_finds_most(spark):
+    from skein.plans import knowledge as plans
+
+    assert plans.vector_recall(spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+def test_consensus_fails_closed(spark):
+    from skein.operators import knowledge
+
+    votes = spark.createDataFrame([(1, "s"), (1, "s"), (1, "u"), (2, "s"), (2, "u"), (3, "u")], "claim_id int, label string")
+    got = {r.claim_id: (r.verdict, r.disputed) for r in knowledge.consensus(votes).collect()}
+    assert got == {1: ("s", False), 2: ("insufficient", True), 3: ("u", False)}
+
+
+def test_tiered_retrieval_walks_links(spark):
+    from skein.operators import knowledge
+
+    rows = [("m1", ["disk"], ["h"], ["m2", "gone"], False), ("m2", ["fan"], [], ["m3"], False), ("m3", ["fan"], [], [], False), ("m4", ["disk"], ["h"], [], True)]
+    cols = "memory_id string, tokens array<string>, asset_ids array<string>, links array<string>, quarantined boolean"
+    more = {"tier": F.lit("episodic"), "strength": F.lit(1.0), "importance": F.lit(0.0), "confidence": F.lit(1.0), "insertion_order": F.monotonically_increasing_id()}
+    records = spark.createDataFrame(rows, cols).withColumns(more)
+    asked = spark.createDataFrame([(1, ["disk"], ["h"])], "query_id long, tokens array<string>, assets array<string>")
+    got = {r.memory_id: r.hop for r in knowledge.tiered(records, asked, per_tier=9).collect()}
+    assert got == {"m1": 0, "m2": 1, "m3": 2}
