@@ -163,10 +163,10 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     QUERIES,
     ORACLE,
-    """SELECT l_shipmode AS purpose, l_returnflag AS model, count(*) AS calls, sum(l_quantity)::DOUBLE AS tokens, round(sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 0.002 WHEN 'R' THEN 0.004 ELSE 0.001 END), 4)::DOUBLE AS cost
-    FROM lineitem GROUP BY GROUPING SETS ((l_shipmode), (l_returnflag), ())""",
+    """SELECT l_linestatus AS purpose, l_returnflag AS model, count(*) AS calls, sum(l_quantity)::DOUBLE AS tokens, round(sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 0.002 WHEN 'R' THEN 0.004 ELSE 0.001 END), 4)::DOUBLE AS cost
+    FROM lineitem GROUP BY GROUPING SETS ((l_linestatus), (l_returnflag), ())""",
 )
 def spend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_shipmode").alias("purpose"), F.col("l_returnflag").alias("model"), F.col("l_quantity").cast("double").alias("q"))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("purpose"), F.col("l_returnflag").alias("model"), F.col("l_quantity").cast("double").alias("q"))
     rate = F.when(F.col("model") == "A", 0.002).when(F.col("model") == "R", 0.004).otherwise(0.001)
     return rows.withColumn("c", F.col("q") * rate).groupingSets([["purpose"], ["model"], []], "purpose", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("q").alias("tokens"), F.round(F.sum("c"), 4).alias("cost"))

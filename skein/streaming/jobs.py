@@ -22,10 +22,10 @@ def rates(events: DataFrame, key: str, ts: str, every: str = "1 minute", late: s
     return events.withWatermark(ts, late).groupBy(key, F.window(ts, every).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def confirmations(events: DataFrame, key: str, ts: str, flag: str, streak: int = 3, cooldown_seconds: float = 600) -> DataFrame:
+def confirmations(events: DataFrame, key: str, ts: str, flag: str, streak: int = 3, cooldown_seconds: float = 600, late: str = "30 seconds") -> DataFrame:
     """(key, at, streak): a key whose flag held ``streak`` times in a row, at most once a cooldown.
 
-    State is two numbers a key; it ends after a day without rows.
+    State is two numbers a key; it ends once the watermark is a day past the key's last row.
     """
 
     def run(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -41,11 +41,11 @@ def confirmations(events: DataFrame, key: str, ts: str, flag: str, streak: int =
             state.remove()
         else:
             state.update((n, last))
-            state.setTimeoutDuration(86_400_000)
+            state.setTimeoutTimestamp(int(max(at * 1000, state.getCurrentWatermarkMs())) + 86_400_000)
         yield pd.DataFrame(out, columns=[key, "at", "streak"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at timestamp, streak int", "n int, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(ts, late).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at timestamp, streak int", "n int, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def project(index: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
