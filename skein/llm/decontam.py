@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import small_batches
 from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
 FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 256, 8, 2
@@ -255,6 +256,7 @@ def _needed(common: np.ndarray):
 
 def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Searcher]:
     """One searcher a block of the benchmark's passages, all over one latent space."""
+    small_batches(docs.sparkSession)
     bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
 
     def terms_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, save
+from skein.llm.common import components, save, small_batches
 from skein.llm.textbatch import Words, distinct, mix, text_slices
 
 BANDS, ROWS = 24, 4
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     members are null; it is kept when its component_id is null too. Only doc_id and text are read,
     so further columns of any name are harmless. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = save(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"), "sketch")
     classes = save(

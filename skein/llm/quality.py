@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import save, small_batches
 from skein.llm.textbatch import Words, distinct, mix, text_slices
 
 FEATURES = (
@@ -110,6 +111,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_describe, "doc_id long, stats array<double>")
 
 
@@ -187,6 +189,7 @@ def keep_good(docs: DataFrame, model: Discriminant | None, threshold: float = 0.
     """The rows of ``docs`` that score at least ``threshold``, unchanged; all of them where there is no model."""
     if model is None:
         return docs
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +209,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts are scored by the statistics of no words. A null doc_id is not held out.
     """
-    from skein.llm.common import save
-
     stats = save(describe(docs), "stats")
     scored = score(stats, fit(stats, teachers(labels)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

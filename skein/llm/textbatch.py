@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20260901).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
