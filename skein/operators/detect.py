@@ -59,9 +59,29 @@ def failed_logins(logins: DataFrame, least: int = 20) -> DataFrame:
     return _finding(logins.where("NOT ok").groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "login_bruteforce", "srcip", "high", 0.95, F.col("n"))
 
 
+def contradicted_owners(neighbours: DataFrame, leases: DataFrame) -> DataFrame:
+    """Addresses that several machines answer for, or one that never leased them although others did."""
+    known = leases.select("ip", F.lower("mac").alias("mac")).distinct()
+    seen = neighbours.select("ip", F.lower("mac").alias("mac")).distinct().join(known.withColumn("_known", F.lit(1)), ["ip", "mac"], "left")
+    owners = seen.groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.count("_known").alias("k"))
+    held = owners.join(known.select("ip").distinct().withColumn("_leased", F.lit(True)), "ip", "left").where("n > 1 OR (_leased AND k = 0)")
+    return _finding(held, "duplicate_ip_static", "ip", "critical", F.when(F.col("n") > 1, 0.98).otherwise(0.9), F.col("n"))
+
+
+def pool_pressure(stats: DataFrame, share: float = 0.8) -> DataFrame:
+    """Pools whose latest row (pool, at, total, used) has at least ``share`` of its addresses in use; empty pools tell nothing."""
+    last = stats.groupBy("pool").agg(F.max_by(F.struct("total", "used"), "at").alias("s")).select("pool", F.try_divide("s.used", "s.total").alias("u"), "s.total")
+    return _finding(last.where((F.col("total") > 0) & (F.col("u") >= share)), "pool_pressure", "pool", "high", 0.9, F.round("u", 3))
+
+
+def session_clashes(clashes: DataFrame, least: int = 10) -> DataFrame:
+    """Sources of at least ``least`` clashing sessions."""
+    return _finding(clashes.groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "session_tuple_clash", "srcip", "medium", 0.75, F.col("n"))
+
+
 def report(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
     """All findings, the worst first: severity, confidence, fault, subject."""
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    rank = F.when(F.col("severity") == "critical", -1).when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     every = reduce(DataFrame.unionByName, parts).orderBy(rank, F.desc("confidence"), "fault", "subject")
     return every if limit is None else every.limit(limit)
 
@@ -76,4 +96,4 @@ def address_space(leases: DataFrame, neighbours: DataFrame) -> DataFrame:
     return cells.join(held, "ip", "left").join(seen, "ip", "left").select("segment", "cell", state.alias("state"))
 
 
-DETECTORS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (duplicate_leases, churning_leases, many_addresses, random_machines, unmanaged, failed_logins)}
+DETECTORS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (duplicate_leases, churning_leases, many_addresses, random_machines, unmanaged, failed_logins, contradicted_owners, pool_pressure, session_clashes)}

@@ -150,6 +150,26 @@ def address_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.address_space(_leases(spark, sf_dir), _facts(spark, sf_dir).select(F.col("srcip").alias("ip")))
 
 
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH n AS (SELECT DISTINCT '10.0.0.' || (user_id % 50) AS ip, '00:' || (user_id % 100) AS mac FROM events WHERE event_type = 'view'),
+    l AS (SELECT DISTINCT '10.0.0.' || (user_id % 50) AS ip, '00:' || (user_id % 150) AS mac FROM events WHERE event_type = 'click'),
+    c AS (SELECT n.ip, count(*) AS n, count(l.mac) AS known, bool_or(n.ip IN (SELECT ip FROM l)) AS leased FROM n LEFT JOIN l ON n.ip = l.ip AND n.mac = l.mac GROUP BY n.ip),
+    s AS (SELECT event_type AS pool, floor(value) / 50 AS u FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)
+    SELECT 'duplicate_ip_static' AS fault, ip AS subject, 'critical' AS severity, (CASE WHEN n > 1 THEN 0.98 ELSE 0.9 END)::DOUBLE AS confidence, n::DOUBLE AS measured FROM c WHERE n > 1 OR (leased AND known = 0)
+    UNION ALL SELECT 'pool_pressure', pool, 'high', 0.9, round(u, 3) FROM s WHERE u >= 0.2
+    UNION ALL SELECT 'session_tuple_clash', '10.0.0.' || (user_id % 50), 'medium', 0.75, count(*) FROM events WHERE event_type = 'error' GROUP BY 2 HAVING count(*) >= 10""",
+)
+def owner_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    ip, machine = F.concat(F.lit("10.0.0."), F.col("user_id") % 50), lambda m: F.concat(F.lit("00:"), F.col("user_id") % m).alias("mac")
+    neighbours, leases = e.where("event_type = 'view'").select(ip.alias("ip"), machine(100)), e.where("event_type = 'click'").select(ip.alias("ip"), machine(150))
+    stats = e.select(F.col("event_type").alias("pool"), F.struct("ts", "event_id").alias("at"), F.lit(50).alias("total"), F.floor("value").alias("used"))
+    clashes = e.where("event_type = 'error'").select(ip.alias("srcip"))
+    return detect.report([detect.contradicted_owners(neighbours, leases), detect.pool_pressure(stats, 0.2), detect.session_clashes(clashes)])
+
+
 @register(QUERIES, ORACLE)
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.html_blocks(load(spark, sf_dir, "pages"))

@@ -215,3 +215,17 @@ def test_tiered_retrieval_walks_links(spark):
     asked = spark.createDataFrame([(1, ["disk"], ["h"])], "query_id long, tokens array<string>, assets array<string>")
     got = {r.memory_id: r.hop for r in knowledge.tiered(records, asked, per_tier=9).collect()}
     assert got == {"m1": 0, "m2": 1, "m3": 2}
+
+
+def test_owner_detectors(spark):
+    from skein.operators import detect
+
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "ip string, mac string")
+    leases = pairs(("a", "M1"), ("b", "m2"), ("d", "m9"))
+    seen = pairs(("a", "m1"), ("a", "M1"), ("b", "m3"), ("c", "m4"), ("d", "m9"), ("d", "m5"))
+    assert {(r.subject, r.confidence) for r in detect.contradicted_owners(seen, leases).collect()} == {("b", 0.9), ("d", 0.98)}
+    assert detect.contradicted_owners(pairs(("a", "m1")).where("false"), leases).count() == 0
+    stats = spark.createDataFrame([("p", 1, 10, 1), ("p", 2, 10, 8), ("q", 1, 0, 5), ("r", 1, 10, 9), ("r", 2, 10, 7)], "pool string, at long, total long, used long")
+    assert [(r.subject, r.measured) for r in detect.pool_pressure(stats).collect()] == [("p", 0.8)]
+    clashes = spark.createDataFrame([("x",)] * 10 + [("y",)] * 9, "srcip string")
+    assert [(r.subject, r.measured) for r in detect.session_clashes(clashes).collect()] == [("x", 10.0)]
