@@ -2,10 +2,10 @@
 
 1. Benchmark items are cut into passages. Document frequencies of their words are counted over
    all documents; passages become TF-IDF vectors over hashed terms.
-2. A randomised SVD of the passages, whose products with the sketch are summed from tasks, gives
-   a latent basis of fixed rank.
-3. Each document's overlapping windows are folded into the latent space; windows whose cosine to
-   a passage reaches ``COSINE`` are candidates.
+2. A randomised SVD of each block of at most ``RANK`` passages gives its latent basis. The sketch
+   is wider than the block has passages, so the basis holds every passage whole.
+3. Each document's overlapping windows are folded into the latent space of each block; windows
+   whose cosine to a passage reaches ``COSINE`` are candidates.
 4. A candidate is confirmed by the longest common subsequence of the passage's words and the text
    around the window, and by that of the passage's answer (its last quarter).
 
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from skein.llm.common import small_batches
 from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
-FEATURES, RANK, OVERSAMPLE, POWER = 1 << 16, 256, 8, 2
+FEATURES, RANK, OVERSAMPLE = 1 << 16, 256, 8
 STEP, PASSAGE = 16, 64  # windows are of 2 * STEP words
 COSINE, COMMON, ANSWER = 0.2, 0.6, 0.5
 #: Terms in more of the documents weigh nothing, but in passages with fewer than FEW rarer ones.
 MOST_DOCUMENTS, FEW = 0.05, 5
-#: Passages compared at once; a larger benchmark is searched in blocks of so many.
-BLOCK = 20_000
+#: Passages searched in one pass over the documents, in blocks of RANK; a larger benchmark takes more passes.
+PASS = 2048
 
 
 @dataclass
@@ -101,61 +101,31 @@ def _rows(p: Passages, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, term, weight / np.maximum(norm[row], 1e-12)
 
 
-def _times(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, right: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, right.shape[1]))
-    np.add.at(out, row, weight[:, None] * right[term])
-    return out
+@dataclass
+class Block:
+    """The passages ``first`` .. ``first + len(latent)``, in a latent space of their own."""
 
+    first: int
+    place: np.ndarray
+    basis: np.ndarray
+    latent: np.ndarray
 
-def latent_basis(benchmark: DataFrame, idf: np.ndarray, terms: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors, as rows of ``terms``, of the TF-IDF matrix of all passages.
 
-    Tasks multiply their own passages with the sketch; only (terms x sketch) sums meet.
-    """
-    width = rank + OVERSAMPLE
-    place = np.full(FEATURES, -1, np.int64)
+def latent_block(p: Passages, idf: np.ndarray, a: int, b: int) -> Block:
+    """Right singular vectors of the TF-IDF matrix of the passages ``a`` .. ``b``, and those passages in them."""
+    lo, hi = int(p.first[a]), int(p.first[b - 1] + p.size[b - 1])
+    row, term, weight = _rows(Passages(p.item[a:b], p.first[a:b] - lo, p.size[a:b], p.words[lo:hi]), idf)
+    row, term, weight = row[weight > 0], term[weight > 0], weight[weight > 0]
+    terms, code = np.unique(term, return_inverse=True)
+    matrix = np.zeros((b - a, len(terms)))
+    matrix[row, code] = weight
+    sketch = np.random.default_rng(11).standard_normal((b - a, b - a + OVERSAMPLE))
+    range_, _ = np.linalg.qr(matrix.T @ sketch)
+    _, values, vectors = np.linalg.svd(matrix @ range_, full_matrices=False)
+    basis = range_ @ vectors[values > 1e-6].T
+    place = np.full(FEATURES, -1, np.int32)
     place[terms] = np.arange(len(terms))
-
-    def product(right: np.ndarray, gram: bool) -> np.ndarray:
-        """A'(A right), or (A right)'(A right)."""
-        shared = benchmark.sparkSession.sparkContext.broadcast((right, idf, place))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            right, idf, place = shared.value
-            total = None
-            for frame in frames:
-                p = _cut([(int(i), t) for i, t in zip(frame["item_id"], frame["text"], strict=True)])
-                if not len(p.size):
-                    continue
-                row, term, weight = _rows(p, idf)
-                heavy = place[term] >= 0
-                row, term, weight = row[heavy], term[heavy], weight[heavy]
-                left = _times(row, place[term], weight, len(p.size), right)
-                if gram:
-                    part = left.T @ left
-                else:
-                    part = np.zeros(right.shape)
-                    np.add.at(part, place[term], weight[:, None] * left[row])
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
-
-        parts = benchmark.select("item_id", "text").mapInPandas(run, "i long, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
-        sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("v")).select("i", F.col("v.v").alias("v"))
-        out = np.zeros((width if gram else len(terms), width))
-        for r in sums.collect():  # at most FEATURES rows of ``width`` numbers
-            out[r.i] = r.v
-        return out
-
-    sketch = np.random.default_rng(11).standard_normal((len(terms), width))
-    for _ in range(POWER):
-        sketch, _ = np.linalg.qr(product(sketch, False))
-        if sketch.shape[1] < width:
-            sketch = np.pad(sketch, ((0, 0), (0, width - sketch.shape[1])))
-    values, vectors = np.linalg.eigh(product(sketch, True))
-    order = np.argsort(-values)[:rank]
-    order = order[values[order] > 1e-9]
-    return (sketch @ vectors[:, order]).astype(np.float32)
+    return Block(a, place, basis.astype(np.float32), (matrix @ basis).astype(np.float32))
 
 
 def common_words(passage: list[int], text: list[int]) -> int:
@@ -174,10 +144,8 @@ def common_words(passage: list[int], text: list[int]) -> int:
 @dataclass
 class Searcher:
     passages: Passages
-    place: np.ndarray
-    basis: np.ndarray
     idf: np.ndarray
-    latent: np.ndarray
+    blocks: list[Block]
 
     def hits(self, w: Words) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the passage, share of the answer), one for each confirmed pair."""
@@ -192,14 +160,6 @@ class Searcher:
         term = _term(w.hash)
         weight = self.idf[term].astype(np.float32)
         energy = np.bincount(block, weight * weight, base[-1])
-        code = self.place[term]
-        hit = np.flatnonzero(code >= 0)
-        if not len(hit):
-            return []
-        own = block[hit]
-        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        folded = np.zeros((base[-1] + 1, self.basis.shape[1]), np.float32)
-        folded[own[start]] = np.add.reduceat(self.basis[code[hit]] * weight[hit, None], start, axis=0)
         # A window is a block and the next one of the same text.
         next_ = np.arange(1, base[-1] + 1)
         last = np.zeros(base[-1], bool)
@@ -208,33 +168,42 @@ class Searcher:
         norm = np.sqrt(energy + np.where(last, 0, np.r_[energy, 0][next_]))
         # The last block alone would repeat the window before it.
         block_doc = np.repeat(np.arange(len(blocks)), blocks)
-        open_ = np.flatnonzero(~last | (blocks[block_doc] == 1))
-        window = folded[open_] + folded[next_[open_]]
-        open_keep = np.einsum("ij,ij->i", window, window) >= (COSINE * norm[open_]) ** 2
-        open_, window = open_[open_keep], window[open_keep]
+        whole = np.flatnonzero(~last | (blocks[block_doc] == 1))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for a in range(0, len(open_), 4096):
-            cosine = (window[a : a + 4096] @ self.latent.T) / np.maximum(norm[open_[a : a + 4096]], 1e-9)[:, None]
-            around = (-1, -1, frozenset())
-            for i, j in np.argwhere(cosine >= COSINE):
-                b = open_[a + i]
-                d = int(block_doc[b])
-                first, size = int(self.passages.first[j]), int(self.passages.size[j])
-                key = (d, int(self.passages.item[j]))
-                at = int(w.first[d] + (b - base[d]) * STEP)
-                lo, hi = max(int(w.first[d]), at - size), min(int(w.first[d + 1]), at + 2 * STEP + size)
-                passage, text = self.passages.words[first : first + size].tolist(), w.hash[lo:hi].tolist()
-                if around[:2] != (lo, hi):
-                    around = (lo, hi, frozenset(text))
-                if sum(x in around[2] for x in passage) < COMMON * size:
-                    continue
-                share = common_words(passage, text) / size
-                if share < COMMON:
-                    continue
-                answer = passage[-max(1, size // 4) :]
-                told = common_words(answer, text) / len(answer)
-                if told >= ANSWER and (key not in found or (share, told) > found[key][1:]):
-                    found[key] = (float(cosine[i, j]), share, told)
+        for part in self.blocks:
+            code = part.place[term]
+            hit = np.flatnonzero(code >= 0)
+            if not len(hit):
+                continue
+            own = block[hit]
+            start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            folded = np.zeros((base[-1] + 1, part.basis.shape[1]), np.float32)
+            folded[own[start]] = np.add.reduceat(part.basis[code[hit]] * weight[hit, None], start, axis=0)
+            window = folded[whole] + folded[next_[whole]]
+            near = np.einsum("ij,ij->i", window, window) >= (COSINE * norm[whole]) ** 2
+            open_, window = whole[near], window[near]
+            for a in range(0, len(open_), 4096):
+                cosine = (window[a : a + 4096] @ part.latent.T) / np.maximum(norm[open_[a : a + 4096]], 1e-9)[:, None]
+                around = (-1, -1, frozenset())
+                for i, j in np.argwhere(cosine >= COSINE):
+                    b = open_[a + i]
+                    d = int(block_doc[b])
+                    first, size = int(self.passages.first[part.first + j]), int(self.passages.size[part.first + j])
+                    key = (d, int(self.passages.item[part.first + j]))
+                    at = int(w.first[d] + (b - base[d]) * STEP)
+                    lo, hi = max(int(w.first[d]), at - size), min(int(w.first[d + 1]), at + 2 * STEP + size)
+                    passage, text = self.passages.words[first : first + size].tolist(), w.hash[lo:hi].tolist()
+                    if around[:2] != (lo, hi):
+                        around = (lo, hi, frozenset(text))
+                    if sum(x in around[2] for x in passage) < COMMON * size:
+                        continue
+                    share = common_words(passage, text) / size
+                    if share < COMMON:
+                        continue
+                    answer = passage[-max(1, size // 4) :]
+                    told = common_words(answer, text) / len(answer)
+                    if told >= ANSWER and (key not in found or (share, told) > found[key][1:]):
+                        found[key] = (float(cosine[i, j]), share, told)
         return [(d, item, *v) for (d, item), v in found.items()]
 
 
@@ -254,8 +223,8 @@ def _needed(common: np.ndarray):
     return run
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Searcher]:
-    """One searcher a block of the benchmark's passages, all over one latent space."""
+def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
+    """One searcher for each ``PASS`` passages of the benchmark; the passages of one item are never parted."""
     small_batches(docs.sparkSession)
     bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
 
@@ -276,27 +245,20 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterat
     spared = [r.term for r in bench.mapInPandas(_needed(common), "term long").distinct().collect()]  # at most FEATURES
     common[spared] = False
     idf[common] = 0
-    terms = terms[~common[terms]]
-    basis = latent_basis(bench, idf, terms, rank)
-    place = np.full(FEATURES, -1, np.int32)
-    place[terms] = np.arange(len(terms))
     part: list[tuple[int, str]] = []
+    held = 0
 
     def ready(rows: list[tuple[int, str]]) -> Searcher:
         p = _cut(rows)
-        row, term, weight = _rows(p, idf)
-        heavy = place[term] >= 0
-        row, term, weight = row[heavy], term[heavy], weight[heavy]
-        latent = _times(row, place[term], weight, len(p.size), basis.astype(np.float64))
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        return Searcher(p, place, basis, idf, latent.astype(np.float32))
+        return Searcher(p, idf, [latent_block(p, idf, a, min(a + RANK, len(p.size))) for a in range(0, len(p.size), RANK)])
 
     for r in bench.toLocalIterator():
         part.append((r.item_id, r.text))
-        if len(part) == BLOCK:
+        held += len(_cut(part[-1:]).size)
+        if held >= PASS:
             yield ready(part)
-            part = []
-    if part:
+            part, held = [], 0
+    if held:
         yield ready(part)
 
 

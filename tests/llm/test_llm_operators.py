@@ -180,6 +180,22 @@ def test_decontamination_finds_planted_items_only(spark, docs):
     assert kept == {r.doc_id for r in every.collect()} - {i for i, _ in got}
 
 
+def planted(seed, n_items, size, changed):
+    """(benchmark rows, document rows) of random words: each document holds the item of its number, every ``changed``-th word anew."""
+    rng = np.random.default_rng(seed)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 20000, size))) for i in range(n_items)]
+    filler = lambda: " ".join(f"f{x}" for x in rng.integers(0, 10**6, 60))
+    alter = lambda t: " ".join("changed" if changed and k % changed == 2 else w for k, w in enumerate(t.split()))
+    return items, [(i, f"{filler()} {alter(t)} {filler()}") for i, t in items]
+
+
+def test_decontamination_by_more_passages_than_the_rank(spark):
+    items, plant = planted(7, 2000, 16, 4)
+    plant = plant[::25]
+    got = {(r.doc_id, r.item_id) for r in decontam.search(spark.createDataFrame(plant, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in plant}
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
