@@ -238,7 +238,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
     if not len(terms):
         return
     df, n = document_frequencies(docs, terms)
-    idf = np.full(FEATURES, np.log(1 + n) + 1)
+    idf = np.zeros(FEATURES)  # words outside the benchmark weigh nothing, whatever the number of documents
     idf[terms] = np.log((1 + n) / (1 + df)) + 1
     common = np.zeros(FEATURES, bool)
     common[terms] = df > MOST_DOCUMENTS * n

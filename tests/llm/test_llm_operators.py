@@ -8,11 +8,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, fingerprints, langid, mixing, near_dup, pii, quality, suffix_dedup, url_filter, warc
 from skein.llm.common import components
+from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,6 +198,20 @@ def test_decontamination_by_more_passages_than_the_rank(spark):
     assert got == {(i, i) for i, _ in plant}
 
 
+@pytest.mark.parametrize("n", [1_000, 500_000])
+def test_decontamination_does_not_depend_on_the_number_of_documents(spark, n):
+    items = [(i, " ".join(f"w{i + 80 * k}" for k in range(12))) for i in range(80)]
+    # Each word of the benchmark is in 1 % of the documents.
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 9), k -> concat('w', id % 100 + 100 * k)), ' ')").alias("text"))
+    filler = " ".join(f"f{k}" for k in range(64))
+    copies = [f"{filler} {' '.join('changed' if k % 3 == 0 else w for k, w in enumerate(t.split()))} {filler}" for _, t in items]
+    found = set()
+    for searcher in decontam.searchers(docs, spark.createDataFrame(items, "item_id long, text string")):
+        for a, _, raw, off in text_slices(pa.array(copies)):
+            found |= {(a + h[0], h[1]) for h in searcher.hits(Words(raw, off, IS_BREAK))}
+    assert found == {(i, i) for i, _ in items}
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
