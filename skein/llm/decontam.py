@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items are cut into passages. Document frequencies of their words are counted over
+1. Benchmark items are cut into passages of at most ``PASSAGE`` words; between two of them lies one
+   more, from the middle of the one to the middle of the other. Document frequencies of their words are counted over
    all documents; passages become TF-IDF vectors over hashed terms.
 2. A randomised SVD of each block of at most ``RANK`` passages gives its latent basis. The sketch
    is wider than the block has passages, so the basis holds every passage whole.
 3. Each document's overlapping windows are folded into the latent space of each block; windows
    whose cosine to a passage reaches ``COSINE`` are candidates.
 4. A candidate is confirmed by the longest common subsequence of the passage's words and the text
-   around the window, and by that of the passage's answer (its last quarter).
+   around the window: at ``WHOLE`` of the passage by that alone, at ``COMMON`` if that of its answer
+   (its last quarter) reaches ``ANSWER`` too.
 
 Words are compared in lower case without ASCII punctuation.
 """
@@ -28,7 +30,7 @@ from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
 FEATURES, RANK, OVERSAMPLE = 1 << 16, 256, 8
 STEP, PASSAGE = 16, 64  # windows are of 2 * STEP words
-COSINE, COMMON, ANSWER = 0.2, 0.6, 0.5
+COSINE, COMMON, ANSWER, WHOLE = 0.2, 0.6, 0.5, 0.8
 #: Terms in more of the documents weigh nothing, but in passages with fewer than FEW rarer ones.
 MOST_DOCUMENTS, FEW = 0.05, 5
 #: Passages searched in one pass over the documents, in blocks of RANK; a larger benchmark takes more passes.
@@ -52,8 +54,8 @@ def _cut(items: list[tuple[int, str]]) -> Passages:
         w = Words(raw, off, IS_BREAK)
         for i, n in enumerate(w.count):
             parts = -(-int(n) // PASSAGE)
-            for p in range(parts):
-                lo, hi = p * n // parts, (p + 1) * n // parts
+            for p in range(max(0, 2 * parts - 1)):
+                lo, hi = p * n // (2 * parts), (p + 2) * n // (2 * parts)
                 item.append(items[a + i][0])
                 first.append(at)
                 size.append(hi - lo)
@@ -202,7 +204,7 @@ class Searcher:
                         continue
                     answer = passage[-max(1, size // 4) :]
                     told = common_words(answer, text) / len(answer)
-                    if told >= ANSWER and (key not in found or (share, told) > found[key][1:]):
+                    if (told >= ANSWER or share >= WHOLE) and (key not in found or (share, told) > found[key][1:]):
                         found[key] = (float(cosine[i, j]), share, told)
         return [(d, item, *v) for (d, item), v in found.items()]
 

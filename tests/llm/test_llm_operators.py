@@ -212,6 +212,16 @@ def test_decontamination_does_not_depend_on_the_number_of_documents(spark, n):
     assert found == {(i, i) for i, _ in items}
 
 
+def test_decontamination_finds_excerpts_across_cuts_and_copies_without_an_end(spark):
+    long, short = [f"a{k}" for k in range(128)], [f"b{k}" for k in range(59)]
+    filler = " ".join(f"f{k}" for k in range(80))
+    parts = {1: long[26:119], 2: long[:64], 3: short[:50], 4: short[:40], 5: long[10:35]}
+    docs = spark.createDataFrame([(i, f"{filler} {' '.join(p)} {filler}") for i, p in parts.items()] + [(100 + i, filler) for i in range(100)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect())
+    assert got == [(1, 1), (2, 1), (3, 2)]  # the fourth lacks the answer, the fifth is a short phrase
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
