@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import components, save, small_batches
@@ -79,7 +79,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, own = batch.column("doc_id"), batch.column("key")
             for a, b, raw, off in text_slices(batch.column("text")):
                 doc, h = distinct(*Words(raw, off).shingles(k))
                 n = b - a
@@ -98,13 +98,14 @@ def _sketch(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, n),
+                        own.slice(a, n),
                         pa.array(count.astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDS), n, [None, pa.py_buffer(low)]).cast(pa.binary()),
                         pa.ListArray.from_arrays(pa.array(lens), pa.array(keys[some].ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sig", "keys"],
+                    names=["doc_id", "key", "n_shingles", "set_a", "set_b", "sig", "keys"],
                 )
 
     return run
@@ -235,6 +236,11 @@ def _verify(percent: int):
     return run
 
 
+def _key(docs: DataFrame) -> Column:
+    """doc_id, or a 64-bit hash of the text where it is null."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.lit("text"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     """Components of near duplicates: (doc_id, n_shingles, component_id, kept), one row a row of ``docs``.
 
@@ -242,20 +248,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     shingles (A-Z read as a-z; a shorter text is one shingle). Null and empty texts have empty
     sets and no links. A component's id is the least doc_id in it; rows that share a doc_id count
     as one document. A null doc_id takes part through its text but names no component unless all
-    members are null; it is kept when its component_id is null too. Only doc_id and text are read,
+    members are null; of those the rows of one text are kept. Only doc_id and text are read,
     so further columns of any name are harmless. An empty table gives an empty result.
     """
+    return _marked(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The result of ``near_duplicates`` and each row's ``_key``."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = save(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(docs).alias("key"), F.col("text").cast("string").alias("text"))
+    sketch = save(docs.mapInArrow(_sketch(shingle), "doc_id long, key long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"), "sketch")
     classes = save(
-        sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes"
+        sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes"
     )
-    # A class of null ids only, or two classes with one id, need a node each of their own in the buckets.
-    reps = classes.where("rep IS NOT NULL")
-    exploded = reps.select("rep", F.explode("keys").alias("key"))
+    exploded = classes.select("rep", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = exploded.join(shared, "key").join(reps.select("rep", "sig"), "rep")
+    members = exploded.join(shared, "key").join(classes.select("rep", "sig"), "rep")
     ties = members.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_groups(["rep", "sig"], _maybe), "a long, b long")
     groups = save(components(ties, "ties"), "groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
@@ -270,30 +279,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             (F.col("block") > F.col("other")).cast("int").alias("side"),
         )
     )
-    # One text of each class that is in a group: the first of those with the least doc_id.
+    # One text of each class that is in a group: the first of those with the least doc_id, or key.
     # The members are a share of all documents, so neither side is broadcast at any size.
-    texts = docs.join(groups.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    wanted = placed.join(texts, placed["rep"] == texts["doc_id"]).select("unit", "side", "rep", "text")
+    texts = docs.join(groups.select(F.col("node").alias("key")).hint("merge"), "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    wanted = placed.join(texts, placed["rep"] == texts["key"]).select("unit", "side", "rep", "text")
     links = wanted.mapInArrow(_sets(shingle), "unit string, side int, rep long, shingles binary").groupBy("unit").applyInPandas(_verify(percent), "a long, b long")
     found = save(components(links, "links"), "components")
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("named"))
-    named = named.withColumnRenamed("set_a", "class_a").withColumnRenamed("set_b", "class_b")
+    if classes.where("id IS NULL").isEmpty():
+        found = found.withColumn("name", F.col("component"))
+    else:  # the least node may stand for a null id
+        names = found.join(classes.select("rep", "id"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("id").alias("name"))
+        found = found.join(names, "component").select("node", F.coalesce("name", "component").alias("component"), "name")
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
+        F.col("set_a").alias("class_a"), F.col("set_b").alias("class_b"), F.coalesce("component", "rep").alias("head"), F.coalesce("name", "id").alias("named")
+    )
     joined = sketch.join(named, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("class_a")) & (F.col("set_b") == F.col("class_b")), "left")
-    component = F.coalesce("named", "doc_id").alias("component_id")
-    return joined.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A null id that is a near copy of a row with an id has that id's key as its head.
+    kept = (F.col("key") == F.coalesce("head", "key")) & F.col("doc_id").eqNullSafe(F.coalesce("named", "doc_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"), kept.alias("kept"), "key")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: that with the least doc_id.
 
-    Rows that repeat a kept doc_id stay only once (the first by text). Columns stay as they are.
+    Rows that repeat a kept doc_id stay only once (the first by text). A component of null ids
+    alone keeps one row; null ids without words all stay. Columns stay as they are.
     """
-    marked = near_duplicates(docs, shingle, percent)
-    drop = save(marked.where("NOT kept").select(F.col("doc_id").cast("long").alias("_drop")).distinct(), "dropped")
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
-    again = save(marked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    marked = _marked(docs, shingle, percent)
+    drop = save(marked.where("NOT kept").select(F.col("key").alias("_drop")).distinct(), "dropped")
+    kept = docs.join(drop, _key(docs) == F.col("_drop"), "left_anti")
+    again = save(marked.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again")), "again")
     if again.isEmpty():
         return kept
-    single = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    repeated = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in kept.columns if c != "doc_id"])).alias("_row"))
+    single = kept.join(again, _key(kept) == F.col("_again"), "left_anti")
+    repeated = kept.join(again, _key(kept) == F.col("_again"), "left_semi").groupBy("doc_id", _key(kept)).agg(F.min(F.struct(*[c for c in kept.columns if c != "doc_id"])).alias("_row"))
     return single.unionByName(repeated.select("doc_id", *[F.col(f"_row.`{c}`").alias(c) for c in kept.columns if c != "doc_id"]).select(*kept.columns))

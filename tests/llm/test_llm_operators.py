@@ -80,6 +80,19 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(docs, rows):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_deduplicate_with_null_ids(spark):
+    text = lambda c, n=40: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, text("a")), (None, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " more"), (None, text("d")), (7, text("d") + " more"), (None, ""), (None, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = [(r.doc_id, r.text) for r in near_dup.deduplicate(frame).select("doc_id", "text").collect()]
+    of_c = [(i, t) for i, t in kept if t and t.startswith("c")]
+    assert len(of_c) == 1 and of_c[0][0] is None
+    assert sorted(map(str, set(kept) - set(of_c))) == sorted(map(str, {(1, text("a")), (None, text("b")), (7, text("d") + " more"), (None, ""), (None, None)}))
+    assert len(kept) == 7
+    marked = near_dup.near_duplicates(frame, 5).collect()
+    assert sorted((r.component_id for r in marked if r.component_id is not None)) == [1, 1, 1, 7, 7]
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
