@@ -14,7 +14,10 @@ its grams (its anchor), and equal strings share their anchor's hash.
    128-bit hash with map-side combining.
 4. The intervals of each text are united, and its remaining bytes digested.
 
-Texts are known by a 64-bit hash; equal texts are one, and repeated as a whole.
+Texts are known by 120 bits of their SHA-256, windows by two 64-bit hashes beside their anchor's;
+equal texts are one, and repeated as a whole. An anchor, window or text that holds a large share of
+all rows is dealt over several tasks. Spans go back to one task a text: a text and its spans are
+bounded by the text.
 """
 
 from __future__ import annotations
@@ -28,14 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import save
-from skein.llm.textbatch import hash_prefix, mix, powers, text_slices
+from skein.llm.common import hot_keys, save, small_batches, spread_join
+from skein.llm.textbatch import OTHER, hash_prefix, mix, text_slices
 
 LENGTH, GRAM = 200, 32
 HOT = 20_000
 #: Bytes of windows per suffix array.
 ARRAY_BYTES = 2 << 20
 _POSITION = np.uint64((1 << 28) - 1)
+SEGMENT = 1 << 27
+
+
+def _ranked(keys: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """One integer a row, in the order of the rows of ``keys`` (non-negative, below ``width``)."""
+    if width ** len(keys) < 1 << 63:
+        code = keys[0]
+        for k in keys[1:]:
+            code = code * width + k
+        return code
+    order = np.lexsort(keys[::-1])
+    new = np.concatenate([[True], np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])])
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new)
+    return code
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -47,10 +65,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     # Positions 1 modulo 3, then 2 modulo 3; a dummy closes the first part.
     one = np.arange(1, n + (n % 3 == 1), 3)
     sample = np.concatenate([one, np.arange(2, n, 3)])
-    width = int(s.max()) + 1
-    order = np.lexsort((s[sample + 2], s[sample] * width + s[sample + 1]))
-    a, b, c = s[sample[order]], s[sample[order] + 1], s[sample[order] + 2]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+    code = _ranked((s[sample], s[sample + 1], s[sample + 2]), int(s.max()) + 1)
+    order = np.argsort(code)
+    new = np.concatenate([[True], code[order[1:]] != code[order[:-1]]])
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
     if not new.all():
@@ -59,19 +76,18 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sa12] = np.arange(1, len(sa12) + 1)
     sa12 = sa12[sa12 < n]
-    big = np.int64(n + 3)
+    width = max(int(s.max()), n) + 3
     sa0 = np.arange(0, n, 3)
-    key0 = s[sa0] * big + rank[sa0 + 1]
-    by = np.argsort(key0, kind="stable")
+    key0 = _ranked((s[sa0], rank[sa0 + 1]), width)
+    by = np.argsort(key0)
     sa0, key0 = sa0[by], key0[by]
     # How many of the remaining suffixes stand before each sampled one.
     before = np.empty(len(sa12), np.int64)
     first = sa12 % 3 == 1
     j = sa12[first]
-    before[first] = np.searchsorted(key0, s[j] * big + rank[j + 1])
+    before[first] = np.searchsorted(key0, _ranked((s[j], rank[j + 1]), width)) if width**2 < 1 << 63 else _before((s[sa0], rank[sa0 + 1]), (s[j], rank[j + 1]), width)
     j = sa12[~first]
-    pairs, code = np.unique(np.concatenate([s[sa0] * width + s[sa0 + 1], s[j] * width + s[j + 1]]), return_inverse=True)
-    before[~first] = np.searchsorted(code[: len(sa0)] * big + rank[sa0 + 2], code[len(sa0) :] * big + rank[j + 2])
+    before[~first] = _before((s[sa0], s[sa0 + 1], rank[sa0 + 2]), (s[j], s[j + 1], rank[j + 2]), width)
     out = np.empty(n, np.int64)
     at = np.arange(len(sa12)) + before
     out[at] = sa12
@@ -81,6 +97,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _before(own: tuple[np.ndarray, ...], asked: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """How many of the sorted rows ``own`` are less than each row ``asked``."""
+    code = _ranked(tuple(np.concatenate(pair) for pair in zip(own, asked, strict=True)), width)
+    return np.searchsorted(code[: len(own[0])], code[len(own[0]) :])
+
+
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each ``w`` consecutive values."""
     n = len(x)
@@ -91,6 +113,15 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def _least_grams(grams: np.ndarray, w: int) -> np.ndarray:
+    """For each run of ``w`` grams the position of that with the least hash (the first of equal ones)."""
+    out = []
+    for a in range(0, len(grams) - w + 1, SEGMENT):  # positions take the low bits, so a segment is bounded
+        part = grams[a : a + SEGMENT + w - 1]
+        out.append((_sliding_least((part & ~_POSITION) | np.arange(len(part), dtype=np.uint64), w) & _POSITION).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, hash, prefix hashes) of the anchors of a slice: each string of ``length`` bytes holds one."""
     h, down = hash_prefix(raw)
@@ -99,9 +130,9 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
     if n_grams < w:
         return none, none, none.astype(np.uint64), h
     grams = mix((h[gram:] - h[:-gram]) * down[:n_grams])
-    least = _sliding_least((grams & ~_POSITION) | np.arange(n_grams, dtype=np.uint64), w)
+    least = _least_grams(grams, w)
     ends = np.repeat(off[1:], np.diff(off))[: len(least)]
-    at = np.unique((least[np.arange(len(least)) + length <= ends] & _POSITION).astype(np.int64))
+    at = np.unique(least[np.arange(len(least)) + length <= ends])
     if not len(at):
         return none, none, none.astype(np.uint64), h
     doc = np.searchsorted(off, at, "right") - 1
@@ -118,23 +149,27 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
     return doc[keep], at[keep], g[keep], h
 
 
+def _hashes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the strings lo..hi; ``h`` are the prefix hashes of the first."""
+    other, down = hash_prefix(raw, OTHER)
+    size = (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return tuple(mix((x[hi] - x[lo]) * down[lo] + size).view(np.int64) for x in (h, other))
+
+
 def _emit(length: int, gram: int):
     left = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for a, _, raw, off in text_slices(batch.column("text")):
+            for a, b, raw, off in text_slices(batch.column("text")):
                 doc, at, g, h = anchors(raw, off, length, gram)
                 if not len(at):
                     continue
                 lo, hi = np.maximum(at - left, off[doc]), np.minimum(at + length, off[doc + 1])
-                down = powers(len(raw) + 1)[1]
-                window = mix((h[hi] - h[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(window.view(np.int64)), pa.array(keys[a + doc]), pa.array((lo - off[doc]).astype(np.int32)), pa.array((hi - off[doc]).astype(np.int32))],
-                    names=["anchor", "window", "key", "lo", "hi"],
-                )
+                window = _hashes(raw, lo, hi, h)
+                own = [batch.column(k).slice(a, b - a).take(pa.array(doc)) for k in ("k1", "k2")]
+                columns = [pa.array(g.view(np.int64)), *map(pa.array, window), *own, pa.array((lo - off[doc]).astype(np.int32)), pa.array((hi - off[doc]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "w1", "w2", "k1", "k2", "lo", "hi"])
 
     return run
 
@@ -170,21 +205,21 @@ def repeated_starts(windows: list[bytes], place: np.ndarray, many: np.ndarray, l
     return own[hit], offset[hit]
 
 
-def _origin(key: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return mix(key.view(np.uint64)) + lo.astype(np.uint64)
+def _origin(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix(k1.view(np.uint64) ^ mix(k2.view(np.uint64))) + lo.astype(np.uint64)
 
 
 def _resolve(length: int):
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        key, lo, many = frame["key"].to_numpy(np.int64), frame["lo"].to_numpy(np.int64), frame["many"].to_numpy(bool)
-        own, offset = repeated_starts(list(frame["bytes"]), _origin(key, lo), many, length)
+        k1, k2, lo, many = frame["k1"].to_numpy(np.int64), frame["k2"].to_numpy(np.int64), frame["lo"].to_numpy(np.int64), frame["many"].to_numpy(bool)
+        own, offset = repeated_starts(list(frame["bytes"]), _origin(k1, k2, lo), many, length)
         open_ = ~many[own]
         own, offset = own[open_], offset[open_]
         order = np.lexsort((offset, own))
         own, start = own[order], offset[order]
         cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (start[1:] - start[:-1] > length)]) if len(own) else np.zeros(0, np.int64)
         last = np.r_[cut[1:], len(own)] - 1 if len(cut) else cut
-        return pd.DataFrame({"key": key[own[cut]], "a": lo[own[cut]] + start[cut], "b": lo[own[last]] + start[last] + length}, dtype="int64")
+        return pd.DataFrame({"k1": k1[own[cut]], "k2": k2[own[cut]], "a": lo[own[cut]] + start[cut], "b": lo[own[last]] + start[last] + length}, dtype="int64")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -212,7 +247,7 @@ def _resolve(length: int):
 
 
 def _strings(length: int):
-    """Every string of a window of a hot anchor, by two hashes."""
+    """Every string of each window, by two hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -221,11 +256,9 @@ def _strings(length: int):
                 n = len(raw) - length + 1
                 if n <= 0:
                     continue
-                h, down = hash_prefix(raw)
-                x = (h[length:] - h[:-length]) * down[:n]
-                h, down = hash_prefix(raw ^ np.uint8(0x5A))
-                y = (h[length:] - h[:-length]) * down[:n]
-                yield pd.DataFrame({"x": mix(x).view(np.int64), "y": mix(y).view(np.int64), "many": r.many, "key": r.key, "a": r.lo + np.arange(n)})
+                at = np.arange(n)
+                x, y = _hashes(raw, at, at + length, hash_prefix(raw)[0])
+                yield pd.DataFrame({"x": x, "y": y, "many": r.many, "k1": r.k1, "k2": r.k2, "a": r.lo + at})
 
     return run
 
@@ -233,7 +266,7 @@ def _strings(length: int):
 def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
-        for key, text, spans in zip(frame["key"], frame["text"], frame["spans"], strict=True):
+        for k1, k2, text, spans in zip(frame["k1"], frame["k2"], frame["text"], frame["spans"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
             end = -1
@@ -247,36 +280,50 @@ def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 end = max(end, b)
                 at = end
             kept.update(data[at:])
-            out.append((key, removed, runs, kept.hexdigest()))
-        yield pd.DataFrame(out, columns=["key", "removed", "runs", "kept"])
+            out.append((k1, k2, removed, runs, kept.hexdigest()))
+        yield pd.DataFrame(out, columns=["k1", "k2", "removed", "runs", "kept"])
+
+
+KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, sha, k1, k2): the first 128 bits of a text's SHA-256 tell texts apart."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    part = lambda a: F.conv(F.substring("sha", a, 15), 16, 10).cast("long")
+    return rows.select("doc_id", "text", "sha", part(1).alias("k1"), part(16).alias("k2"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(key, a, b) spans covered by repeated strings, and (key, text) of the texts that have candidates.
+    """(k1, k2, a, b) spans covered by repeated strings, and (k1, k2, text) of the texts that have candidates.
 
-    ``texts`` are (key, text) rows, equal texts having equal keys; strings repeated only between
+    ``texts`` are (k1, k2, text) rows, equal texts having equal keys; strings repeated only between
     equal texts are not looked for.
     """
-    found = save(texts.mapInArrow(_emit(length, gram), "anchor long, window long, key long, lo int, hi int"), "anchors")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    small_batches(texts.sparkSession)
+    found = save(texts.mapInArrow(_emit(length, gram), "anchor long, w1 long, w2 long, k1 long, k2 long, lo int, hi int"), "anchors")
+    again = save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    often = hot_keys(again, ["anchor"], found.count())
     # Shares of the anchors and of the texts, so no side is broadcast at any size.
-    candidates = save(found.join(again.hint("merge"), "anchor", "left_semi"), "candidates")
-    place = F.struct("key", "lo", "hi")
-    windows = candidates.groupBy("anchor", "window").agg(F.min(place).alias("p"), F.max(place).alias("q"))
-    windows = save(windows.select("anchor", "window", "p.key", "p.lo", "p.hi", (F.col("p") != F.col("q")).alias("many")), "windows")
-    whole = candidates.join(windows.where("many").select("anchor", "window"), ["anchor", "window"], "left_semi").where(F.col("hi") - F.col("lo") >= length)
-    groups = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("many").alias("settled")).where("kinds > 1 AND NOT settled")
-    work = windows.join(groups.select("anchor", "kinds"), "anchor")
-    held = save(texts.join(candidates.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "held")
+    candidates = save(spread_join(found, again.select("anchor"), ["anchor"], often, "left_semi"), "candidates")
+    place = F.struct("k1", "k2", "lo", "hi")
+    windows = candidates.groupBy("anchor", "w1", "w2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count(F.lit(1)).alias("n"))
+    windows = save(windows.select("anchor", "w1", "w2", "p.k1", "p.k2", "p.lo", "p.hi", "n", (F.col("p") != F.col("q")).alias("many")), "windows")
+    window = ["anchor", "w1", "w2"]
+    whole = spread_join(candidates.where(F.col("hi") - F.col("lo") >= length), windows.where("many").select(*window), window, hot_keys(windows.where("many"), window, candidates.count()), "left_semi")
+    groups = save(windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("many").alias("settled")).where("n > 1 AND NOT settled"), "groups")
+    work = spread_join(windows.drop("n"), groups.select("anchor", F.col("n").alias("kinds")), ["anchor"], hot_keys(groups, ["anchor"], windows.count()))
+    held = save(texts.join(candidates.select(*KEY).distinct().hint("merge"), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text")), "held")
     cut = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo"))
-    filled = save(work.join(held, "key").select("anchor", "kinds", "many", "key", "lo", cut.alias("bytes")), "filled")
-    some = filled.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_resolve(length), "key long, a long, b long")
-    spans = whole.select("key", F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b")).union(some)
+    filled = save(work.join(held, KEY).select("anchor", "kinds", "many", *KEY, "lo", cut.alias("bytes")), "filled")
+    some = filled.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_resolve(length), "k1 long, k2 long, a long, b long")
+    spans = whole.select(*KEY, F.col("lo").cast("long").alias("a"), F.col("hi").cast("long").alias("b")).union(some)
     if not filled.where(F.col("kinds") > hot).isEmpty():
-        strings = save(filled.where(F.col("kinds") > hot).mapInPandas(_strings(length), "x long, y long, many boolean, key long, a long"), "strings")
-        origin = F.struct("key", "a")
-        twice = strings.groupBy("x", "y").agg(F.min(origin).alias("p"), F.max(origin).alias("q"), F.max("many").alias("m")).where("m OR p <> q")
-        spans = spans.union(strings.join(twice, ["x", "y"], "left_semi").select("key", "a", (F.col("a") + length).alias("b")))
+        strings = save(filled.where(F.col("kinds") > hot).mapInPandas(_strings(length), "x long, y long, many boolean, k1 long, k2 long, a long"), "strings")
+        origin = F.struct(*KEY, "a")
+        counted = save(strings.groupBy("x", "y").agg(F.min(origin).alias("p"), F.max(origin).alias("q"), F.max("many").alias("m"), F.count(F.lit(1)).alias("n")).where("m OR p <> q"), "twice")
+        held_again = spread_join(strings, counted.select("x", "y"), ["x", "y"], hot_keys(counted, ["x", "y"], strings.count()), "left_semi")
+        spans = spans.union(held_again.select(*KEY, "a", (F.col("a") + length).alias("b")))
     return spans, held
 
 
@@ -287,14 +334,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     same or another row, is removed; strings do not cross rows and are judged on the input. Null
     texts are empty. Repeated rows repeat each other. Further columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    sums = save(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sums")
-    spans, held = repeated_spans(rows.where(F.octet_length("text") >= length).select("key", "text"), length, gram, hot)
-    listed = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    cut = save(held.join(listed, "key").select("key", "text", "spans").mapInPandas(_finish, "key long, removed long, runs int, kept string"), "cut")
-    twice = save(sums.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_twice")), "twice")
-    all_ = sums.join(twice, F.col("key") == F.col("_twice"), "left").join(cut, "key", "left")
-    gone = F.col("_twice").isNotNull() & (F.col("n_bytes") >= length)
+    rows = keyed(docs)
+    sums = save(rows.select(F.col("doc_id").cast("long").alias("doc_id"), *KEY, F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "sums")
+    spans, held = repeated_spans(rows.where(F.octet_length("text") >= length).select(*KEY, "text"), length, gram, hot)
+    listed = spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    cut = save(held.join(listed, KEY).select(*KEY, "text", "spans").mapInPandas(_finish, "k1 long, k2 long, removed long, runs int, kept string"), "cut")
+    counts = save(sums.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "counts")
+    own = counts.join(cut, KEY, "left")
+    all_ = spread_join(sums, own, KEY, hot_keys(counts, KEY, counts.agg(F.sum("n")).first()[0] or 0))
+    gone = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     return all_.select(
         "doc_id",
         "n_bytes",

@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20260901).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
+#: A second table, for hashes of 128 bits.
+OTHER = np.random.default_rng(20260903).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = np.random.default_rng(20260902).integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS: dict[str, np.ndarray] = {}
 
