@@ -1,183 +1,155 @@
 """Language identification by prediction by partial matching.
 
 For each language the byte contexts of up to ORDER bytes seen in its training text form a
-variable-order context tree. A byte's code length under a context is that of escape method C with
-exclusion: count / (total + kinds) if the context has seen it, else the escape kinds / (total +
-kinds) and the code of the next shorter context over the bytes not excluded, down to a uniform
-code. The statistics are frozen after training, so the code length of every byte in every kept
-context is computed once into a table; a text's code length is then one look-up a byte and
-language. The language with the shortest code wins.
+variable-order context tree, kept whole over all 256 bytes. A byte's code length under a context is
+that of escape method C with exclusion: count / (total + kinds) if the context has seen it, else the
+escape kinds / (total + kinds) and the code of the next shorter context over the bytes not excluded,
+down to a uniform code. The statistics are frozen after training: what an escape from a context
+costs, its renormalisation over the bytes that are left included, is one number a context, so a
+code length is a sum over at most ORDER + 1 look-ups. Each distinct run of ORDER + 1 bytes of a
+slice is looked up once. The language with the shortest code wins.
+
+Languages are learnt in parallel, one group a language.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import save, small_batches
 from skein.llm.textbatch import text_slices
 
-ORDER = 3
-#: Training text is bounded: so many bytes a language, of documents in the order of a hash of their id.
-TRAIN_BYTES = 400_000
-#: Kept contexts a language, the most frequent ones; rarer ones use the next shorter context.
-CONTEXTS = 12_000
-LANGUAGES = 64
+ORDER = 4
+#: Training text is a bounded sample: about so many bytes a language, and over all languages together.
+TRAIN_BYTES, TRAIN_TOTAL = 400_000, 1 << 26
+#: Texts are sampled in pieces of so many characters, wherever they stand in a text.
+PIECE = 2048
+_LINE = 10
 
 
 @dataclass
-class ContextModel:
-    """symbol: class of each byte (0: unseen); root: context row of the last ORDER classes; bits: code lengths."""
-
-    symbol: np.ndarray
-    root: np.ndarray
-    bits: np.ndarray
+class ContextTree:
+    """For each order: sorted contexts with the bits of an escape, sorted (context, byte) codes with their bits."""
+
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+    codes: list[np.ndarray]
+    bits: list[np.ndarray]
+
+    def code_lengths(self, runs: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of ORDER + 1 bytes (big-endian integers) after the others."""
+        out = np.zeros(len(runs))
+        open_ = np.arange(len(runs))
+        for k in range(len(self.codes) - 1, -1, -1):
+            code = runs[open_] & ((1 << 8 * (k + 1)) - 1)
+            at = _find(self.codes[k], code)
+            hit = at >= 0
+            out[open_[hit]] += self.bits[k][at[hit]]
+            open_, code = open_[~hit], code[~hit]
+            if not len(open_):
+                break
+            at = _find(self.contexts[k], code >> 8)
+            out[open_[at >= 0]] += self.escapes[k][at[at >= 0]]
+        out[open_] += 8.0
+        return out
 
 
-def train(texts: list[bytes], symbol: np.ndarray, order: int = ORDER, contexts: int = CONTEXTS) -> ContextModel:
-    """The frozen table of one language. ``symbol`` maps bytes to classes 0..A-1, 0 for unseen ones."""
-    size = int(symbol.max()) + 1
-    data = symbol[np.frombuffer(b"".join(b"\n" * order + t for t in texts), np.uint8)].astype(np.int64)
-    tables: list[dict[int, int]] = []
-    bits: list[np.ndarray] = []
-    # Order -1: every class alike. The tables of each order build on those of the one below.
+def _find(sorted_: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The index of each value in a sorted array of distinct ones, -1 where it is missing."""
+    if not len(sorted_):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(sorted_, asked), len(sorted_) - 1)
+    return np.where(sorted_[at] == asked, at, -1)
+
+
+def runs_of(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """Each byte with the ``order`` bytes before it, as an integer; line feeds stand before a text's start."""
+    runs = raw.astype(np.int64)
+    since = np.arange(len(raw)) - np.repeat(off[:-1], np.diff(off))
+    for j in range(1, order + 1):
+        before = np.full(len(raw), _LINE, np.int64)
+        before[j:] = raw[: len(raw) - j]
+        before[since < j] = _LINE
+        runs |= before << 8 * j
+    return runs
+
+
+def train(texts: list[bytes], order: int = ORDER) -> ContextTree:
+    """The frozen context tree of one language."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    runs = runs_of(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), order)
+    tree = ContextTree([], [], [], [])
+    below = None  # bits of the codes of the order before
     for k in range(order + 1):
-        if k == 0:
-            count = np.bincount(data, minlength=size).astype(np.float64)[None, :]
-            codes = np.zeros(1, np.int64)
-        else:
-            if len(data) <= k:
-                break
-            code = np.zeros(len(data) - k, np.int64)
-            for j in range(k):
-                code = code * size + data[j : len(data) - k + j]
-            kinds, inverse, often = np.unique(code, return_inverse=True, return_counts=True)
-            keep = np.sort(np.argsort(-often, kind="stable")[: max(contexts - sum(map(len, tables)), 0)])
-            to = np.full(len(kinds), -1)
-            to[keep] = np.arange(len(keep))
-            row = to[inverse]
-            count = np.zeros((len(keep), size))
-            np.add.at(count, (row[row >= 0], data[k:][row >= 0]), 1)
-            codes = kinds[keep]
-        out = np.empty_like(count)
-        for r in range(len(codes)):
-            out[r] = _code(count[r], _lower(tables, bits, int(codes[r]), k, size))
-        first = sum(map(len, tables))
-        tables.append({int(c): first + i for i, c in enumerate(codes)})
-        bits.append(out)
-    table = np.concatenate(bits)
-    # The longest kept context of every run of ``order`` classes.
-    full = np.arange(size**order)
-    root = np.zeros(len(full), np.int32)
-    for k in range(1, len(tables)):
-        own = np.full(size**k, -1, np.int64)
-        if tables[k]:
-            own[list(tables[k])] = list(tables[k].values())
-        hit = own[full % size**k]
-        root = np.where(hit >= 0, hit, root).astype(np.int32)
-    return ContextModel(symbol, root, table.astype(np.float32))
-
-
-def _lower(tables: list[dict[int, int]], bits: list[np.ndarray], code: int, k: int, size: int) -> np.ndarray:
-    """Code lengths in the longest kept context shorter than ``k``."""
-    for j in range(k - 1, -1, -1):
-        at = tables[j].get(code % size**j)
-        if at is not None:
-            return bits[j][at - sum(map(len, tables[:j]))]
-    return np.full(size, np.log2(size))
-
-
-def _code(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-    total, seen = count.sum(), count > 0
-    kinds = seen.sum()
-    if not kinds:
-        return below
-    out = np.empty(len(count))
-    out[seen] = np.log2(total + kinds) - np.log2(count[seen])
-    if not seen.all():
-        p = np.exp2(-below[~seen])  # what is excluded gives its share to the others
-        out[~seen] = np.log2(total + kinds) - np.log2(kinds) - np.log2(p / p.sum())
-    return out
+        codes, count = np.unique(runs & ((1 << 8 * (k + 1)) - 1), return_counts=True)
+        contexts, first = np.unique(codes >> 8, return_index=True)
+        own = np.repeat(np.arange(len(contexts)), np.diff(np.r_[first, len(codes)]))
+        total, kinds = np.bincount(own, count), np.bincount(own).astype(np.float64)
+        bits = np.log2(total + kinds)[own] - np.log2(count)
+        # What a context has seen, each shorter one has seen; those bytes are excluded after an escape.
+        taken = np.full(len(codes), 1 / 256) if k == 0 else np.exp2(-below[np.searchsorted(tree.codes[-1], codes & ((1 << 8 * k) - 1))])
+        left = np.maximum(1 - np.bincount(own, taken), 1e-12)
+        tree.contexts.append(contexts)
+        tree.escapes.append(np.log2(total + kinds) - np.log2(kinds) + np.log2(left))
+        tree.codes.append(codes)
+        tree.bits.append(bits)
+        below = bits
+    return tree
 
 
 @dataclass
 class Identifier:
     names: list[str]
-    models: list[ContextModel]
+    trees: list[ContextTree]
 
     def code_lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each text of a slice under each language."""
-        symbol = self.models[0].symbol
-        size = int(symbol.max()) + 1
-        data = symbol[raw].astype(np.int32)
-        line = int(symbol[10])
-        # Contexts reach back over line feeds before a text's start, not into the text before it.
-        context = np.zeros(len(raw), np.int32)
-        starts = off[:-1][np.diff(off) > 0]
-        for j in range(ORDER, 0, -1):
-            prev = np.full(len(raw), line, np.int32)
-            prev[j:] = data[: len(raw) - j]
-            for i in range(j):
-                at = starts + i
-                prev[at[at < len(raw)]] = np.where(_within(at, starts, off), line, prev[np.minimum(at, len(raw) - 1)])[at < len(raw)]
-            context = context * size + prev
-        out = np.zeros((len(off) - 1, len(self.models)))
-        for m, model in enumerate(self.models):
-            bits = model.bits.ravel()[model.root[context].astype(np.int64) * size + data]
-            total = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
+        out = np.zeros((len(off) - 1, len(self.trees)))
+        runs, at = np.unique(runs_of(raw, off, ORDER), return_inverse=True)
+        for m, tree in enumerate(self.trees):
+            total = np.concatenate([[0.0], np.cumsum(tree.code_lengths(runs)[at])])
             out[:, m] = total[off[1:]] - total[off[:-1]]
         return out
 
 
-def _within(at: np.ndarray, starts: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether position ``at`` still lies in the text that begins at ``starts``."""
-    return at < off[np.searchsorted(off, starts, "right")]
+def sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, piece): about ``train_bytes`` bytes of text of each language.
 
+    Whole texts are cut into pieces; a hash of doc_id and piece number draws them, at a share that
+    comes from counts over all labelled documents. A language's piece with the least hash is drawn
+    always, so that each language is learnt. With very many languages each has its part of
+    TRAIN_TOTAL instead.
+    """
+    taught = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")))
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("ppm"), "id", "part")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    pieces = taught.select("lang", "text", "id", part.alias("part")).withColumn("chance", chance)
+    sizes = save(pieces.groupBy("lang").agg(F.sum(F.when(F.col("part") == 0, F.octet_length("text"))).cast("double").alias("bytes"), F.min("chance").alias("least")), "languages")
+    wanted = float(min(train_bytes, TRAIN_TOTAL / max(sizes.count(), 1)))
+    drawn = pieces.join(sizes.select(F.col("lang").alias("_lang"), "least", (F.lit(wanted) / F.col("bytes")).alias("share")), F.col("lang") == F.col("_lang"))
+    drawn = drawn.where((F.col("chance") < F.col("share")) | (F.col("chance") == F.col("least")))
+    # Repeated rows are drawn alike; they teach once.
+    return drawn.select("lang", F.substring("text", F.col("part") * PIECE + 1, F.lit(PIECE)).alias("piece")).distinct()
 
-def sample(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """At most about ``train_bytes`` bytes of text of each language, by a hash of the doc_id.
 
-    The shares come from counts over all labelled documents; a text counts with its first
-    ``train_bytes`` bytes at most. More than LANGUAGES languages are refused.
-    """
-    taught = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = taught.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, train_bytes / r.bytes))).otherwise(share)
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit("ppm|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    found: dict[str, list[bytes]] = {r.lang: [] for r in sizes}
-    rows = taught.where(chance < share).select("lang", F.substring("text", 1, train_bytes).alias("text"), F.col("doc_id").cast("string").alias("id"))
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.id or "", r.text)):
-        if sum(map(len, found[r.lang])) < 2 * train_bytes:
-            found[r.lang].append(r.text.encode("utf-8", "surrogatepass"))
-    # A language whose few texts all missed the draw is still learnt.
-    for name in [n for n, t in found.items() if not t]:
-        one = taught.where(F.col("lang") == name).select(F.substring("text", 1, train_bytes).alias("text")).orderBy(chance).first()
-        found[name].append(one.text.encode("utf-8", "surrogatepass"))
-    return found
+def _learn(frame: pd.DataFrame) -> pd.DataFrame:
+    texts = sorted(t.encode("utf-8", "surrogatepass") for t in frame["piece"])
+    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "tree": [pickle.dumps(train(texts))]})
 
 
 def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Identifier | None:
-    """One context model a language of ``docs`` (doc_id, text, lang); None where there is nothing to learn from."""
-    texts = sample(docs, train_bytes)
-    if not texts:
-        return None
-    seen = np.unique(np.frombuffer(b"\n" + b"".join(b"".join(t) for t in texts.values()), np.uint8))
-    # At most 95 classes, so that the tables are bounded; the rarest bytes share class 0 with unseen ones.
-    often = np.bincount(np.frombuffer(b"\n" + b"".join(b"".join(t) for t in texts.values()), np.uint8), minlength=256)
-    often[10] = often.max() + 1
-    seen = sorted(seen, key=lambda b: -often[b])[:95]
-    symbol = np.zeros(256, np.uint8)
-    symbol[sorted(seen)] = np.arange(1, len(seen) + 1)
-    names = sorted(texts)
-    return Identifier(names, [train(texts[n], symbol) for n in names])
+    """One context tree a language of ``docs`` (doc_id, text, lang); None where there is nothing to learn from."""
+    rows = sample(docs, train_bytes).groupBy("lang").applyInPandas(_learn, "lang string, tree binary").collect()  # bounded by the sample
+    found = {r.lang: pickle.loads(r.tree) for r in rows}
+    return Identifier(sorted(found), [found[n] for n in sorted(found)]) if found else None
 
 
 def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
@@ -188,7 +160,8 @@ def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
     bits, over the average byte of the text.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES * (CONTEXTS * 96 + 96 ** ORDER) numbers
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -265,11 +265,53 @@ def test_languages_are_told_apart(docs):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in truth)
 
 
-def test_code_lengths_are_those_of_a_code():
-    symbol = np.zeros(256, np.uint8)
-    symbol[[10, 97, 98, 99]] = [1, 2, 3, 4]
-    model = langid.train([b"abcabcabca", b"cab"], symbol)
-    assert np.allclose(np.exp2(-model.bits).sum(1), 1)
+def brute_code_lengths(texts, order):
+    """Bits of a byte after a context by escape method C with exclusion, from counts in dictionaries."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in texts:
+        padded = b"\n" * order + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                counts[padded[i - k : i]][padded[i]] += 1
+
+    def probabilities(context):
+        below = probabilities(context[1:]) if context else [1 / 256] * 256
+        seen = counts.get(context)
+        if not seen:
+            return below
+        total, left = sum(seen.values()) + len(seen), sum(p for b, p in enumerate(below) if b not in seen)
+        return [seen[b] / total if b in seen else len(seen) / total * p / left for b, p in enumerate(below)]
+
+    return probabilities
+
+
+def test_code_lengths_match_brute_force():
+    rng = np.random.default_rng(2)
+    taught = [bytes(rng.integers(97, 101, 60).tolist()), "éàü naïve".encode(), b"", b"abc"]
+    asked = [b"abca", b"\xff\x00z", "é abcd".encode(), b"", b"q"]
+    order = langid.ORDER
+    tree, probabilities = langid.train(taught, order), brute_code_lengths(taught, order)
+    for context in (b"\n" * order, b"abcd", b"\x00\xff\xc3\xa9"):
+        assert sum(probabilities(context)) == pytest.approx(1)
+    model = langid.Identifier(["x"], [tree])
+    off = np.concatenate([[0], np.cumsum([len(t) for t in asked])])
+    got = model.code_lengths(np.frombuffer(b"".join(asked), np.uint8), off)[:, 0]
+    for g, t in zip(got, asked, strict=True):
+        padded = b"\n" * order + t
+        want = -sum(np.log2(probabilities(padded[i - order : i])[padded[i]]) for i in range(order, len(padded)))
+        assert g == pytest.approx(want)
+
+
+def test_many_languages_and_repeated_rows(spark):
+    rows = [(100 * k + i, " ".join(f"{chr(0x4E00 + k)}{chr(0x4E00 + k + j)}" for j in range(i + 2)), f"l{k:03}") for k in range(70) for i in range(3)]
+    rows += [(7, "the same row again", "l000")] * 50 + [(8, None, None), (9, "", "l001"), (None, "no id", "l002")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model.names == [f"l{k:03}" for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame, model).collect()}
+    right = np.mean([got[i] == lang for i, t, lang in rows if i is not None and i >= 10 and t])
+    assert right > 0.9
+    assert got[8] == "und"
 
 
 def test_fingerprints_estimate_likeness(docs):
