@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import save
+from skein.llm.common import SMALL, save, side_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: Leftmost matches. Possessive repeats match the same text and need no stack; the guards before
@@ -37,6 +37,8 @@ LOOSE = {
 #: A text without this holds no match of any pattern above.
 ANY = r"@|\[at\]|\(at\)|\+[0-9]|[0-9][.:-][0-9]|[0-9][\x20().0-9/-]*[0-9]"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
+#: Characters a block when spans are cut out of a text.
+BLOCK = 1024
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -83,42 +85,59 @@ def occurrences(texts: DataFrame) -> DataFrame:
     rows = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("key", "kind", "base").orderBy("at")
     end = F.sum(F.length("gap") + F.length("match")).over(order)
-    words = F.filter(F.split(F.lower(F.regexp_extract("gap", r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]*[^\x20\x09-\x0D]*[\x20\x09-\x0D]*\z", 0)), _SPACE), lambda w: w != "")
+    # The last two words, found from the end: one pass, however long the words are.
+    ends = F.reverse(F.regexp_extract(F.reverse("gap"), r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+", 0))
+    words = F.filter(F.split(F.lower(ends), _SPACE), lambda w: w != "")
     placed = rows.select("key", "kind", "base", "match", words.alias("words"), end.cast("long").alias("end")).withColumn("start", F.col("end") - F.length("match"))
     placed = placed.withColumn("one", F.try_element_at("words", F.lit(-1))).withColumn("two", F.when(F.size("words") > 1, F.concat_ws(" ", F.element_at("words", -2), F.element_at("words", -1))))
     held = reduce(lambda acc, k: acc.when((F.col("kind") == KINDS.index(k)) & F.col("base"), _valid(k, F.col("match"))), KINDS, F.when(F.lit(False), F.lit(False))).otherwise(True)
     placed = placed.where(held)
     by_start = Window.partitionBy("key").orderBy("start", "end")
     before = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    # The rows from here on, read backwards: both windows grow by one row a step.
+    backwards = Window.partitionBy("key").orderBy(F.desc("start"), F.desc("end"))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     clear = F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True))
     return placed.withColumn("_clear", clear).where("base OR _clear").select("key", "kind", "base", "start", "end", "match", "one", "two")
 
 
-def discover(texts: DataFrame, found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
-    """The loose rows of ``found`` that confident contexts confirm, without overlaps within a kind."""
-    edges = found.select("kind", "base", "match", F.explode(F.array("one", "two")).alias("pattern")).where("pattern IS NOT NULL")
-    edges = save(edges.groupBy("kind", "pattern", F.lower("match").alias("instance")).agg(F.max("base").alias("seed"), F.count(F.lit(1)).cast("double").alias("n")), "edges")
+def spoken(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each of ``patterns`` (pattern; one or two words) occurs in all of ``docs``.
+
+    Counts are summed within tasks before anything is shuffled. Patterns are broadcast up to
+    ``SMALL`` rows; beyond that all words and pairs are counted first and joined then.
+    """
+    words = F.filter(F.split(F.lower("text"), _SPACE), lambda w: w != "")
+    pairs = F.zip_with(words, F.slice(F.concat(words, F.array(F.lit(""))), 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    said = docs.where("text IS NOT NULL").select(F.explode(F.concat(words, pairs)).alias("pattern"))
+    if patterns.count() <= SMALL:
+        return said.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("total"))
+    return said.groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("total")).join(patterns, "pattern", "left_semi")
+
+
+def discover(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
+    """The loose rows of ``found`` that confident contexts confirm, without overlaps within a kind.
+
+    ``docs`` are all documents, (text): a pattern's trust is a share of all its occurrences.
+    """
+    edges = found.select("kind", "base", "match", "rows", F.explode(F.array("one", "two")).alias("pattern")).where("pattern IS NOT NULL")
+    edges = save(edges.groupBy("kind", "pattern", F.lower("match").alias("instance")).agg(F.max("base").alias("seed"), F.sum("rows").cast("double").alias("n")), "edges")
     # Patterns that stand before too few different seeds can confirm nothing.
     able = save(edges.where("seed").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support), "patterns")
-    # How often the words of those patterns occur at all, in the documents that hold candidates.
-    words = F.filter(F.split(F.lower("text"), _SPACE), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(2), F.size("words")), lambda i: F.concat_ws(" ", F.element_at("words", i - 1), F.element_at("words", i)))
-    spoken = texts.select(words.alias("words")).select(F.explode(F.concat(F.col("words"), F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("pattern"))
-    total = spoken.join(able.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("total"))
-    total = save(total, "totals")
-    graph = save(edges.join(able.select("kind", "pattern"), ["kind", "pattern"]).join(total, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0.0))), "graph")
+    total = save(spoken(docs, able.select("pattern").distinct()), "totals")
+    able = able.select("kind", "pattern").join(total, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    graph = save(side_join(edges, able, ["kind", "pattern"]), "graph")
     scores = graph.select("kind", "instance", F.col("seed").cast("double").alias("score")).groupBy("kind", "instance").agg(F.max("score").alias("score"))
     for _ in range(rounds):
         patterns = graph.join(scores, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.sum("n").alias("n"), F.first("total").alias("total"))
-        patterns = patterns.select("kind", "pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("n", "total")).alias("trust"))
+        patterns = save(patterns.select("kind", "pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("n", "total")).alias("trust")), "trust")
         missed = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999))))
-        scores = save(graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(missed)).alias("score")), "scores")
-        patterns = save(patterns, "trust")
+        told = side_join(graph, patterns, ["kind", "pattern"])
+        scores = save(told.groupBy("kind", "instance").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(missed)).alias("score")), "scores")
     trusted = patterns.where(F.col("trust") >= confident).select("kind", "pattern")
     known = scores.where(F.col("score") >= confident).select("kind", F.col("instance"))
     loose = found.where("NOT base").withColumn("instance", F.lower("match")).join(known, ["kind", "instance"], "left_semi")
-    either = loose.withColumn("pattern", F.explode(F.array_compact(F.array("one", "two")))).join(trusted, ["kind", "pattern"], "left_semi")
+    either = side_join(loose.withColumn("pattern", F.explode(F.array_compact(F.array("one", "two")))), trusted, ["kind", "pattern"], "left_semi")
     return either.select("key", "kind", "start", "end").distinct()
 
 
@@ -129,11 +148,15 @@ def _spans(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(flagged rows with key, base spans a key, all spans a key)."""
-    flagged = docs.where(F.col("text").rlike(ANY)).withColumn("key", F.md5("text"))
-    texts = save(flagged.groupBy("key").agg(F.first("text").alias("text")), "flagged")
-    found = save(occurrences(texts), "occurrences")
-    extra = discover(texts, found)
+    """(flagged rows with key, base spans a key, all spans a key); ``docs`` has text and one more column.
+
+    A text's key is its SHA-256. Equal texts are searched once and count as often as they occur.
+    """
+    flagged = docs.where(F.col("text").rlike(ANY)).withColumn("key", F.sha2("text", 256))
+    texts = save(flagged.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("rows")), "flagged")
+    found = occurrences(texts.select("key", "text")).join(texts.select("key", "rows"), "key")
+    found = save(found, "occurrences")
+    extra = discover(docs.select("text"), found)
     base = found.where("base").select("key", "kind", "start", "end")
     every = save(_spans(base.union(extra), "every"), "every")
     return flagged, save(_spans(base, "own"), "own"), every
@@ -156,21 +179,44 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(F.coalesce("own_text", F.lit("")), 256).alias("base_sha256"), F.coalesce("every_text", F.lit("")).alias("spans"))
 
 
+def _gaps(every: DataFrame) -> DataFrame:
+    """(key, cuts): runs of overlapping spans in order, as (start, end, kind of the first span)."""
+    rows = every.select("key", F.explode("every").alias("s")).select("key", "s.start", "s.end", "s.kind")
+    order = Window.partitionBy("key").orderBy("start", "end", "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True))).withColumn("run", F.sum(F.col("new").cast("int")).over(order))
+    whole = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    return whole.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+
+
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The characters a..b of a text given as blocks of BLOCK characters: no more than its own blocks are touched."""
+    first, last = (a / BLOCK).cast("int"), (b / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    head = F.substring(block(first), (a % BLOCK + 1).cast("int"), F.lit(BLOCK))
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    one = F.substring(block(first), (a % BLOCK + 1).cast("int"), (b - a).cast("int"))
+    return F.when(first == last, one).otherwise(F.concat(head, inner, F.substring(block(last), F.lit(1), (b % BLOCK).cast("int"))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    flagged, _, every = _search(docs)
-    ordered = F.sort_array(F.transform("every", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    name = lambda k: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), k + 1)), F.lit("]"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, name(s["kind"]))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-
-    new = F.when(F.col("every").isNull(), F.col("text")).otherwise(F.aggregate(ordered, start, step, finish))
-    changed = flagged.join(every.select("key", "every"), "key", "left").withColumn("text", new).select(*docs.columns)
-    return docs.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False))).select(*docs.columns).unionByName(changed)
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Null texts stay null. All other columns, of any name, stay as they are.
+    """
+    names, (of_row, of_text) = docs.columns, ("row", "text")
+    rows = docs.select(F.struct(*[f"`{c}`" for c in names]).alias(of_row), F.col("text").cast("string").alias(of_text))
+    flagged, _, every = _search(rows)
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    said = lambda k: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), k + 1)), F.lit("]"))
+    cut = flagged.join(_gaps(every), "key").select(of_row, blocks.alias("blocks"), "cuts", F.length("text").cast("long").alias("n"))
+    # What stands before each cut, and its name; then what stands after the last one.
+    before = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda c: c["end"]))
+    pieces = F.transform("cuts", lambda c, i: F.concat(_between(F.col("blocks"), F.get(F.col("before"), i), c["start"]), said(c["kind"])))
+    changed = cut.withColumn("before", before).select(of_row, F.concat(F.array_join(pieces, ""), _between(F.col("blocks"), F.element_at("before", -1), F.col("n"))).alias("new"))
+    keys = every.select("key")
+    same = flagged.join(keys, "key", "left_anti").select(of_row)
+    rest = rows.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False))).select(of_row)
+    field = lambda c: F.col(f"row.`{c}`").alias(c)
+    changed = changed.select(*[F.col("new").alias(c) if c == "text" else field(c) for c in names])
+    return same.unionAll(rest).select(*map(field, names)).unionAll(changed)

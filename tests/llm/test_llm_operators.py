@@ -178,6 +178,36 @@ def test_personal_data_matches_the_base_patterns(spark, docs):
     assert {r.doc_id: r.text for r in clean.collect()}[-3] == " \t\n" and "user0" not in {r.doc_id: r.text for r in clean.collect()}[-200]
 
 
+def test_redaction_leaves_other_columns_alone(spark):
+    texts = ["write to a@b.org or +12 345 678 90 now", None, "", "none here", "x" * 3000 + " joe@site.example.com " + "é😀" * 2000 + " 10.0.0.1", "a@b.org", "+1 10.0.0.1 22 33 end"]
+    frame = spark.createDataFrame([(i, t, f"k{i}", i, None, "t", [i]) for i, t in enumerate(texts)], "doc_id long, text string, key string, every int, `row` string, cuts string, rows array<int>")
+    got = {r.doc_id: r for r in pii.redact(frame).collect()}
+    assert pii.redact(frame).columns == frame.columns and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert (got[i].key, got[i].every, got[i].row, got[i].cuts, got[i].rows) == (f"k{i}", i, None, "t", [i])
+        spans, out, at = sorted((a, b, k) for k, a, b in base_spans(t or "")), [], 0
+        for a, b, k in spans:
+            if a >= at:
+                out += [(t or "")[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert got[i].text == (None if t is None else "".join(out) + t[at:])
+
+
+def test_a_long_text_full_of_addresses(spark):
+    text = " ".join(f"u{i}@h{i % 97}.example.org" for i in range(60_000))  # 1.4 MB
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(frame).first().text == " ".join(["[EMAIL]"] * 60_000)
+
+
+def test_trust_counts_all_documents(spark):
+    """Patterns confirm only if most of their occurrences, in documents without candidates too, precede instances."""
+    rows = [(i, f"mailto: user{i}@mail.example.org") for i in range(20)] + [(100, "mailto: joe [at] site [dot] org")]
+    clean = [(1000 + i, "mailto: nobody") for i in range(200)]
+    found = lambda r: {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    assert "email" in found(rows)[100]
+    assert found(rows + clean)[100] == ""
+
+
 def test_decontamination_finds_planted_items_only(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "")], "item_id long, text string"))
     items = [r for r in bench.where("length(text) > 50").orderBy("item_id").collect()]
