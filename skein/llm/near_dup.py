@@ -4,12 +4,16 @@
    permutations of the 2**32 shingle codes; the second one, circularly shifted, gives every
    coordinate) and the keys of its bands. Documents with equal sets are one class from here on.
 2. Classes that share a band key meet in a bucket. Pairs of a bucket whose signatures agree in at
-   least ``MAYBE`` of the coordinates tie their classes into candidate groups (a bucket above
-   ``BUCKET`` members is tied as a whole, which can only enlarge groups).
-3. The full sets of each group meet in blocks of ``BLOCK`` classes, every pair of blocks in a
-   task of its own, where exact Jaccard links are found with one matrix product per block pair;
-   only a spanning forest of the links leaves the task.
-4. Connected components of the confirmed links.
+   least ``MAYBE`` of the coordinates tie their classes into candidate groups. A bucket above
+   ``BUCKET`` members is not gathered: each member is tied to its least one by an aggregation and
+   a join, which can only enlarge groups.
+3. Groups above ``BLOCK`` classes or ``BLOCK_BYTES`` of text are first compared with a few pivots of
+   each group, in the tasks where the members lie. The members linked to the pivot with most
+   links are one component already, and two of them need not be compared again.
+4. The full sets of what is left meet in blocks bounded by classes and bytes, every pair of blocks
+   with an open pair in a task of its own, where exact Jaccard links are found with one matrix
+   product per block pair; only a spanning forest of the links leaves the task.
+5. Connected components of the confirmed links.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 3e-6, and
 agrees in less than 0.55 of 96 coordinates with probability below 1e-8.
@@ -25,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import components, save, small_batches
+from skein.llm.common import components, hot_keys, save, small_batches, spread_join
 from skein.llm.textbatch import Words, distinct, mix, text_slices
 
 BANDS, ROWS = 24, 4
 COORDS = BANDS * ROWS
 MAYBE = 0.55
 BUCKET = 2048
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+PIVOTS = 16
 _U32 = np.uint32
 
 
@@ -144,10 +149,6 @@ def _maybe(frame: pd.DataFrame) -> pd.DataFrame:
     near = (sig[two] == sig[two + 1]).sum(1) >= least
     a, b = [rep[two][near]], [rep[two + 1][near]]
     for s, m in zip(start[size > 2], size[size > 2], strict=True):
-        if m > BUCKET:
-            a.append(np.full(m - 1, rep[s]))
-            b.append(rep[s + 1 : s + m])
-            continue
         label = np.arange(m)
         own = sig[s : s + m]
         for i in range(m - 1):
@@ -162,16 +163,37 @@ def _maybe(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(k: int):
+    """The columns of each row, its text replaced by its sorted shingle hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.schema.get_field_index("text")
             for a, b, raw, off in text_slices(batch.column("text")):
                 doc, h = distinct(*Words(raw, off).shingles(k))
                 cut = np.searchsorted(doc, np.arange(b - a + 1)) * 8
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("unit"), rows.column("side"), rows.column("rep"), pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())],
-                    names=["unit", "side", "rep", "shingles"],
-                )
+                shingles = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())
+                yield batch.slice(a, b - a).set_column(at, "shingles", shingles)
+
+    return run
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _to_pivots(percent: int):
+    """(component, rep, pivot) for each row and each pivot of its group that it is linked to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for component, rep, own, pivots in zip(frame["component"], frame["rep"], frame["shingles"], frame["pivots"], strict=True):
+                mine = np.frombuffer(own, np.uint64)
+                found += [(component, rep, p["rep"]) for p in pivots if _linked(mine, np.frombuffer(p["shingles"], np.uint64), percent)]
+            yield pd.DataFrame(found, columns=["component", "rep", "pivot"], dtype="int64")
 
     return run
 
@@ -236,6 +258,43 @@ def _verify(percent: int):
     return run
 
 
+def _ties(classes: DataFrame) -> DataFrame:
+    """(a, b) ties between classes that share a bucket and may be similar."""
+    exploded = classes.select("rep", F.explode("keys").alias("key"))
+    shared = save(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "buckets")
+    rows = exploded.join(shared.where(F.col("n") <= BUCKET).select("key"), "key").join(classes.select("rep", "sig"), "rep")
+    near = rows.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_groups(["rep", "sig"], _maybe), "a long, b long")
+    large = shared.where(F.col("n") > BUCKET)
+    whole = spread_join(exploded, large.select("key", "least"), ["key"], large_keys(large)).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    return near.union(whole.distinct())
+
+
+def large_keys(large: DataFrame) -> DataFrame:
+    """Keys to deal over tasks: those with over a HOT_SHARE-th of the members of all large buckets."""
+    return hot_keys(large, ["key"], int(large.agg(F.sum("n")).first()[0] or 0))
+
+
+def _placed(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each member once for each pair of blocks it takes part in: (rep, unit, side).
+
+    ``groups`` are (rep, component, pivot), ``sizes`` (component, n, n_open, bytes): members of large
+    groups that are linked to a pivot (not open) only meet those that are open.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    open_blocks = F.ceil(F.col("n_open") * F.col("blocks") / F.col("n")).cast("int")
+    counted = sizes.select("component", "n", "n_open", blocks.alias("blocks")).withColumn("open", open_blocks)
+    dealt = spread_join(groups, counted, ["component"], hot_keys(sizes, ["component"], int(sizes.agg(F.sum("n")).first()[0] or 0)))
+    # Open blocks are 0..open-1, the others follow; a pair of blocks is work if one of it is open.
+    h = F.xxhash64("rep")
+    block = F.when(F.col("pivot").isNull(), F.pmod(h, F.col("open"))).otherwise(F.col("open") + F.pmod(h, F.col("blocks"))).cast("int")
+    others = F.when(F.col("pivot").isNull(), F.sequence(F.lit(0), F.col("open") + F.when(F.col("n_open") < F.col("n"), F.col("blocks")).otherwise(0) - 1)).otherwise(
+        F.when(F.col("open") > 0, F.sequence(F.lit(0), F.col("open") - 1))
+    )
+    return dealt.withColumn("block", block).withColumn("other", F.explode(others)).select(
+        "rep", F.concat_ws(":", "component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), (F.col("block") > F.col("other")).cast("int").alias("side")
+    )
+
+
 def _key(docs: DataFrame) -> Column:
     """doc_id, or a 64-bit hash of the text where it is null."""
     return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.lit("text"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
@@ -262,28 +321,34 @@ def _marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     classes = save(
         sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "classes"
     )
-    exploded = classes.select("rep", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = exploded.join(shared, "key").join(classes.select("rep", "sig"), "rep")
-    ties = members.select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_groups(["rep", "sig"], _maybe), "a long, b long")
-    groups = save(components(ties, "ties"), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    placed = (
-        groups.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.col("node").alias("rep"),
-            F.concat_ws(":", "component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-        )
-    )
+    groups = save(components(_ties(classes), "ties").select(F.col("node").alias("rep"), "component"), "groups")
     # One text of each class that is in a group: the first of those with the least doc_id, or key.
     # The members are a share of all documents, so neither side is broadcast at any size.
-    texts = docs.join(groups.select(F.col("node").alias("key")).hint("merge"), "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    wanted = placed.join(texts, placed["rep"] == texts["key"]).select("unit", "side", "rep", "text")
+    texts = docs.join(groups.select(F.col("rep").alias("key")).hint("merge"), "key").groupBy("key", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    texts = save(texts.select(F.col("key").alias("rep"), "text"), "texts")
+    n = groups.count()
+    weights = groups.join(texts.select("rep", F.octet_length("text").alias("size")), "rep")
+    sizes = save(weights.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "sizes")
+    large = save(sizes.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select("component", "n"), "large")
+    hot = hot_keys(large, ["component"], n)
+    member = spread_join(groups, large.select("component"), ["component"], hot)
+    # One pivot of each of PIVOTS hash ranges: bounded for a group of any size.
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS))
+    pivots = member.groupBy("component", part.alias("part")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+    pivots = pivots.join(texts, "rep").select("component", "rep", "text").mapInArrow(_sets(shingle), "component long, rep long, shingles binary")
+    pivots = pivots.groupBy("component").agg(F.collect_list(F.struct("rep", "shingles")).alias("pivots"))
+    sets = member.join(texts, "rep").select("component", "rep", "text").mapInArrow(_sets(shingle), "component long, rep long, shingles binary")
+    asked = spread_join(sets, pivots, ["component"], hot).select("component", "rep", "shingles", "pivots")
+    linked = save(asked.mapInPandas(_to_pivots(percent), "component long, rep long, pivot long"), "pivots")
+    votes = linked.groupBy("component", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    chosen = save(votes.groupBy("component").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), F.max("n").alias("n")), "chosen")
+    closed = spread_join(linked, chosen.drop("n"), ["component", "pivot"], hot_keys(chosen, ["component", "pivot"], n)).select("rep", "pivot")
+    placed = groups.join(closed, "rep", "left")
+    opened = placed.groupBy("component").agg(F.count(F.when(F.col("pivot").isNull(), 1)).alias("n_open"))
+    placed = _placed(placed, save(sizes.join(opened, "component"), "counted"))
+    wanted = placed.join(texts, "rep").select("unit", "side", "rep", "text")
     links = wanted.mapInArrow(_sets(shingle), "unit string, side int, rep long, shingles binary").groupBy("unit").applyInPandas(_verify(percent), "a long, b long")
+    links = links.union(linked.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).where("a <> b"))
     found = save(components(links, "links"), "components")
     if classes.where("id IS NULL").isEmpty():
         found = found.withColumn("name", F.col("component"))

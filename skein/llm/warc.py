@@ -2,12 +2,15 @@
 
 The writer turns each page into an HTTP response in chunked transfer framing and cuts what is
 long into a first record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID,
-and WARC-Segment-Total-Length on the last). It writes through Spark's text sink, whose line
-separator is the record separator, so archives can lie in any store Spark reaches. The reader
-splits archives at record starts (files of any size are split among tasks), groups segments by
-origin identifier, orders them by segment number, verifies the total length, and decodes the
-framing. The writer never lets the record start appear inside a record: it sets a chunk border
-there, and escapes it in a URL.
+and WARC-Segment-Total-Length on the last). It writes through Spark's text sink, so archives can
+lie in any store Spark reaches.
+
+The reader takes archives of versions 1.0 and 1.1 with payloads of any bytes. Spark cuts files of
+any size at each ``WARC/1.`` and splits them among tasks; a record ends where its Content-Length
+says, so a payload that holds that mark, or whole records, is put together again from its pieces:
+in files where a piece is not one whole record, the sizes of the pieces (not the pieces) of each
+file are walked in order to find which record each belongs to. It groups segments by origin
+identifier, orders them by segment number, verifies the total length, and decodes the framing.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import save, shared_path
+from skein.llm.common import save, shared_path, small_batches
 
-START = "WARC/1.1\r\n"
+MARK = "WARC/1."
+START = f"{MARK}1\r\n"
+END = b"\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 CHUNK = 8192
 SEGMENT = 65536
@@ -30,7 +36,7 @@ LEAST = 100
 
 
 def chunked(text: str, size: int = CHUNK) -> str:
-    """Chunked transfer framing, no chunk border inside a character, one inside each ``WARC/``."""
+    """Chunked transfer framing, no chunk border inside a character, one inside each ``WARC/`` (so that archives of this writer are read in one pass)."""
     out = []
     for piece in _pieces(text):
         for i in range(0, len(piece), size):
@@ -109,6 +115,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
     responses, the others revisits; rows with a null page_id are responses always. A null html is
     an empty payload. Further columns are not read.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     groups = base.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
@@ -119,21 +126,95 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = S
     rows.write.option("lineSep", "\r\n\r\n").text(path)
 
 
+def _head(piece: bytes) -> tuple[dict[str, str], int]:
+    """The fields of a record that begins with the last of its version, and where its block begins; ({}, -1) if none does."""
+    at = piece.find(END)
+    if piece[:3] not in (b"0\r\n", b"1\r\n") or at < 0:
+        return {}, -1
+    lines = (line.partition(":") for line in piece[3:at].decode("utf-8", "replace").split("\r\n"))
+    fields = {k.strip().lower(): v.strip() for k, _, v in lines}
+    good = fields.get("content-length", "").isdecimal() and "warc-type" in fields and "warc-record-id" in fields
+    return (fields, at + len(END)) if good else ({}, -1)
+
+
+def _need(piece: bytes) -> int:
+    """Bytes of the record that begins with ``piece``, without what parts records; -1 if none does."""
+    fields, at = _head(piece)
+    return at + int(fields["content-length"]) if fields else -1
+
+
+def _numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pieces with ``at``, the place of each in its block of its file."""
+    last, n = None, 0
+    for frame in frames:
+        at = np.empty(len(frame), np.int64)
+        for i, own in enumerate(zip(frame["file"], frame["block"], strict=True)):
+            n = n + 1 if own == last else 0
+            last, at[i] = own, n
+        yield frame.assign(at=at)
+
+
+def _sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, block, at, size, need) of each piece."""
+    for frame in _numbered(frames):
+        yield frame.assign(size=frame["bytes"].map(len).astype("int64"), need=frame["bytes"].map(_need).astype("int64")).drop(columns="bytes")
+
+
+def _owners(frame: pd.DataFrame) -> pd.DataFrame:
+    """The piece with which the record of each piece begins; what stands before the first record has none."""
+    frame = frame.sort_values(["block", "at"])
+    block, at, size, need = (frame[c].to_numpy() for c in ("block", "at", "size", "need"))
+    own_block, own_at = np.full(len(frame), -1, np.int64), np.full(len(frame), -1, np.int64)
+    open_, left = -1, 0
+    for i in range(len(frame)):
+        if left <= 0 and need[i] >= 0:
+            open_, left = i, need[i] - size[i]
+        elif open_ >= 0 and left > 0:
+            left -= size[i] + len(MARK)
+        else:
+            open_ = -1
+        if open_ >= 0:
+            own_block[i], own_at[i] = block[open_], at[open_]
+    return frame[["file", "block", "at"]].assign(own_block=own_block, own_at=own_at)
+
+
+def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each record from its pieces."""
+    for frame in frames:
+        records = [MARK.encode().join(bytes(p["bytes"]) for p in sorted(parts, key=lambda p: (p["block"], p["at"]))) for parts in frame["pieces"]]
+        yield pd.DataFrame({"bytes": records}, dtype=object)
+
+
+def records_of(spark: SparkSession, path: str) -> DataFrame:
+    """(bytes): each record of the archives in ``path``, without the first bytes of its version."""
+    lines = spark.read.option("lineSep", MARK).text(path)
+    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("bytes"))
+    # A file's text begins with the mark, so its first piece is empty.
+    sizes = save(pieces.mapInPandas(_sizes, "file string, block long, at long, size long, need long"), "sizes")
+    plain = F.col("need").isNotNull() & ((F.col("size") - F.col("need")).isin(0, len(END)) | ((F.col("size") == 0) & (F.col("at") == 0)))
+    odd = save(sizes.where(~plain & ~((F.col("size") == 0) & (F.col("block") == 0))).select("file").distinct(), "odd")
+    if odd.isEmpty():
+        return pieces.where(F.octet_length("bytes") > 0).select("bytes")
+    same = pieces.join(odd, "file", "left_anti").where(F.octet_length("bytes") > 0).select("bytes")
+    owned = sizes.join(odd, "file", "left_semi").groupBy("file").applyInPandas(_owners, "file string, block long, at long, own_block long, own_at long")
+    cut = pieces.mapInPandas(_numbered, "file string, block long, bytes binary, at long").join(odd, "file", "left_semi")
+    joined = cut.join(save(owned.where("own_block >= 0"), "owners"), ["file", "block", "at"])
+    grouped = joined.groupBy("file", "own_block", "own_at").agg(F.collect_list(F.struct("block", "at", "bytes")).alias("pieces"))
+    return same.unionAll(grouped.select("pieces").mapInPandas(_whole, "bytes binary"))
+
+
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
-        for value in frame["value"]:
-            head, _, block = value.partition("\r\n\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n")) if v}
-            if "warc-type" not in fields:
+        for value in frame["bytes"]:
+            fields, at = _head(value)
+            if not fields:
                 continue
-            body = block.encode("utf-8", "surrogatepass")
-            length = int(fields.get("content-length", -1))
-            if body.endswith(b"\r\n\r\n"):  # what parts records
-                body = body[:-4]
+            length = int(fields["content-length"])
+            body = value[at : at + length]
             number = int(fields.get("warc-segment-number", 1))
             total = fields.get("warc-segment-total-length")
-            whole = len(body) == length
+            whole = len(body) == length and value[at + length :].strip(b"\r\n") == b""
             page, refers = fields.get("page-id"), fields.get("warc-refers-to-page-id")
             out.append(
                 (fields.get("warc-segment-origin-id", fields["warc-record-id"]), number, fields["warc-type"], None if page is None else int(page), None if refers is None else int(refers),
@@ -167,7 +248,7 @@ def _assemble(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 except ValueError as e:
                     error = str(e)
             sha = hashlib.sha256(payload).hexdigest()
-            if error is None and first["type"] == "response" and first["stated"] and first["stated"] != _digest(sha):
+            if error is None and first["type"] == "response" and (first["stated"] or "").startswith("sha256:") and first["stated"] != _digest(sha):
                 error = "digest differs"
             stated = first["stated"]
             if first["type"] == "revisit" and stated and stated.startswith("sha256:"):
@@ -192,10 +273,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     malformed or whose digest differs keeps its row, with ``error`` saying so. A revisit has no
     payload of its own: its payload is null and its payload_bytes 0 until ``resolve`` finds them.
     """
+    small_batches(spark)
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
-    # Record starts hold no prefix of themselves, so they are found across buffers and splits.
-    records = spark.read.option("lineSep", START).text(path)
-    segmented = F.contains(F.substring_index("value", "\r\n\r\n", 1), F.lit("WARC-Segment-Number:"))
+    records = records_of(spark, path)
+    segmented = F.contains(F.lower(F.substring_index(F.col("bytes").cast("string"), "\r\n\r\n", 1)), F.lit("warc-segment-number:"))
     # A record's segments are bounded by one page; a hot origin cannot arise. Records in one piece stay where they are read.
     segments = records.where(segmented).mapInPandas(_parse, _SEGMENT)
     grouped = segments.groupBy("origin").agg(F.collect_list(F.struct(*_PART)).alias("parts"))

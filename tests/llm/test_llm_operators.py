@@ -64,15 +64,38 @@ def test_near_duplicates_match_brute_force(docs, rows):
     assert all(got[i].kept == (i == want[i]) for i in want) and got[None].kept
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{"BLOCK": 4}, {"BLOCK": 4, "BUCKET": 3}, {"BLOCK_BYTES": 900, "PIVOTS": 2}, {"BUCKET": 3, "PIVOTS": 1, "BLOCK": 2}])
+def test_near_duplicates_in_blocks(spark, monkeypatch, bounds):
+    """Large groups: one cluster of copies, chains, several clusters, with hot buckets and by bytes."""
+    rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
     copies = [(n, " ".join(base[:n] + ["changed"] + base[n + 1 :])) for n in range(0, 60, 3)]
+    for c in range(3):
+        words = [f"c{c}x{i}" for i in range(50)]
+        for n in range(12):  # a chain: neighbours are linked, the ends are not
+            words[int(rng.integers(0, 50))] = f"new{c}{n}"
+            copies.append((100 * (c + 1) + n, " ".join(words)))
     frame = spark.createDataFrame(copies, "doc_id long, text string")
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    for name, value in bounds.items():
+        monkeypatch.setattr(near_dup, name, value)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, 2).collect()}
     assert got == brute_components(copies, 2)
 
 
+def test_near_duplicate_links_are_found(spark):
+    """Recall of exact links on the driver's documents."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = [(i, shingles(t, 4)) for i, t in rows]
+    by_shingle = collections.defaultdict(list)
+    for n, (_, s) in enumerate(sets):
+        for x in sorted(s)[: len(s) - -(-8 * len(s) // 10) + 1]:  # two linked sets share one of these
+            by_shingle[x].append(n)
+    pairs = {(a, b) for m in by_shingle.values() for k, a in enumerate(m) for b in m[k + 1 :]}
+    links = [(sets[a][0], sets[b][0]) for a, b in pairs if 100 * len(sets[a][1] & sets[b][1]) >= 80 * len(sets[a][1] | sets[b][1])]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 20 and all(got[a] == got[b] for a, b in links)
+
+
 def test_deduplicate_keeps_one_of_each_group_and_all_columns(docs, rows):
     kept = near_dup.deduplicate(docs, 5)
     want = brute_components(rows, 5)
@@ -406,6 +429,33 @@ def test_warc_reports_what_is_broken(spark, tmp_path):
         warc.dechunk(b"5\r\nab\r\n0\r\n\r\n")
 
 
+def record(version, kind, name, block, extra=""):
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{name}>\r\n{extra}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["128m", "300"])
+def test_warc_of_any_bytes_and_versions(spark, tmp_path, split):
+    """Framing is by Content-Length: payloads may hold record starts, whole records and bytes that are no text."""
+    inner = record("1.1", "response", "quoted", b"HTTP/1.1 200 OK\r\n\r\nnot a record of its own", "Page-ID: 77\r\n")
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    payloads = [b"plain", bytes(range(256)) * 3, b"WARC/1.1\r\n" * 30, b"x" * 500 + inner * 4 + b"WARC/1.", inner, b"", b"\r\n\r\n", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"]
+    written = [record("1.0" if i % 2 else "1.1", "response", i, http + p, f"Page-ID: {i}\r\n") for i, p in enumerate(payloads)]
+    info = record("1.0", "warcinfo", "info", b"software: none\r\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(info + b"".join(written[:5]))
+    (tmp_path / "in" / "b.warc").write_bytes(b"".join(written[5:])[:-4])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1" if split == "300" else "4m")
+    try:
+        got = {r.page_id: r for r in warc.read_warc(spark, f"file://{tmp_path}/in").where("record_type = 'response'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {i: bytes(r.payload) for i, r in got.items()} == dict(enumerate(payloads))
+    assert {r.error for r in got.values()} == {None}
+
+
 def test_urls_against_brute_force(spark):
     urls = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?q#f", "http://www.example.com/en/", "https://a.www.example.com/en/y", "http://b.net/es/", "http://net/fr/z", "http://net/fr", "http://com", "http://com/", "http://xcom/", "http://x.com?/", "x://y://z.com/en/", "http://notexample.com/en/"]
     real = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
