@@ -226,7 +226,10 @@ def _needed(common: np.ndarray):
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
-    """One searcher for each ``PASS`` passages of the benchmark; the passages of one item are never parted."""
+    """One searcher for each ``PASS`` passages of the benchmark; the passages of one item are never parted.
+
+    Benchmarks are small beside the documents: each pass over the documents holds one searcher.
+    """
     small_batches(docs.sparkSession)
     bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
 
@@ -254,6 +257,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
         p = _cut(rows)
         return Searcher(p, idf, [latent_block(p, idf, a, min(a + RANK, len(p.size))) for a in range(0, len(p.size), RANK)])
 
+    # One item after the other passes through the driver; a pass holds PASS passages and one item.
     for r in bench.toLocalIterator():
         part.append((r.item_id, r.text))
         held += len(_cut(part[-1:]).size)
@@ -267,9 +271,9 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, passage_share, answer_share): each document that holds a passage of an item.
 
-    Null and empty texts and items hold nothing; repeated rows of a document give repeated rows,
-    repeated items count once. Only doc_id, item_id and text are read. An empty benchmark gives
-    an empty result.
+    One row a pair, with the shares of its best passage: rows that share a doc_id are one document,
+    rows that share an item_id one item. Null and empty texts and items hold nothing. Only doc_id,
+    item_id and text are read. An empty benchmark gives an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, passage_share double, answer_share double"
@@ -277,7 +281,8 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = spark.createDataFrame([], schema)
     for searcher in searchers(rows, benchmark):
         out = out.unionByName(rows.mapInArrow(_run(spark.sparkContext.broadcast(searcher)), schema))
-    return out
+    best = F.max(F.struct("passage_share", "answer_share", "cosine")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.passage_share", "best.answer_share")
 
 
 def _run(shared):
@@ -295,20 +300,20 @@ def _run(shared):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of ``benchmark``, unchanged."""
+    """The rows of ``docs`` that hold no passage of ``benchmark``, unchanged; columns may have any name."""
     spark = docs.sparkSession
-    schema = docs.schema
-    docs = docs.withColumn("_lower", F.lower("text"))
-    for searcher in searchers(docs.select("doc_id", F.col("_lower").alias("text")), benchmark):
+    names = docs.columns
+    rows = docs.select(F.struct(*[f"`{c}`" for c in names]).alias("row"), F.lower(F.col("text").cast("string")).alias("text"))
+    for searcher in searchers(rows.select("text"), benchmark):
         shared = spark.sparkContext.broadcast(searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, _, raw, off in text_slices(batch.column("_lower")):
+                for a, _, raw, off in text_slices(batch.column("text")):
                     for h in shared.value.hits(Words(raw, off, IS_BREAK)):
                         keep[a + h[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(*[f"`{c}`" for c in schema.names])
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

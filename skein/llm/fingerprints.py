@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import save
+from skein.llm.common import small_batches
 from skein.llm.textbatch import Words, mix, text_slices
 
 BINS, BITS, SHINGLE = 256, 4, 5
@@ -80,29 +81,59 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@dataclass
+class Cuts:
+    """The least (key, hash) of each range but the first, in order; range p follows cut p - 1."""
+
+    key: np.ndarray
+    hash: np.ndarray
+
+    def place(self, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """The range of each row; only rows whose key is a cut's are told apart by their hash."""
+        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        tied = np.flatnonzero(low < high)
+        for a in np.unique(low[tied]):
+            own = tied[low[tied] == a]
+            high[own] = a + np.searchsorted(self.hash[a : high[own[0]]], hash_[own], "right")
+        return high
+
+    def before(self, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """The range to which a row is the look-ahead: the one before, if the row is the least of its range; else -1."""
+        part = self.place(key, hash_)
+        at = np.maximum(part - 1, 0)
+        least = (part > 0) & (self.key[at] == key) & (self.hash[at] == hash_) if len(self.key) else np.zeros(len(key), bool)
+        return np.where(least, part - 1, -1)
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` (doc_id, text) dealt over ordered ranges of doc_id, each range followed by a look-ahead.
+    """``docs`` (doc_id, text) dealt over ranges in order of (doc_id, hash of the text), each followed by a look-ahead.
 
-    A range is one partition; behind its own rows (ahead = 0) come those with the least doc_id of
-    the next range that has rows (ahead = 1; the first range follows the last). The cuts, one
-    number a partition, are all that the driver holds. Returns the rows with _part and ahead.
+    A range is one partition; behind its own rows (ahead = 0) come those with the least key of the
+    next range (ahead = 1; the first range follows the last). The cuts, two numbers for each
+    PARTITION_BYTES of text, come from a range partitioning of the keys alone; they are all that
+    the driver and the tasks hold. Returns the rows with _part and ahead, and the number of ranges.
     """
+    spark = docs.sparkSession
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = max(1, min(size.n, -(-(size.bytes or 0) // PARTITION_BYTES)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) if size.n else 1)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10000).alias("c")).first().c if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    # The range of a row: how many cuts are at or below its key.
-    part = F.array_size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
-    ranged = docs.withColumn("_key", key).withColumn("_part", part.cast("int"))
-    firsts = sorted((r._part, r.least) for r in ranged.groupBy("_part").agg(F.min("_key").alias("least")).collect())
-    if not firsts:
-        return ranged.withColumn("ahead", F.lit(0)), 1
-    before = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}
-    ahead = F.element_at(F.create_map(*[F.lit(x) for least, p in before.items() for x in (least, p)]), F.col("_key")) if before else F.lit(None)
-    copies = F.array_compact(F.array(F.struct("_part", F.lit(0).alias("ahead")), F.when(ahead.isNotNull(), F.struct(ahead.alias("_part"), F.lit(1).alias("ahead")))))
-    dealt = ranged.withColumn("_copy", F.explode(copies)).select("doc_id", "text", F.col("_copy._part").alias("_part"), F.col("_copy.ahead").alias("ahead"))
-    return dealt, len(cuts) + 1
+    parts = max(1, min(size.n, -(-(size.bytes or 0) // PARTITION_BYTES)), min(size.n, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    ranged = keyed.select("_key", "_hash").repartitionByRange(parts, "_key", "_hash").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("_key", "_hash")).alias("m"))
+    least = sorted((r.m._key, r.m._hash) for r in ranged.select("m").collect())
+    shared = spark.sparkContext.broadcast(Cuts(np.array([k for k, _ in least[1:]], np.int64), np.array([h for _, h in least[1:]], np.int64)))
+    first = least[0] if least else (0, 0)
+
+    @F.pandas_udf("part int, before int")
+    def ranges(key: pd.Series, hash_: pd.Series) -> pd.DataFrame:
+        k, h = key.to_numpy(np.int64), hash_.to_numpy(np.int64)
+        return pd.DataFrame({"part": shared.value.place(k, h), "before": shared.value.before(k, h)}, dtype="int32")
+
+    # Only the two numbers of a row go to Python here.
+    found = keyed.withColumn("_range", ranges("_key", "_hash"))
+    last = F.when((F.col("_key") == first[0]) & (F.col("_hash") == first[1]), F.lit(max(len(least) - 1, 0)))
+    before = F.coalesce(last, F.when(F.col("_range.before") >= 0, F.col("_range.before")))
+    copies = F.array_compact(F.array(F.struct(F.col("_range.part").alias("_part"), F.lit(0).alias("ahead")), F.when(before.isNotNull(), F.struct(before.alias("_part"), F.lit(1).alias("ahead")))))
+    dealt = found.withColumn("_copy", F.explode(copies)).select("doc_id", "text", "_hash", F.col("_copy._part").alias("_part"), F.col("_copy.ahead").alias("ahead"))
+    return dealt, max(len(least), 1)
 
 
 def _walk(shingle: int):
@@ -157,11 +188,12 @@ def with_next(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likeness to it and the next one's.
 
     The next document is that with the next greater doc_id (rows with one doc_id follow each other
-    by text, null ids come first; after the last comes the first, so a single document is its own
+    by a hash of the text, then by text; null ids come first; after the last comes the first, so a single document is its own
     next). The edited text is the document with its last floor(n_chars / 2) code points replaced by
     the first as many (or all) of the next one. Texts cross the network once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     dealt, parts = in_order(docs)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.repartitionById(parts, "_part").sortWithinPartitions("_part", "ahead", "doc_id", "text").mapInPandas(_walk(shingle), schema)
+    return dealt.repartitionById(parts, "_part").sortWithinPartitions("_part", "ahead", "doc_id", "_hash", "text").mapInPandas(_walk(shingle), schema)

@@ -117,18 +117,19 @@ def describe(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Class means and Cholesky factors over centred and scaled statistics."""
+    """Class means and Cholesky factors over centred and scaled statistics; ``whiten`` holds the factors' triangular inverses."""
 
     shift: np.ndarray
     scale: np.ndarray
     mean: np.ndarray
     factor: np.ndarray
+    whiten: np.ndarray
     bias: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of label 1."""
         z = (x - self.shift) / self.scale
-        density = [self.bias[c] - 0.5 * (np.linalg.solve(self.factor[c], (z - self.mean[c]).T) ** 2).sum(0) for c in (0, 1)]
+        density = [self.bias[c] - 0.5 * (((z - self.mean[c]) @ self.whiten[c].T) ** 2).sum(1) for c in (0, 1)]
         return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / TEMPERATURE, -500, 500)))
 
 
@@ -170,7 +171,7 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Di
         cov = (1 - shrinkage) * cov + shrinkage * max(np.trace(cov) / d, 1e-3) * np.eye(d)
         factors.append(np.linalg.cholesky(cov))
         bias.append(np.log(count[c] / count.sum()) - np.log(np.diagonal(factors[-1])).sum())
-    return Discriminant(shift, spread, (mean - shift) / spread, np.stack(factors), np.array(bias))
+    return Discriminant(shift, spread, (mean - shift) / spread, np.stack(factors), np.stack([np.linalg.inv(f) for f in factors]), np.array(bias))
 
 
 def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:

@@ -136,8 +136,9 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{20 + i: 20 for i in range(31)}}
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_repeats_match_brute_force(docs, rows, hot):
+@pytest.mark.parametrize(("hot", "segment"), [(suffix_dedup.HOT, suffix_dedup.SEGMENT), (1, 500)])
+def test_repeats_match_brute_force(docs, rows, hot, segment, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     counts = collections.Counter()
     for _, t in rows:
         b = (t or "").encode()
@@ -288,6 +289,51 @@ def test_decontamination_finds_excerpts_across_cuts_and_copies_without_an_end(sp
     assert got == [(1, 1), (2, 1), (3, 2)]  # the fourth lacks the answer, the fifth is a short phrase
 
 
+def test_decontamination_counts_a_pair_once_over_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PASS", 1)
+    words = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    bench = spark.createDataFrame([(1, words[0]), (1, words[1]), (2, words[2]), (1, words[0])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, w, i) for i, w in enumerate(words)] + [(0, words[1], 7), (9, "clean", 8), (None, words[2], 9)], "doc_id long, text string, _lower int")
+    assert sorted(map(str, [(r.doc_id, r.item_id) for r in decontam.search(docs, bench).collect()])) == sorted(map(str, [(0, 1), (1, 1), (2, 2), (None, 2)]))
+    assert [tuple(r) for r in decontam.keep_clean(docs, bench).collect()] == [(9, "clean", 8)]
+
+
+def brute_hits(docs, items):
+    """Pairs by the longest common subsequence of each passage and each stretch of a text, without retrieval."""
+    found = set()
+    texts = [Words(raw, off, IS_BREAK) for _, _, raw, off in text_slices(pa.array([t.lower() for _, t in docs], pa.large_string()), 1 << 40)][0]
+    p = decontam._cut([(i, t.lower()) for i, t in items])
+    passages = [p.words[a : a + n].tolist() for a, n in zip(p.first, p.size, strict=True)]
+    for d, (doc_id, _) in enumerate(docs):
+        own = texts.hash[texts.first[d] : texts.first[d + 1]].tolist()
+        for item, passage in zip(p.item.tolist(), passages, strict=True):
+            n = len(passage)
+            if (doc_id, item) in found or len(set(own) & set(passage)) < 0.5 * len(set(passage)):
+                continue
+            for at in range(0, max(1, len(own)), decontam.STEP):
+                near = own[max(0, at - n) : at + 2 * decontam.STEP + n]
+                share = decontam.common_words(passage, near) / n
+                told = decontam.common_words(passage[-max(1, n // 4) :], near) / max(1, n // 4)
+                if share >= decontam.COMMON and (told >= decontam.ANSWER or share >= decontam.WHOLE):
+                    found.add((doc_id, item))
+                    break
+    return found
+
+
+def test_decontamination_recall_against_exact_subsequences(spark):
+    """What a search without retrieval confirms, on real documents and copies with up to 35 % of words changed."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    rng = np.random.default_rng(8)
+    for n, (_, text) in enumerate(items * 2):
+        words = [w if rng.random() > 0.35 * rng.random() else f"z{rng.integers(10**6)}" for w in text.split()]
+        docs.append((10**6 + n, " ".join([*(f"f{x}" for x in rng.integers(0, 10**6, 40)), *words, *(f"f{x}" for x in rng.integers(0, 10**6, 40))])))
+    want = brute_hits(docs, items)
+    got = {(r.doc_id, r.item_id) for r in decontam.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > len(items) and len(got & want) / len(want) >= 0.97
+    assert len(got - want) <= 0.01 * len(got)
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
@@ -309,6 +355,30 @@ def test_quality_learns_the_labels(docs, spark):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, labels).collect())
 
 
+def test_quality_matches_a_dense_discriminant(docs, spark):
+    """Moments, shrinkage and densities against a direct computation; accuracy on held-out rows only."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    real = docs.where("doc_id >= 0")
+    stats = {r.doc_id: np.array(r.stats) for r in quality.describe(real).collect()}
+    mark = {r.doc_id: r.quality for r in labels.collect()}
+    taught = [i for i in stats if i in mark and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.stack([stats[i] for i in taught]), np.array([mark[i] for i in taught])
+    shift, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-9))
+    asked = (np.stack([stats[i] for i in sorted(stats)]) - shift) / scale
+    density = []
+    for c in (0, 1):
+        own = (x[y == c] - shift) / scale
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * max(np.trace(cov) / len(cov), 1e-3) * np.eye(len(cov))
+        gap = asked - own.mean(0)
+        density.append(np.log(len(own) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap))
+    want = 1 / (1 + np.exp(np.clip((density[0] - density[1]) / quality.TEMPERATURE, -500, 500)))
+    got = {r.doc_id: r for r in quality.classify(real, labels).collect()}
+    assert np.allclose([got[i].score for i in sorted(stats)], want, atol=1e-5)
+    held = [i for i in mark if got[i].held_out]
+    assert np.mean([got[i].predicted == mark[i] for i in held]) > 0.9
+
+
 def test_languages_are_told_apart(docs):
     got = {r.doc_id: r for r in langid.classify(docs).collect()}
     truth = {r.doc_id: r.lang for r in docs.where("lang IS NOT NULL").collect()}
@@ -386,6 +456,22 @@ def test_fingerprints_estimate_likeness(docs):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_fingerprint_ranges_with_ties(spark):
+    rows = [(None, f"null {i} {'w ' * i}") for i in range(40)] + [(5, f"five {i}") for i in range(40)] + [(i, f"text {i} of its own") for i in range(100, 160)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = fingerprints.with_next(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = [(r.doc_id, r.text) for r in frame.orderBy(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"), "text").collect()]
+    want = collections.Counter()
+    for k, (i, text) in enumerate(order):
+        h = len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - h] + order[(k + 1) % len(order)][1][:h]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_mixing_meets_its_targets(docs):
     got = mixing.taken(docs).collect()
     assert len(got) == docs.count() and sorted(map(str, got)) == sorted(map(str, mixing.taken(docs).collect()))
