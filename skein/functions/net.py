@@ -61,3 +61,55 @@ def seconds_of_day(text: Column) -> Column:
     parts = F.split(text, ":")
     p = lambda i: F.get(parts, i).try_cast("int")
     return F.coalesce(F.when(F.size(parts) == 3, p(0) * 3600 + p(1) * 60 + p(2)), F.lit(-1))
+
+
+# Makers of hardware by the first three bytes of an address, and roles by host name, in order.
+MAKERS = {
+    "F4:B1:C2": "Dahua", "40:7A:A4": "Dahua", "3C:EF:8C": "Dahua", "E0:50:8B": "Dahua", "D0:39:57": "Dahua", "94:B6:09": "Dahua", "84:15:D3": "Dahua",
+    "A8:6D:AA": "Intel", "C4:AA:C4": "TP-Link", "FC:5F:49": "Xiaomi", "60:E9:AA": "Espressif", "D4:AB:61": "Dell", "D4:43:0E": "Cisco", "A8:16:9D": "Samsung", "0A:05:96": "Apple",
+}
+ROLES = {
+    "intercom": r"^(vto|vth)",
+    "camera": r"^(es-|ipc|nvr|dvr|dh-)",
+    "mobile": r"(iphone|ipad|galaxy|xiaomi|vivo|redmi|honor|huawei|noh-|oppo|android)",
+    "workstation": r"(desktop-|laptop-|-pc$|^win|^mh$|^hub)",
+    "server": r"(server|nas|srv|r230)",
+}
+CAMERA_PORTS = ("554", "37777", "3702")
+
+
+def maker(mac: Column) -> Column:
+    """The maker of a hardware address, ``unknown`` if it is null or not listed."""
+    known = F.create_map(*[F.lit(x) for pair in MAKERS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.upper(F.substring(mac, 1, 8))), F.lit("unknown"))
+
+
+def role(name: Column, system: Column, ports: Column) -> Column:
+    """What a device is: by the first rule its name fits, else by its system, else by its ports (an array of strings)."""
+    out = F.when(F.lit(False), F.lit(""))
+    for kind, pattern in ROLES.items():
+        out = out.when(F.coalesce(name.rlike("(?i)" + pattern), F.lit(False)), kind)
+    out = out.when(system.isin("Android", "iOS"), "mobile").when(system.isin("Windows", "Linux"), "workstation")
+    return out.when(F.coalesce(F.arrays_overlap(ports, F.array(*map(F.lit, CAMERA_PORTS))), F.lit(False)), "camera").otherwise("unknown")
+
+
+def family(name: Column) -> Column:
+    """The part of a host name that a batch of devices shares: without a hexadecimal or numeric ending, 14 characters, lower case."""
+    base = F.regexp_replace(F.regexp_replace(F.trim(name), r"[-_\s]?[0-9A-Fa-f]{4,}$", ""), r"[-_\s]?[0-9]+$", "")
+    return F.coalesce(F.lower(F.substring(base, 1, 14)), F.lit(""))
+
+
+def threat_band(denied: Column, ports: Column) -> Column:
+    """By the number of denied flows and of distinct ports."""
+    return F.when((denied >= 20000) | ((denied > 4000) & (ports > 6)), "high").when(denied >= 2000, "watch").otherwise("ok")
+
+
+def side(ip: Column) -> Column:
+    """internal or external, by the three site networks; empty for no address."""
+    inner = ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+    return F.when(ip.isNull() | (ip == ""), "").when(inner, "internal").otherwise("external")
+
+
+def sort_key(ip: Column) -> Column:
+    """The parts of an address as numbers, to order by; parts that are no numbers are null."""
+    return F.transform(F.split(ip, r"\."), lambda p: p.try_cast("int"))

@@ -97,3 +97,65 @@ def address_space(leases: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (duplicate_leases, churning_leases, many_addresses, random_machines, unmanaged, failed_logins, contradicted_owners, pool_pressure, session_clashes)}
+
+
+def infer(evidence: DataFrame) -> DataFrame:
+    """(case_id, cause) of (case_id, evidence, value): the first rule that a case's evidence meets.
+
+    Evidence is pivoted to one row a case with map-side combined aggregates; what a case lacks fails its rule.
+    """
+    of = lambda name, f: f(F.when(F.col("evidence") == name, F.col("value"))).alias(name)
+    e = evidence.groupBy("case_id").agg(
+        of("carrier_down", F.max), of("no_link", F.max), of("dropped", F.sum), of("hw_errors", F.max), of("failed_logins", F.sum), of("lockouts", F.sum), of("denied", F.sum), of("internal", F.avg), of("leases", F.sum), of("cpu", F.max)
+    )
+    c = F.col
+    ladder = (
+        F.when((c("carrier_down") == 1) & (c("no_link") == 1), "carrier_down").when((c("dropped") > 0) & (c("hw_errors") == 0), "benign_rx_dropped")
+        .when((c("failed_logins") >= 1000) & (c("lockouts") >= 1), "admin_bruteforce_lockout").when((F.round("denied") >= 10000) & (c("internal") >= 0.5), "internal_policy_deny_expected")
+        .when(c("leases") > 0, "dhcp_service_healthy").when(c("cpu") < 60, "firewall_resource_healthy").otherwise("unknown")
+    )
+    return e.select("case_id", ladder.alias("cause"))
+
+
+def verify(findings: DataFrame, recent: DataFrame) -> DataFrame:
+    """(id, fault, state) of (id, fault, subject) against recent (source, subject): a finding whose source tells
+    nothing of late is unverifiable, else confirmed if its subject is seen again, else resolved."""
+    told = recent.select(F.col("source").alias("fault"), F.lit(True).alias("_told")).distinct()
+    seen = recent.select(F.col("source").alias("fault"), "subject", F.lit(True).alias("_seen")).distinct()
+    rows = findings.join(told, "fault", "left").join(seen, ["fault", "subject"], "left")
+    return rows.select("id", "fault", F.when(F.col("_told").isNull(), "unverifiable").when(F.col("_seen"), "confirmed").otherwise("resolved").alias("state"))
+
+
+def preflight(wanted: DataFrame, durable: DataFrame, live: DataFrame) -> DataFrame:
+    """(host, missing, at_reboot) of (host, address) rows: wanted addresses that no durable setting holds, and
+    those of them that are live now and would go with a reboot. Hosts without such are left out."""
+    rows = wanted.join(durable.withColumn("_d", F.lit(True)), ["host", "address"], "left").join(live.withColumn("_l", F.lit(True)), ["host", "address"], "left").where("_d IS NULL")
+    said = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return rows.groupBy("host").agg(said("address").alias("missing"), said(F.when(F.col("_l"), F.col("address"))).alias("at_reboot"))
+
+
+def shell_failures(lines: DataFrame, least: int = 8) -> DataFrame:
+    """(time_window, src, failures) of (time_window, line): sources with at least ``least`` failed passwords in a window."""
+    src = F.regexp_extract("line", r"from ([0-9.]+) port", 1)
+    failed = lines.where(F.col("line").startswith("Failed password")).groupBy("time_window", src.alias("src")).agg(F.count(F.lit(1)).alias("failures"))
+    return failed.where(F.col("failures") >= least)
+
+
+def dead_interfaces(links: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(fault, subject): interfaces with an address that are not up."""
+    down = links.where("state <> 'UP'").join(addresses.where("ipv4 IS NOT NULL").select("interface").distinct(), "interface", "left_semi")
+    return down.select(F.lit("dead_interface").alias("fault"), F.col("interface").alias("subject"))
+
+
+def failed_units(units: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """(fault, subject): failed units but those whose name begins with an allowed prefix."""
+    fine = reduce(lambda a, b: a | b, [F.col("unit").startswith(p) for p in allowed], F.lit(False))
+    return units.where(~fine).select(F.lit("failed_unit").alias("fault"), F.col("unit").alias("subject"))
+
+
+def freshness(seen: DataFrame, sources: list[str], now, seconds: int) -> DataFrame:
+    """(source, n, state): each stated source is missing, stale beyond ``seconds`` before ``now``, or fresh."""
+    every = seen.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+    last = seen.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"))
+    late = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("newest") > seconds * 1_000_000
+    return every.join(last, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("newest").isNull(), "missing").when(late, "stale").otherwise("fresh").alias("state"))

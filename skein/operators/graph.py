@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder where the session names one; else stay lazy."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -33,8 +33,8 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     front = reached
     for d in range(1, depth + 1):
         step = front.select("start", F.col("node").alias("src")).join(both, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = _settle(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d)))
-        reached = _settle(reached.unionByName(front))
+        front = settle(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        reached = settle(reached.unionByName(front))
     return reached
 
 
@@ -44,7 +44,7 @@ def longest_chains(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     every = paths
     for _ in range(hops):
         paths = paths.join(edges.select(F.col("src").alias("tail"), F.col("dst").alias("next")).distinct(), "tail").where(~F.array_contains("path", F.col("next")))
-        paths = _settle(paths.select("root", F.col("next").alias("tail"), F.array_append("path", F.col("next")).alias("path")))
+        paths = settle(paths.select("root", F.col("next").alias("tail"), F.array_append("path", F.col("next")).alias("path")))
         every = every.unionByName(paths)
     order = Window.partitionBy("root").orderBy(F.desc(F.size("path")), "path")
     return every.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("root", (F.size("path") - 1).alias("hops"), F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))

@@ -105,3 +105,95 @@ def apply_steps(steps: DataFrame, key: str, order: str, delta: str, start: float
     listed = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("s"))
     fold = F.aggregate("s", F.lit(start), lambda acc, x: F.least(F.lit(high), F.greatest(F.lit(low), acc + rate * x[delta])))
     return listed.select(key, F.round(fold, 6).alias("confidence"))
+
+
+def supersede(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``records`` with ``superseded_by``: each target of a SUPERSEDE is retired for the last of its candidates by id.
+
+    Targets that are missing or retired already stay as they are, so doing it twice changes nothing.
+    """
+    last = decisions.where("op = 'SUPERSEDE' AND target_id IS NOT NULL").groupBy("target_id").agg(F.max("memory_id").alias("_by"))
+    rows = records.join(last, F.col("memory_id") == F.col("target_id"), "left")
+    hit = F.col("_by").isNotNull() & ~F.col("quarantined")
+    return quarantine(rows.withColumn("superseded_by", F.when(hit, F.col("_by"))), hit, "superseded").drop("_by", "target_id")
+
+
+def apply_routes(records: DataFrame, candidates: DataFrame, decisions: DataFrame, cap: float = 3.0) -> DataFrame:
+    """The records that UPDATE and NOOP decisions touched, after all of them.
+
+    Every hit refreshes strength and counts as an access; an UPDATE also adds its candidate's tags
+    and assets (new ones by candidate id), 0.3 of confidence up to ``cap`` and 1 of importance.
+    """
+    hits = decisions.where("op IN ('UPDATE', 'NOOP')").join(candidates.select("memory_id", F.col("tags").alias("_t"), F.col("asset_ids").alias("_a")), "memory_id")
+    update = F.col("op") == "UPDATE"
+    listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(update, F.struct("memory_id", c)))), lambda x: x[c]))
+    folded = hits.groupBy("target_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(update).alias("_u"), listed("_t").alias("_t"), listed("_a").alias("_a"))
+    rows = records.join(folded, F.col("memory_id") == F.col("target_id"))
+    return rows.select(
+        "memory_id", F.array_union("tags", "_t").alias("tags"), F.array_union("asset_ids", "_a").alias("asset_ids"), F.least(F.lit(cap), F.col("confidence") + 0.3 * F.col("_u")).alias("confidence"),
+        (F.col("importance") + F.col("_u")).alias("importance"), F.lit(1.0).alias("strength"), (F.col("access_count") + F.col("_n")).alias("access_count"),
+    )
+
+
+def similar_links(records: DataFrame, k: int = 3, least: float = 0.34) -> DataFrame:
+    """(memory_id, other, score): the ``k`` most similar active records of each, the earlier on ties.
+
+    Pairs meet on a shared tag or asset, without which similarity is 0.
+    """
+    r = active(records).select("memory_id", "tags", "asset_ids", "insertion_order")
+    keys = F.array_union(F.transform(tagset(F.col("tags")), lambda x: F.concat(F.lit("t:"), x)), F.transform("asset_ids", lambda x: F.concat(F.lit("a:"), x)))
+    exploded = r.select("memory_id", F.explode(keys).alias("k"))
+    met = exploded.join(exploded.withColumnRenamed("memory_id", "other"), "k").where("memory_id < other").select("memory_id", "other").distinct()
+    other = r.select(F.col("memory_id").alias("other"), F.col("tags").alias("ot"), F.col("asset_ids").alias("oa"), F.col("insertion_order").alias("oo"))
+    scored = met.join(r, "memory_id").join(other, "other").withColumn("score", similarity(F.col("tags"), F.col("asset_ids"), F.col("ot"), F.col("oa"))).where(F.col("score") >= least)
+    one = scored.select("memory_id", "other", "score", F.col("oo").alias("o"))
+    both = one.unionByName(scored.select(F.col("other").alias("memory_id"), F.col("memory_id").alias("other"), "score", F.col("insertion_order").alias("o")))
+    rank = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("score"), "o"))
+    return both.withColumn("_r", rank).where(F.col("_r") <= k).select("memory_id", "other", "score")
+
+
+def temporal_links(records: DataFrame) -> DataFrame:
+    """(memory_id, relation, other): the nearest strictly earlier and later episodic record that shares an asset.
+
+    One window an asset; of an event's several assets the nearest neighbour counts (of equal times the lesser id).
+    """
+    rows = active(records).where("tier = 'episodic' AND observed_at IS NOT NULL").select("memory_id", "observed_at", F.explode(F.array_distinct("asset_ids")).alias("asset"))
+    times = rows.groupBy("asset", "observed_at").agg(F.min("memory_id").alias("first"))
+    w = Window.partitionBy("asset").orderBy("observed_at")
+    at = lambda f: F.struct(f("observed_at").over(w).alias("at"), f("first").over(w).alias("id"))
+    near = times.select("asset", "observed_at", at(F.lag).alias("before"), at(F.lead).alias("after"))
+    found = rows.join(near, ["asset", "observed_at"]).groupBy("memory_id").agg(
+        F.min(F.when(F.col("before.at").isNotNull(), F.struct((-F.unix_micros("before.at")).alias("d"), F.col("before.id").alias("id")))).alias("b"),
+        F.min(F.when(F.col("after.at").isNotNull(), F.struct(F.unix_micros("after.at").alias("d"), F.col("after.id").alias("id")))).alias("a"),
+    )
+    both = F.array_compact(F.array(F.when(F.col("b").isNotNull(), F.struct(F.lit("follows").alias("relation"), F.col("b.id").alias("other"))), F.when(F.col("a").isNotNull(), F.struct(F.lit("precedes").alias("relation"), F.col("a.id").alias("other")))))
+    return found.select("memory_id", F.explode(both).alias("x")).select("memory_id", "x.*")
+
+
+def neighbours(records: DataFrame) -> DataFrame:
+    """(memory_id, other): links that lead to active records."""
+    live = active(records).select(F.col("memory_id").alias("other"))
+    return records.select("memory_id", F.explode(F.array_distinct("links")).alias("other")).join(live, "other", "left_semi").select("memory_id", "other")
+
+
+def evict_by(records: DataFrame, budget: int, policy: str) -> DataFrame:
+    """(memory_id): what another policy would evict: ``random`` (by a hash), ``lru`` or ``ebbinghaus`` (weakest first)."""
+    order = {"random": [F.md5("memory_id")], "lru": [F.col("access_count"), F.col("insertion_order")], "ebbinghaus": [F.col("strength"), F.col("insertion_order")]}[policy]
+    n = max(0, active(records).count() - budget)
+    return active(records).orderBy(*order, "memory_id").limit(n).select("memory_id")
+
+
+def consolidate(records: DataFrame, runs: DataFrame, strikes: int = 2, cap: float = 3.0) -> DataFrame:
+    """``records`` after the runs (run_id, memory_id, included, credited, contradicted, passed), one row a memory and run.
+
+    A run that included an active memory counts as one access, however often it says so. A passed run adds 0.3 of
+    confidence up to ``cap`` and 1 of importance to what it credits. Episodic memories that ``strikes`` different runs
+    contradicted are retired. Runs are folded by map-side combined sums, so their order does not matter.
+    """
+    once = runs.groupBy("memory_id", "run_id").agg(F.max("included").alias("i"), F.max(F.col("credited") & F.col("passed")).alias("c"), F.max("contradicted").alias("x"))
+    folded = once.groupBy("memory_id").agg(F.count_if("i").alias("_i"), F.count_if("c").alias("_c"), F.count_if("x").alias("_x"))
+    rows = records.join(folded, "memory_id", "left")
+    n = lambda c: F.when(F.col("quarantined"), 0).otherwise(F.coalesce(c, F.lit(0)))
+    rows = rows.withColumn("access_count", F.col("access_count") + n("_i")).withColumn("importance", F.col("importance") + n("_c"))
+    rows = rows.withColumn("confidence", F.when(n("_c") > 0, F.least(F.lit(cap), F.col("confidence") + 0.3 * n("_c"))).otherwise(F.col("confidence")))
+    return quarantine(rows, (F.col("tier") == "episodic") & (F.col("_x") >= strikes), "contradicted").drop("_i", "_c", "_x")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,6 +27,68 @@ def largest_remainder(rows: DataFrame, group: str, item: str, weight: str, budge
     return placed.select(group, item, (F.col("_b") + (F.col("_r") <= F.col("_rest")).cast("long")).alias("budget"))
 
 
+#: The order in which unused room is lent to sections that had to drop something.
+LEND = ("Evidence", "Key Results", "Learnings", "Workflow", "Assets & Entities", "Current State", "Errors & Corrections", "Task Spec")
+
+
+def words_needed(text: str) -> int:
+    return len(text.split())
+
+
+def longest_prefix(text: str, budget: int, need: Callable[[str], int] = words_needed) -> tuple[str, str]:
+    """(the longest prefix within ``budget``, the rest), cut at a space where that leaves anything; ``need`` must not fall as text grows."""
+    if budget <= 0 or not text:
+        return "", text
+    if need(text) <= budget:
+        return text, ""
+    cut = bisect_right(range(len(text) + 1), budget, key=lambda n: need(text[:n])) - 1
+    space = text.rfind(" ", 0, cut) if cut and text[cut - 1].isascii() else -1
+    cut = space if space > 0 else cut
+    return text[:cut].rstrip(), text[cut:].lstrip()
+
+
+def _fit(items: list[tuple[int, str, bool]], budget: int, need: Callable[[str], int]) -> tuple[list[tuple[int, str]], bool]:
+    """((item, text) in order, whether anything was left out): required items whole, others while they fit, the first that does not in part."""
+    kept, used, short = [], 0, False
+    for item, text, required in items:
+        n = need(text)
+        if not required and used + n > budget:
+            short = True
+            text, n = (lambda t: (t, need(t)))(longest_prefix(text, budget - used, need)[0])
+            if not text:
+                continue
+        kept.append((item, text))
+        used += n
+    return kept, short
+
+
+def sections(items: DataFrame, budgets: dict[str, int], total: int, need: Callable[[str], int] = words_needed) -> DataFrame:
+    """(case_id, section, place, item, text): what of (case_id, section, item, text, required) fits a context of ``total``.
+
+    Each section first takes what its own budget holds, by item number; then room that is left of ``total`` is lent to
+    sections that dropped something, in the order of ``LEND``. Required items are never dropped. A case is one group:
+    it is what goes into one prompt.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("item")
+        given = {n: [(i, t or "", bool(r)) for i, t, r, s in zip(frame["item"], frame["text"], frame["required"], frame["section"], strict=True) if s == n] for n in budgets}
+        own = dict(budgets)
+        fitted = {n: _fit(given[n], own[n], need) for n in budgets}
+        used = {n: sum(need(t) for _, t in fitted[n][0]) for n in budgets}
+        left = max(0, total - sum(used.values()))
+        for n in (n for n in LEND if n in budgets and fitted[n][1]):
+            missing = sum(need(t) for _, t, _ in given[n]) - used[n]
+            own[n] += max(0, min(left, missing))
+            fitted[n] = _fit(given[n], own[n], need)
+            now = sum(need(t) for _, t in fitted[n][0])
+            left, used[n] = max(0, left - max(0, now - used[n])), now
+        rows = [(frame["case_id"].iloc[0], n, place, i, t) for n in budgets for place, (i, t) in enumerate(fitted[n][0], 1)]
+        return pd.DataFrame(rows, columns=["case_id", "section", "place", "item", "text"])
+
+    return items.groupBy("case_id").applyInPandas(run, "case_id long, section string, place long, item long, text string")
+
+
 _BLOCKS = ("h1", "h2", "h3", "h4", "p", "li", "pre", "td")
 
 

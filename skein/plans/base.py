@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.graph import settle
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,3 +31,8 @@ def register(queries: dict[str, Query], oracle: dict[str, str], sql: str | None
         return f
 
     return add
+
+
+def once(df: DataFrame) -> DataFrame:
+    """What several branches of a query read is computed once, in the shared folder where there is one."""
+    return settle(df)

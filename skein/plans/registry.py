@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import knowledge, lifecycle, retrieval, telemetry, timeline
+from skein.plans import devices, knowledge, lifecycle, retrieval, telemetry, timeline, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (retrieval, timeline, lifecycle, telemetry, knowledge):
+for _module in (retrieval, timeline, lifecycle, telemetry, knowledge, devices, upkeep):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 FLAGSHIP = "hybrid_gated"

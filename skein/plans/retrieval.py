@@ -250,13 +250,10 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
 )
 def vector_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-bit search; the stated queries are broadcast in one block while small, else joined as Spark sees fit."""
+    """The stated queries against all rows by their signs."""
     rows = load(spark, sf_dir, "embeddings")
-    dim = len(rows.select("embedding").head()[0])
-    coded = rows.select(F.col("vec_id").alias("doc_id"), retrieval.sign_bits(F.col("embedding"), dim).alias("code"))
-    asked = coded.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("code").alias("asked"))
-    scored = coded.crossJoin(asked).select("query_id", "doc_id", F.round(retrieval.hamming_similarity(F.col("asked"), F.col("code"), dim), 6).alias("score"))
-    return retrieval.top(scored, 10)
+    vectors = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return retrieval.binary_search(vectors, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10)
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import net
 from skein.operators import detect, pack
-from skein.plans.base import Query, load, register
+from skein.plans.base import Query, load, once, register
 from skein.sources import syslog
 
 QUERIES: dict[str, Query] = {}
@@ -57,8 +57,8 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).groupBy(syslog.category(F.col("fields")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syslog.facts(parsed(spark, sf_dir))
+def _facts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return syslog.facts(parsed(spark, sf_dir) if rows is None else rows)
 
 
 _FACTS = f"{_LINES}, f AS (SELECT date_trunc('second', ts) AS ts, srcip, dstip, CASE WHEN port = '70000' THEN 0 ELSE port::INT END AS dstport, action, floor(value * 100)::BIGINT AS sent FROM p WHERE type = 'traffic')"
@@ -109,15 +109,15 @@ def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupingSets([["action"], ["action", "dstport"], []], "action", "dstport").agg(F.count(F.lit(1)).alias("n"), F.sum("sent").alias("sent"))
 
 
-def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leases(rows: DataFrame) -> DataFrame:
     f = F.col("fields")
     at = F.try_to_timestamp(F.concat_ws(" ", f["date"], f["time"]))
-    return parsed(spark, sf_dir).where(f["logdesc"] == "DHCP Ack log").select(at.alias("ts"), f["srcip"].alias("ip"), f["mac"].alias("mac"))
+    return rows.where(f["logdesc"] == "DHCP Ack log").select(at.alias("ts"), f["srcip"].alias("ip"), f["mac"].alias("mac"))
 
 
-def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _logins(rows: DataFrame) -> DataFrame:
     f = F.col("fields")
-    return parsed(spark, sf_dir).where(f["type"] == "system").select(f["srcip"].alias("srcip"), (f["logdesc"] != "Admin login failed").alias("ok"))
+    return rows.where(f["type"] == "system").select(f["srcip"].alias("srcip"), (f["logdesc"] != "Admin login failed").alias("ok"))
 
 
 _LEASES = _LINES + """, l AS (SELECT date_trunc('second', ts) AS ts, srcip AS ip, (CASE WHEN user_id % 5 = 0 THEN '02' ELSE '00' END) || ':11:22:33:44:' || lpad(lower(printf('%X', (user_id + (event_id % 2) * (user_id % 9 = 0)::INT) % 256)), 2, '0') AS mac FROM p WHERE type = 'dhcp')"""
@@ -133,8 +133,9 @@ UNION ALL SELECT 'unmanaged_address', ip, 'medium', 0.75, n FROM (SELECT srcip A
 
 @register(QUERIES, ORACLE, f"WITH {_LEASES}, c AS (SELECT ip, mac, epoch(min(ts)) AS f, epoch(max(ts)) AS l FROM l GROUP BY 1, 2) {_DETECTED}")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leases, flows = _leases(spark, sf_dir), _facts(spark, sf_dir)
-    parts = [detect.many_addresses(leases), detect.random_machines(leases), detect.failed_logins(_logins(spark, sf_dir), 3), detect.duplicate_leases(leases, 86400), detect.unmanaged(flows, leases)]
+    rows = once(parsed(spark, sf_dir))
+    leases, flows = _leases(rows), _facts(spark, sf_dir, rows)
+    parts = [detect.many_addresses(leases), detect.random_machines(leases), detect.failed_logins(_logins(rows), 3), detect.duplicate_leases(leases, 86400), detect.unmanaged(flows, leases)]
     return detect.report(parts)
 
 
@@ -147,7 +148,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT segment, cell, CASE WHEN n > 1 THEN 'contested' WHEN n = 1 THEN 'leased' WHEN t.ip IS NOT NULL THEN 'unbound' ELSE 'silent' END AS state FROM c LEFT JOIN o USING (ip) LEFT JOIN t ON t.ip = c.ip""",
 )
 def address_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.address_space(_leases(spark, sf_dir), _facts(spark, sf_dir).select(F.col("srcip").alias("ip")))
+    rows = once(parsed(spark, sf_dir))
+    return detect.address_space(_leases(rows), _facts(spark, sf_dir, rows).select(F.col("srcip").alias("ip")))
 
 
 @register(

@@ -10,11 +10,13 @@ PAIR = r'(\w+)=("(?:[^"\\]|\\.)*"|\S+)'
 
 def fields(line: Column) -> Column:
     """The line's pairs as a map, quotes taken off; of repeated keys the last holds. Any line parses."""
-    keys = F.regexp_extract_all(line, F.lit(PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(line, F.lit(PAIR), F.lit(2)), lambda v: F.regexp_replace(v, r'^"(.*)"$', "$1"))
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    none = F.create_map().cast("map<string,string>")
-    return F.aggregate(pairs, none, lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+    pairs = F.transform(
+        F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)),
+        lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)), r'(?s)^"(.*)"$', "$1").alias("value")),
+    )
+    # A pair stays if no later one has its key.
+    last = F.transform(F.array(pairs), lambda every: F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["key"] == p["key"])))
+    return F.map_from_entries(F.element_at(last, 1))
 
 
 def parse(lines: DataFrame) -> DataFrame:
