@@ -143,11 +143,51 @@ def common_words(passage: list[int], text: list[int]) -> int:
     return len(passage) - v.bit_count()
 
 
+class WordMarks:
+    """Which words of the passages stand near a place of a text, as bits of a hash: no word is missed, some seem present.
+
+    A passage can only be confirmed where COMMON of its words stand within its own length of the window.
+    """
+
+    BITS, REACH = 1024, -(-PASSAGE // STEP)
+
+    def __init__(self, p: Passages):
+        self.words, code = np.unique(p.words, return_inverse=True)
+        row = np.repeat(np.arange(len(p.size)), p.size)
+        self.bit = np.full((len(p.size), int(p.size.max(initial=1))), -1, np.int16)
+        self.bit[row, np.arange(len(row)) - p.first[row]] = code % self.BITS
+        self.least = COMMON * p.size
+
+    def around(self, words: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+        """A row of bits for each of ``n`` blocks of STEP words: the words in it and REACH windows' blocks about it."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = self.words[at] == words
+        bit = at[hit] % self.BITS
+        own = np.zeros((n, self.BITS // 8), np.uint8)
+        np.bitwise_or.at(own, (block[hit], bit >> 3), np.left_shift(1, bit & 7).astype(np.uint8))
+        out = own.copy()
+        for s in range(1, self.REACH + 2):
+            out[:-s] |= own[s:]
+            if s <= self.REACH:
+                out[s:] |= own[:-s]
+        return out
+
+    def possible(self, near: np.ndarray, block: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Whether a passage may be confirmed at a block, for each pair."""
+        keep = np.zeros(len(block), bool)
+        for a in range(0, len(block), 8192):
+            bit = self.bit[passage[a : a + 8192]]
+            byte = np.take_along_axis(near[block[a : a + 8192]], np.maximum(bit, 0) >> 3, 1)
+            keep[a : a + 8192] = ((byte >> (np.maximum(bit, 0) & 7) & 1 > 0) & (bit >= 0)).sum(1) >= self.least[passage[a : a + 8192]]
+        return keep
+
+
 @dataclass
 class Searcher:
     passages: Passages
     idf: np.ndarray
     blocks: list[Block]
+    marks: WordMarks
 
     def hits(self, w: Words) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, share of the passage, share of the answer), one for each confirmed pair."""
@@ -172,6 +212,7 @@ class Searcher:
         block_doc = np.repeat(np.arange(len(blocks)), blocks)
         whole = np.flatnonzero(~last | (blocks[block_doc] == 1))
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
+        words_near = self.marks.around(w.hash, block, int(base[-1]))
         for part in self.blocks:
             code = part.place[term]
             hit = np.flatnonzero(code >= 0)
@@ -187,8 +228,10 @@ class Searcher:
             for a in range(0, len(open_), 4096):
                 cosine = (window[a : a + 4096] @ part.latent.T) / np.maximum(norm[open_[a : a + 4096]], 1e-9)[:, None]
                 around = (-1, -1, frozenset())
-                for i, j in np.argwhere(cosine >= COSINE):
-                    b = open_[a + i]
+                one, two = np.nonzero(cosine >= COSINE)
+                may = self.marks.possible(words_near, open_[a + one], part.first + two)
+                for i, j in zip(one[may].tolist(), two[may].tolist(), strict=True):
+                    b = int(open_[a + i])
                     d = int(block_doc[b])
                     first, size = int(self.passages.first[part.first + j]), int(self.passages.size[part.first + j])
                     key = (d, int(self.passages.item[part.first + j]))
@@ -255,7 +298,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
 
     def ready(rows: list[tuple[int, str]]) -> Searcher:
         p = _cut(rows)
-        return Searcher(p, idf, [latent_block(p, idf, a, min(a + RANK, len(p.size))) for a in range(0, len(p.size), RANK)])
+        return Searcher(p, idf, [latent_block(p, idf, a, min(a + RANK, len(p.size))) for a in range(0, len(p.size), RANK)], WordMarks(p))
 
     # One item after the other passes through the driver; a pass holds PASS passages and one item.
     for r in bench.toLocalIterator():
