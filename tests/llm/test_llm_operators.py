@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontam, fingerprints, langid, mixing, near_dup, pii, quality, suffix_dedup, url_filter, warc
+from skein.llm import decontam, fingerprints, langid, mixing, near_dup, pii, quality, suffix_dedup, suffix_sort, url_filter, warc
 from skein.llm.common import components
 from skein.llm.textbatch import IS_BREAK, Words, text_slices
 
@@ -162,6 +162,24 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
 
 
+@pytest.mark.parametrize("text", ["aaaaaaaaaaaaaaaaaaab", "banana" * 4])
+def test_distributed_suffix_sort(spark, text):
+    for n in (len(text) - 2, len(text) - 1, len(text)):
+        chars = spark.createDataFrame([(i, ord(c)) for i, c in enumerate(text[:n])], "pos long, c long")
+        got = {r.pos: r.rank for r in suffix_sort.suffix_ranks(chars, n, 12).collect()}
+        assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(n), key=lambda i: text[i:n]) and sorted(got.values()) == list(range(n))
+
+
+def test_distributed_sort_finds_repeated_strings(spark):
+    rng = np.random.default_rng(6)
+    part = bytes(rng.integers(97, 100, 60).tolist()).decode()
+    texts = [(1, part + "é" + part[:30]), (2, "x" + part[20:] + "y" * 50), (3, None), (4, ""), (5, "short"), (6, "y" * 25)]
+    counts = collections.Counter(t.encode()[p : p + 20] for _, t in texts if t for p in range(len(t.encode()) - 19))
+    want = {(k, p) for k, t in texts if t for p in range(len(t.encode()) - 19) if counts[t.encode()[p : p + 20]] > 1}
+    got = suffix_sort.repeated_starts(spark.createDataFrame(texts, "key long, text string"), 20, 150)
+    assert {(r.key, r.a) for r in got.collect()} == want and len(want) > 40
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
