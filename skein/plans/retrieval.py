@@ -49,7 +49,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's text: the judgements the measures use.
 
-    Texts meet on a window of the item's first eight words, so no document meets every item.
+    Texts meet on the item's second to fifth word, so no document meets every item; items of fewer
+    than five words have no judgements.
     """
     words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.concat_ws(" ", F.slice(words(F.col("text")), 2, 4)).alias("k"))
