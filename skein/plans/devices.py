@@ -158,13 +158,13 @@ def asset_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return devices.exposure(devices.describe(hosts(spark, sf_dir)))
 
 
-_CAPTURES = "c AS (SELECT '10.1.0.' || (user_id % 200) AS ip, ts, '00:' || (user_id + event_id % 3 * (user_id % 5 = 0)::INT) AS mac, CASE WHEN event_type = 'error' THEN NULL ELSE '00:' || (user_id % 400) END AS owner FROM events)"
+_CAPTURES = "c AS (SELECT '10.1.0.' || (user_id % 200) AS ip, ts, '00:' || (user_id + event_id % 3 * (user_id % 5 = 0)::INT) AS mac, CASE WHEN event_type = 'error' THEN NULL ELSE '00:' || (user_id + event_id % 3) END AS owner FROM events)"
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i, u = load(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
     mac = F.concat(F.lit("00:"), u + i % 3 * (u % 5 == 0).cast("int"))
-    owner = F.when(F.col("event_type") != "error", F.concat(F.lit("00:"), u % 400))
+    owner = F.when(F.col("event_type") != "error", F.concat(F.lit("00:"), u + i % 3))
     return e.select(F.concat(F.lit("10.1.0."), u % 200).alias("ip"), "ts", mac.alias("mac"), owner.alias("owner"))
 
 

@@ -10,6 +10,8 @@ from skein.operators import evaluate, memory, pack, retrieval
 from skein.plans import lifecycle
 from skein.plans.base import Query, load, once, register
 from skein.plans.lifecycle import _RECORDS, _records
+from skein.plans.retrieval import _BASE, _docs, _relevant
+from skein.plans.retrieval import _asked as _asked_items
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -120,44 +122,38 @@ def context_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.sections(items, {"Evidence": 40, "Learnings": 25, "Key Results": 25, "Workflow": 10}, 120)
 
 
-# Rankings of a hundred vectors for the stated queries, by distances of hashes; each query has up to three gold ones.
+# Two rankings of all documents for all benchmark items, by BM25 and by shared words; gold documents hold the item's text.
+_GOLD = _BASE + ", g AS (SELECT DISTINCT query_id, doc_id FROM rel)"
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = load(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
-    return items.select("query_id", F.explode(F.array(F.col("query_id") + 1, F.col("query_id") + 2, (F.col("query_id") * 3) % 97)).alias("doc_id")).distinct()
-
+def _routes(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    docs, asked = once(_docs(spark, sf_dir)), once(_asked_items(spark, sf_dir))
+    return once(retrieval.bm25(docs, asked, k)), once(retrieval.overlap_share(docs, asked, k))
 
-_GOLD = "g AS (SELECT DISTINCT vec_id AS query_id, unnest([vec_id + 1, vec_id + 2, (vec_id * 3) % 97]) AS doc_id FROM embeddings WHERE vec_id % 20 = 0)"
-_RANKED = "k AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(hash_q - hash_v), v.vec_id) AS rank FROM (SELECT vec_id, (vec_id * {a}) % 1009 AS hash_q FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, (vec_id * {a}) % 1009 AS hash_v FROM embeddings WHERE vec_id < 100) v)"
 
-
-def _ranking(spark: SparkSession, sf_dir: str, a: int) -> DataFrame:
-    v = load(spark, sf_dir, "embeddings")
-    near = v.where("vec_id < 100").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") * a % 1009).alias("hv"))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") * a % 1009).alias("hq"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("hq") - F.col("hv")), "doc_id"))
-    return asked.join(F.broadcast(near)).select("query_id", "doc_id", rank.alias("rank"))  # a hundred documents
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevant(spark, sf_dir).distinct()
 
 
-_RECALL = "(SELECT {k}::INT AS k, round(avg(r), 4)::DOUBLE AS recall FROM (SELECT g.query_id, avg((coalesce(rank, 1 << 30) <= {k})::INT) AS r FROM g LEFT JOIN k USING (query_id, doc_id) GROUP BY 1))"
-_STAGES = " UNION ALL ".join(_RECALL.format(k=k) for k in (1, 5, 10, 20))
+_RECALL = "(SELECT {k}::INT AS k, round(avg(r), 4)::DOUBLE AS recall FROM (SELECT g.query_id, avg((coalesce(rank, 1 << 30) <= {k})::INT) AS r FROM g LEFT JOIN (SELECT * FROM {r} WHERE rank <= 20) USING (query_id, doc_id) GROUP BY 1))"
+_STAGES = {r: " UNION ALL ".join(_RECALL.format(k=k, r=r) for k in (1, 5, 10, 20)) for r in ("ovr", "bmr")}
 
 
 @register(
     QUERIES,
     ORACLE,
-    f"""WITH b AS (WITH {_GOLD}, {_RANKED.format(a=31)} {_STAGES}), n AS (WITH {_GOLD}, {_RANKED.format(a=1)} {_STAGES})
+    f"""{_GOLD}, b AS ({_STAGES['ovr']}), n AS ({_STAGES['bmr']})
     SELECT k, b.recall AS base, n.recall AS new, round(n.recall - b.recall, 4)::DOUBLE AS absolute, CASE WHEN b.recall <> 0 THEN round((n.recall - b.recall) / b.recall, 4)::DOUBLE END AS relative FROM b JOIN n USING (k)""",
 )
 def stage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, ks = _gold(spark, sf_dir), [1, 5, 10, 20]
-    return evaluate.stage_delta(evaluate.recall_at(gold, _ranking(spark, sf_dir, 31), ks), evaluate.recall_at(gold, _ranking(spark, sf_dir, 1), ks))
+    gold, ks = once(_gold(spark, sf_dir)), [1, 5, 10, 20]
+    lexical, shared = _routes(spark, sf_dir, 20)
+    return evaluate.stage_delta(evaluate.recall_at(gold, shared, ks), evaluate.recall_at(gold, lexical, ks))
 
 
-@register(QUERIES, ORACLE, f"WITH {_GOLD}, {_RANKED.format(a=1)} SELECT g.query_id, min(rank) AS first_rank, count(rank) AS found, count(*) AS wanted FROM g LEFT JOIN k USING (query_id, doc_id) GROUP BY 1")
+@register(QUERIES, ORACLE, f"{_GOLD} SELECT g.query_id, min(rank) AS first_rank, count(rank) AS found, count(*) AS wanted FROM g LEFT JOIN (SELECT * FROM bmr WHERE rank <= 20) USING (query_id, doc_id) GROUP BY 1")
 def first_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.first_gold(_gold(spark, sf_dir), _ranking(spark, sf_dir, 1))
+    return evaluate.first_gold(_gold(spark, sf_dir), _routes(spark, sf_dir, 20)[0])
 
 
 _ASKED = "a AS (SELECT s_suppkey AS query_id, ['single', 'multi', 'update'][s_suppkey % 3 + 1] AS type, CASE WHEN s_suppkey % 5 = 0 THEN [] ELSE [s_suppkey % 60, s_suppkey % 7] END AS gold, CASE s_suppkey % 4 WHEN 0 THEN '' ELSE ' NATION_' || (s_suppkey % 9) || ' ' END AS answer FROM supplier)"
@@ -405,12 +401,12 @@ def event_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     QUERIES,
     ORACLE,
-    f"""WITH lx AS (WITH {_RANKED.format(a=31)} SELECT * FROM k), de AS (WITH {_RANKED.format(a=7)} SELECT * FROM k), f AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.doc_id, d.doc_id) AS doc_id, l.rank AS lexical_rank, d.rank AS dense_rank,
-      round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + d.rank), 0), 8)::DOUBLE AS score FROM (SELECT * FROM lx WHERE rank <= 15) l FULL JOIN (SELECT * FROM de WHERE rank <= 15) d ON l.query_id = d.query_id AND l.doc_id = d.doc_id),
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS first FROM f) WHERE first <= 15)
-    SELECT query_id, doc_id, lexical_rank, dense_rank, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN doc_id % 3 = 0 THEN doc_id % 50 END NULLS LAST, first) AS rank FROM p) WHERE rank <= 10""",
+    f"""{_BASE}, f AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.doc_id, d.doc_id) AS doc_id, l.rank AS lexical_rank, d.rank AS dense_rank,
+      round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 8) AS score FROM (SELECT * FROM bmr WHERE rank <= 15) l FULL JOIN (SELECT * FROM ovr WHERE rank <= 15) d ON l.query_id = d.query_id AND l.doc_id = d.doc_id),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS first FROM f) WHERE first <= 15)
+    SELECT query_id, doc_id, lexical_rank, dense_rank, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lexical_rank <= 5 THEN -lexical_rank END NULLS LAST, first) AS rank FROM pool) WHERE rank <= 10""",
 )
 def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, dense = _ranking(spark, sf_dir, 31), _ranking(spark, sf_dir, 7)
-    order = lexical.where("doc_id % 3 = 0").select("query_id", "doc_id", (F.col("doc_id") % 50).alias("order"))
-    return retrieval.hybrid(lexical, dense, 10, 15, order)
+    """BM25 and a second route fused; the reranker gives back only the five best of BM25, the last of them first."""
+    lexical, shared = _routes(spark, sf_dir, 15)
+    return retrieval.hybrid(lexical, shared, 10, 15, lexical.where("rank <= 5").select("query_id", "doc_id", (-F.col("rank")).alias("order")))
