@@ -230,3 +230,88 @@ def reflect(docs: DataFrame, queries: DataFrame, k: int = 10, attempt: int = 5,
     more = counts.withColumn("_r", place).where(F.col("_r") <= terms).groupBy("query_id").agg(F.collect_list("w").alias("more"))
     wider = queries.join(more, "query_id", "left").select("query_id", F.when(F.col("more").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "more")).alias("tokens"))
     return retrieval.bm25(docs, wider, k)
+
+
+def skill_chains(requests: DataFrame, skills: DataFrame) -> DataFrame:
+    """(request_id, chain, hits, steps, matched, fallback) of (request_id, request) and (name, description, tags, cost, frozen).
+
+    Each step of a request takes the skill with the most shared terms (then least cost, then greatest name) that no
+    earlier step took. A request none of whose steps finds one takes the best skill for its whole text. A step meets at
+    most every skill, of which there are few; the choice in order is made within the row of a request.
+    """
+    whole = requests.select("request_id", F.lit(-1).alias("i"), F.col("request").alias("step"))
+    parts = requests.select("request_id", F.posexplode(scalars.request_parts(F.col("request"))).alias("i", "step"))
+    every = whole.union(parts)
+    asked = every.select("request_id", "i", F.explode(scalars.request_terms(F.col("step"))).alias("t"))
+    said = F.concat_ws(" ", "name", "description", F.concat_ws(" ", "tags"))
+    held = skills.where("NOT frozen").select("name", "cost", F.explode(scalars.request_terms(said)).alias("t"))
+    hits = asked.join(held, "t").groupBy("request_id", "i", "name").agg(F.count(F.lit(1)).alias("n"), (-F.first("cost")).alias("c"))
+    options = hits.groupBy("request_id", "i").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "c", "name")))).alias("o"))
+    rows = every.join(options, ["request_id", "i"], "left").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("o", F.array().cast("array<struct<n:bigint,c:double,name:string>>")).alias("o")))).alias("s"))
+
+    def choose(chain: Column, step: Column) -> Column:
+        free = F.filter(step["o"], lambda o: ~F.exists(chain, lambda taken: taken["name"] == o["name"]))
+        return F.when(F.size(free) > 0, F.array_append(chain, free[0])).otherwise(chain)
+
+    chain = F.aggregate(F.filter("s", lambda x: x["i"] >= 0), F.array().cast("array<struct<n:bigint,c:double,name:string>>"), choose)
+    first = F.slice(F.flatten(F.transform(F.filter("s", lambda x: x["i"] < 0), lambda x: x["o"])), 1, 1)
+    rows = rows.withColumn("_c", chain).withColumn("_f", first).withColumn("chain", F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.col("_f")))
+    return rows.select(
+        "request_id", F.array_join(F.transform("chain", lambda x: x["name"]), ">").alias("chain"), F.array_join(F.transform("chain", lambda x: x["n"].cast("string")), ",").alias("hits"),
+        (F.size("s") - 1).alias("steps"), F.size("_c").alias("matched"), ((F.size("_c") == 0) & (F.size("_f") > 0)).alias("fallback"),
+    )
+
+
+def boundary_cases(params: DataFrame) -> DataFrame:
+    """(spec, param, role, value): one whole value for each position that a parameter (spec, param, low, high) can be tried at."""
+    low, high = F.col("low"), F.col("high")
+    role = F.col("role")
+    inside = F.when(low.isNotNull(), low + 1).otherwise(high - 1)
+    value = F.when(role == "min", low).when(role == "max", high).when(role == "just_inside", inside).otherwise(F.when(low.isNotNull(), low - 1).otherwise(high + 1))
+    return params.select("spec", "param", "low", "high", F.explode(scalars.positions(low, high, F.lit(True))).alias("role")).select("spec", "param", "role", value.alias("value"))
+
+
+def host_sessions(flows: DataFrame) -> DataFrame:
+    """(ip, peer, direction, sessions, bytes, ports) of (src, dst, port, bytes): what each host has open, either way."""
+    way = lambda a, b, d: flows.select(F.col(a).alias("ip"), F.col(b).alias("peer"), F.lit(d).alias("direction"), "port", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return way("src", "dst", "out").union(way("dst", "src", "in")).groupBy("ip", "peer", "direction").agg(F.count(F.lit(1)).alias("sessions"), F.sum("bytes").alias("bytes"), F.countDistinct("port").alias("ports"))
+
+
+# What each observation makes the risk of a site, the gravest first.
+ADMIN = ("ssh", "rdp", "admin-http", "admin-https")
+STORES = ("postgres", "mysql", "mongodb", "redis")
+WEAK_TLS = ("expired", "weak_cipher", "self_signed_weak")
+
+
+def host_services(evidence: DataFrame) -> DataFrame:
+    """(host, services, evidence) of (host, port, service): the distinct services of each host and how much evidence it has."""
+    said = F.when(F.col("port").isNotNull() & (F.coalesce("service", F.lit("")) != ""), F.concat("host", F.lit(":"), "port", F.lit("/"), "service"))
+    return evidence.where("host IS NOT NULL").groupBy("host").agg(F.array_join(F.array_sort(F.collect_set(said)), ",").alias("services"), F.count(F.lit(1)).alias("evidence"))
+
+
+def site_risk(evidence: DataFrame) -> DataFrame:
+    """(site, risk, score) of (site, host, port, service, tls, severity): the gravest thing observed; rows without a host count as seen only."""
+    has = lambda test: F.count_if(F.col("host").isNotNull() & F.coalesce(test, F.lit(False))) > 0
+    service = F.lower("service")
+    ladder = [(has(F.col("severity") >= 9.0), "critical_cve_exposed", 95), (has(service.isin(*ADMIN)), "internet_exposed_admin", 82), (has(service.isin(*STORES)), "public_database_exposure", 78),
+              (has(F.col("tls").isin(*WEAK_TLS)), "weak_tls_exposed", 58), (has(F.col("port").isNotNull() & (F.col("service") != "")), "informational_exposure", 25)]
+    risk, score = F.when(F.lit(False), ""), F.when(F.lit(False), 0)
+    for test, name, points in ladder:
+        risk, score = risk.when(test, name), score.when(test, points)
+    return evidence.groupBy("site").agg(risk.otherwise("no_exposure_observed").alias("risk"), score.otherwise(0).alias("score"))
+
+
+def community_profiles(members: DataFrame, ties: DataFrame, by: str = "segment") -> DataFrame:
+    """(``by``, label, size, role, maker, kinds, denied) of communities of at least two.
+
+    ``members`` (``by``, label, node, role, maker, denied), ``ties`` (``by``, src, dst, kind). The most frequent role and known
+    maker stand for a community, the lesser name on ties; kinds are those of ties within it.
+    """
+    key = [by, "label"]
+    sized = members.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.sum("denied").alias("denied")).where("size >= 2")
+    most = lambda c: members.where(F.coalesce(c, F.lit("unknown")) != "unknown").groupBy(*key, c).agg(F.count(F.lit(1)).alias("_n")).groupBy(*key).agg(F.min(F.struct((-F.col("_n")).alias("m"), c)).alias("b")).select(*key, F.col(f"b.{c}").alias(c))
+    at = lambda end, name: members.select(by, F.col("node").alias(end), F.col("label").alias(name))
+    inner = ties.join(at("src", "label"), [by, "src"]).join(at("dst", "_l"), [by, "dst"]).where("label = _l")
+    kinds = inner.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    rows = sized.join(most("role"), key, "left").join(most("maker"), key, "left").join(kinds, key, "left")
+    return rows.select(*key, "size", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("maker", F.lit("")).alias("maker"), F.coalesce("kinds", F.lit("")).alias("kinds"), "denied")

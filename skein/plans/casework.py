@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skein.functions import cases as scalars
 from skein.operators import casework
+from skein.plans import telemetry
 from skein.plans.base import Query, load, once, register
 from skein.plans.lifecycle import _RECORDS, _records
 from skein.plans.retrieval import _asked, _docs
 from skein.plans.upkeep import _SUITE, _suite
+from skein.sources import syslog
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -385,3 +387,91 @@ def suite_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reflected_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second search widened by the first; a test holds it against a plain loop."""
     return casework.reflect(_docs(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@register(QUERIES, ORACLE)
+def skill_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests, parts as skills; the choice in order is held against a loop by a test."""
+    skills = load(spark, sf_dir, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("name"), F.col("n_name").alias("description"), F.array(_pick(("price", "approval", "status", "run", "the", "a"), F.col("n_nationkey") % 6)).alias("tags"), (F.col("n_nationkey") % 3).cast("double").alias("cost"), (F.col("n_nationkey") % 11 == 0).alias("frozen"))
+    said = F.concat(_pick(("查询状态，然后 ", "报价再审批 then ", "run_it; "), F.col("turn") % 3), F.coalesce("text", F.lit("")))
+    return casework.skill_chains(load(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), said.alias("request")), skills)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH p AS (SELECT s_nationkey AS spec, s_suppkey AS param, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 5 END AS low, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 5 + 1 + s_suppkey % 3 END AS high FROM supplier)
+    SELECT spec, param, 'min' AS role, low AS value FROM p WHERE low IS NOT NULL UNION ALL SELECT spec, param, 'max', high FROM p WHERE high IS NOT NULL UNION ALL SELECT spec, param, 'just_outside', coalesce(low - 1, high + 1) FROM p WHERE low IS NOT NULL OR high IS NOT NULL
+    UNION ALL SELECT spec, param, 'just_inside', coalesce(low + 1, high - 1) FROM p WHERE (low IS NOT NULL OR high IS NOT NULL) AND coalesce(low + 1 < high, true)""",
+)
+def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    params = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("spec"), k.alias("param"), F.when(k % 3 != 0, k % 5).alias("low"), F.when(k % 4 != 0, k % 5 + 1 + k % 3).alias("high"))
+    return casework.boundary_cases(params)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH f AS (SELECT l_suppkey AS s, l_partkey % 40 AS d, l_linenumber AS p, CASE WHEN l_linenumber <> 2 THEN l_partkey END AS b FROM lineitem), x AS (SELECT s AS ip, d AS peer, 'out' AS direction, p, b FROM f UNION ALL SELECT d, s, 'in', p, b FROM f)
+    SELECT ip, peer, direction, count(*) AS sessions, coalesce(sum(b), 0)::BIGINT AS bytes, count(DISTINCT p) AS ports FROM x GROUP BY 1, 2, 3""",
+)
+def host_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 40).alias("dst"), F.col("l_linenumber").alias("port"), F.when(F.col("l_linenumber") != 2, F.col("l_partkey")).alias("bytes"))
+    return casework.host_sessions(flows)
+
+
+_SEEN = """v AS (SELECT c_nationkey AS site, CASE WHEN c_custkey % 7 > 0 THEN 'h' || (c_custkey % 60) END AS host, CASE WHEN c_custkey % 5 > 0 THEN 20 + c_custkey % 4 END AS port, CASE c_nationkey % 5 WHEN 0 THEN 'SSH' WHEN 1 THEN 'redis' WHEN 2 THEN 'web' WHEN 3 THEN '' END AS service,
+ CASE WHEN c_nationkey % 10 = 2 THEN 'expired' END AS tls, CASE WHEN c_nationkey % 9 = 0 THEN 9.5 ELSE 3.0 END AS severity FROM customer)"""
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return load(spark, sf_dir, "customer").select(
+        n.alias("site"), F.when(k % 7 > 0, F.concat(F.lit("h"), k % 60)).alias("host"), F.when(k % 5 > 0, 20 + k % 4).alias("port"), _pick(("SSH", "redis", "web", "", None), n % 5).alias("service"), F.when(n % 10 == 2, "expired").alias("tls"), F.when(n % 9 == 0, 9.5).otherwise(3.0).alias("severity")
+    )
+
+
+@register(QUERIES, ORACLE, f"WITH {_SEEN} SELECT host, coalesce(string_agg(DISTINCT s, ',' ORDER BY s), '') AS services, count(*) AS evidence FROM (SELECT host, CASE WHEN service <> '' THEN host || ':' || port || '/' || service END AS s FROM v) WHERE host IS NOT NULL GROUP BY 1")
+def host_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return casework.host_services(_seen(spark, sf_dir))
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    f"""WITH {_SEEN}, g AS (SELECT site, count(*) FILTER (host IS NOT NULL) > 0 AS any_host, max(severity) FILTER (host IS NOT NULL) >= 9 AS cve, bool_or(host IS NOT NULL AND service = 'SSH') AS adm, bool_or(host IS NOT NULL AND service = 'redis') AS db, bool_or(host IS NOT NULL AND tls = 'expired') AS weak, bool_or(host IS NOT NULL AND port IS NOT NULL AND service <> '') AS open FROM v GROUP BY 1)
+    SELECT site, CASE WHEN cve THEN 'critical_cve_exposed' WHEN adm THEN 'internet_exposed_admin' WHEN db THEN 'public_database_exposure' WHEN weak THEN 'weak_tls_exposed' WHEN open THEN 'informational_exposure' ELSE 'no_exposure_observed' END AS risk, CASE WHEN cve THEN 95 WHEN adm THEN 82 WHEN db THEN 78 WHEN weak THEN 58 WHEN open THEN 25 ELSE 0 END AS score FROM g""",
+)
+def site_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return casework.site_risk(_seen(spark, sf_dir))
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH m AS (SELECT c_nationkey AS segment, c_custkey % 4 AS label, c_custkey AS node, ['camera', 'server', 'unknown', 'mobile'][c_custkey % 7 % 4 + 1] AS role, ['Dell', 'unknown', 'Cisco'][c_custkey % 3 + 1] AS maker, c_custkey % 5 AS denied FROM customer),
+    t AS (SELECT a.c_nationkey AS segment, a.c_custkey AS src, b.c_custkey AS dst, 'k' || (a.c_custkey % 3) AS kind FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND b.c_custkey > a.c_custkey AND a.c_custkey % 13 = b.c_custkey % 13),
+    c AS (SELECT segment, label, count(*) AS size, sum(denied)::BIGINT AS denied FROM m GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT segment, label, role FROM (SELECT segment, label, role, row_number() OVER (PARTITION BY segment, label ORDER BY count(*) DESC, role) AS n FROM m WHERE role <> 'unknown' GROUP BY 1, 2, 3) WHERE n = 1),
+    v AS (SELECT segment, label, maker FROM (SELECT segment, label, maker, row_number() OVER (PARTITION BY segment, label ORDER BY count(*) DESC, maker) AS n FROM m WHERE maker <> 'unknown' GROUP BY 1, 2, 3) WHERE n = 1),
+    k AS (SELECT t.segment, a.label, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM t JOIN m a ON a.node = t.src JOIN m b ON b.node = t.dst AND a.label = b.label GROUP BY 1, 2)
+    SELECT c.segment, c.label, size, coalesce(role, 'unknown') AS role, coalesce(maker, '') AS maker, coalesce(kinds, '') AS kinds, denied FROM c LEFT JOIN r USING (segment, label) LEFT JOIN v USING (segment, label) LEFT JOIN k USING (segment, label)""",
+)
+def community_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = load(spark, sf_dir, "customer")
+    members = c.select(n.alias("segment"), (k % 4).alias("label"), k.alias("node"), _pick(("camera", "server", "unknown", "mobile"), k % 7 % 4).alias("role"), _pick(("Dell", "unknown", "Cisco"), k % 3).alias("maker"), (k % 5).alias("denied"))
+    end = lambda name: c.select(n.alias("segment"), k.alias(name), (k % 13).alias("_g"))
+    ties = end("src").join(end("dst"), ["segment", "_g"]).where("src < dst").select("segment", "src", "dst", F.concat(F.lit("k"), F.col("src") % 3).alias("kind"))
+    return casework.community_profiles(members, ties)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    f"WITH {telemetry._LINES}, t AS (SELECT date_trunc('second', min(ts)) + INTERVAL 1 HOUR AS a, date_trunc('second', max(ts)) - INTERVAL 1 HOUR AS b FROM p) SELECT event_id, srcip FROM p, t WHERE type = 'traffic' AND action = 'deny' AND date_trunc('second', ts) BETWEEN a AND b",
+)
+def selected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = load(spark, sf_dir, "events").agg((F.date_trunc("second", F.min("ts")) + F.expr("INTERVAL 1 HOUR")).alias("a"), (F.date_trunc("second", F.max("ts")) - F.expr("INTERVAL 1 HOUR")).alias("b")).first()
+    rows = syslog.select_lines(telemetry.parsed(spark, sf_dir), whole.a, whole.b, {"type": "traffic", "action": "deny"})
+    return rows.select("event_id", F.col("fields")["srcip"].alias("srcip"))

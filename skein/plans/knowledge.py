@@ -146,3 +146,23 @@ def entity_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").cast("long").alias("entity"), evidence.alias("evidence"))
     asked = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("entity"))
     return knowledge.entity_paths(records, _edges(spark, sf_dir), asked, 5, {"exact": 3.0, "base": 2.0, "per_hop": 0.5, "per_evidence": 0.1, "most_evidence": 3.0}, depth=2)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    f"""WITH RECURSIVE {_PATHS}, r AS (SELECT s_suppkey AS record_id, s_nationkey AS entity, s_suppkey % 4 AS n, (s_nationkey + s_suppkey) % 25 AS target FROM supplier),
+    w AS (SELECT start, record_id, distance FROM d JOIN r ON r.entity = d.node UNION ALL SELECT start, record_id, distance + 1 FROM d JOIN r ON r.target = d.node), m AS (SELECT start, record_id, min(distance) AS distance FROM w GROUP BY 1, 2),
+    s AS (SELECT start::BIGINT AS query_id, record_id, distance::INT AS distance, round(CASE WHEN distance = 0 THEN 3.0 ELSE 0 END + greatest(0, 2.0 - 0.5 * distance) + least(3, n) * 0.1, 6)::DOUBLE AS score FROM m JOIN r USING (record_id) WHERE n > 0)
+    SELECT query_id, record_id, score, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, record_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""",
+)
+def related_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.plans.lifecycle import _edges
+
+    n = (F.col("s_suppkey") % 4).cast("int")
+    evidence = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n))
+    held = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").cast("long").alias("entity"), evidence.alias("evidence"))
+    relations = held.select("record_id", ((F.col("entity") + F.col("record_id")) % 25).alias("target"))
+    asked = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_nationkey").cast("long").alias("entity"))
+    weights = {"exact": 3.0, "base": 2.0, "per_hop": 0.5, "per_evidence": 0.1, "most_evidence": 3.0}
+    return knowledge.entity_paths(held, _edges(spark, sf_dir), asked, 5, weights, depth=2, relations=relations)

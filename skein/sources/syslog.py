@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 PAIR = r'(\w+)=("(?:[^"\\]|\\.)*"|\S+)'
 
@@ -65,6 +66,25 @@ def facts(lines: DataFrame) -> DataFrame:
     )
 
 
+def select_lines(rows: DataFrame, start=None, end=None, filters: dict[str, str] | None = None) -> DataFrame:
+    """Parsed rows (fields) whose fields equal ``filters`` and whose date and time lie in [start, end].
+
+    A bound leaves out rows that have no time; rows without a filtered field never fit.
+    """
+    f = F.col("fields")
+    at = F.try_to_timestamp(F.concat_ws(" ", f["date"], f["time"]))
+    for name, value in (filters or {}).items():
+        rows = rows.where(f[name] == value)
+    if start is not None:
+        rows = rows.where(at >= F.lit(start))
+    return rows if end is None else rows.where(at <= F.lit(end))
+
+
+def tail(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The last ``n`` rows by ``order``, kept as a partial top n by each task before the merge."""
+    return rows.orderBy(F.desc(order)).limit(n)
+
+
 def write_facts(rows: DataFrame, path: str) -> None:
     rows.withColumn("event_date", F.to_date("ts")).write.mode("append").partitionBy("event_date").parquet(path)
 
@@ -77,6 +97,25 @@ def neighbours(line: Column) -> Column:
     return F.coalesce(*found)
 
 
+def neighbour_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(ip, mac, interface) of a neighbour dump; a missing file is an empty table, which says nothing about health."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], "ip string, mac string, interface string")
+    return lines.select(neighbours(F.col("value")).alias("n")).where("n IS NOT NULL").select("n.*")
+
+
+def snapshot_age(spark: SparkSession, path: str, now, stale: int = 900) -> DataFrame:
+    """(path, age_seconds, stale) of each file of a snapshot, by when it was written; no file, no row."""
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, age_seconds double, stale boolean")
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now)) - F.unix_micros("modificationTime")) / 1_000_000)
+    return files.select("path", F.round(age, 1).alias("age_seconds"), (age > stale).alias("stale"))
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """A JSON-lines ledger; a corrupt line fails the read, or is dropped where ``strict`` is off."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)

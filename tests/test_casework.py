@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from skein.functions import cases as scalars
-from skein.operators import casework, evaluate, retrieval
+from skein.operators import casework, evaluate, knowledge, retrieval
+from skein.sources import syslog
 
 
 def one(spark, *columns):
@@ -104,3 +107,59 @@ def test_a_second_search_takes_words_of_the_first(spark):
     got = casework.reflect(docs, queries, 10, 5, 4)
     rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) > 15
+
+
+def test_chains_take_each_skill_once(spark):
+    rng = random.Random(9)
+    words = ["price", "status", "approve", "run", "list", "x1"]
+    skills = [(f"s{i}", rng.choice(words), rng.sample(words, rng.randint(0, 2)), float(rng.randint(0, 2)), rng.random() < 0.2) for i in range(8)]
+    requests = [(i, rng.choice([",", ";", " then "]).join(" ".join(rng.choices([*words, "none"], k=rng.randint(0, 2))) for _ in range(rng.randint(1, 4)))) for i in range(60)] + [(99, ""), (100, "nothing here")]
+    got = casework.skill_chains(spark.createDataFrame(requests, "request_id int, request string"), spark.createDataFrame(skills, "name string, description string, tags array<string>, cost double, frozen boolean"))
+
+    def best(terms, taken):
+        scored = [(len(terms & {n, d, *t}), -c, n) for n, d, t, c, f in skills if not f and n not in taken and terms & {n, d, *t}]
+        return max(scored) if scored else None
+
+    want = {}
+    for key, text in requests:
+        steps = [p.strip() for p in text.replace(" then ", "|").replace(",", "|").replace(";", "|").split("|") if p.strip()]
+        chain = []
+        for step in steps:
+            if found := best(set(step.split()), {n for _, _, n in chain}):
+                chain.append(found)
+        whole = best(set(text.replace(",", " ").replace(";", " ").split()), set()) if not chain else None
+        said = chain or ([whole] if whole else [])
+        want[key] = (">".join(n for _, _, n in said), ",".join(str(h) for h, _, _ in said), len(steps), len(chain), bool(whole))
+    assert {r.request_id: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_dense_hits_find_records_but_stay_below_exact_ones(spark):
+    none = [[]] * 3
+    rows = [(f"m{i}", "episodic", tokens, [], none[0], 0.0, 0.0, 1.0, i == 3, i) for i, tokens in enumerate((["router"], ["printer"], ["camera"], ["router"]))]
+    records = spark.createDataFrame(rows, "memory_id string, tier string, tokens array<string>, asset_ids array<string>, links array<string>, strength double, importance double, confidence double, quarantined boolean, insertion_order int")
+    asked = spark.createDataFrame([(1, ["router"], []), (2, ["unknown"], [])], "query_id int, tokens array<string>, assets array<string>")
+    dense = spark.createDataFrame([(1, "m1", 0.9), (1, "m1", 0.5), (1, "m3", 1.0), (1, "m2", -0.5), (2, "m2", 0.5), (2, "gone", 0.9)], "query_id int, memory_id string, score double")
+    plain = {(r.query_id, r.memory_id): r.score for r in knowledge.tiered(records, asked).collect()}
+    got = {(r.query_id, r.memory_id): (r.score, r["rank"]) for r in knowledge.tiered(records, asked, dense=dense).collect()}
+    assert set(plain) == {(1, "m0")} and set(got) == {(1, "m0"), (1, "m1"), (2, "m2")}
+    assert got[1, "m0"][0] == plain[1, "m0"] and got[1, "m0"][1] == 1
+    prior = 0.15 * 0.10 * 0.25  # of an episodic record without signals, times the best score of its query
+    assert abs(got[2, "m2"][0] - 0.35 * 0.5 * (1 + prior)) < 1e-6
+
+
+def test_snapshots_of_neighbours(spark, tmp_path):
+    assert syslog.neighbour_snapshot(spark, str(tmp_path / "none")).count() == 0 and syslog.snapshot_age(spark, str(tmp_path / "none"), datetime(2024, 1, 1)).count() == 0
+    path = tmp_path / "arp.txt"
+    path.write_text("10.0.0.1 3 AA:bb:cc:00:11:22 lan\nno entry\n? (10.0.0.2) at 00:11:22:33:44:55 [ether] on eth0\n")
+    os.utime(path, (1_700_000_000, 1_700_000_000))
+    assert sorted(tuple(r) for r in syslog.neighbour_snapshot(spark, str(path)).collect()) == [("10.0.0.1", "aa:bb:cc:00:11:22", "lan"), ("10.0.0.2", "00:11:22:33:44:55", "eth0")]
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, tz=timezone.utc)
+    assert [tuple(r)[1:] for late in (-5, 900, 901) for r in syslog.snapshot_age(spark, str(path), at(late)).collect()] == [(0.0, False), (900.0, False), (901.0, True)]
+
+
+def test_lines_without_a_time_or_field(spark):
+    rows = spark.createDataFrame([(1, "date=2024-01-01 time=10:00:00 a=x"), (2, "a=x"), (3, "date=2024-01-01 time=12:00:00 a=y"), (4, "date=2024-01-01 time=11:00:00 b=x")], "id int, line string")
+    parsed = syslog.parse(rows)
+    ids = lambda *args: sorted(r.id for r in syslog.select_lines(parsed, *args).collect())
+    assert ids(None, None, {"a": "x"}) == [1, 2] and ids(datetime(2024, 1, 1, 10), None) == [1, 3, 4] and ids(None, datetime(2024, 1, 1, 11), {"a": "x"}) == [1]
+    assert [r.id for r in syslog.tail(rows, "id", 2).collect()] == [4, 3]
