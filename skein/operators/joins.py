@@ -66,17 +66,24 @@ def jaccard_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFr
     """Directed (a, b, score) of sets with Jaccard at least ``least`` > 0.
 
     Prefix filtering: items in order of rarity, and a set can only reach a partner through its first
-    n - ceil(least * n) + 1 items, so pairs meet on rare items; each is then checked on the full sets.
+    n - ceil(least * n) + 1 items, so pairs meet on rare items. Pairs whose sizes differ too much, or with too few
+    items left from the first shared one on, go; the others are checked on the full sets.
     """
     each = sets.select(F.col(key).alias("id"), F.explode(F.array_distinct(items)).alias("item"))
     rare = each.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = each.join(rare, "item", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("s"))
     ordered = ordered.select("id", F.transform("s", lambda x: x["item"]).alias("s"))
     n = F.size("s")
-    first = ordered.select("id", "s", F.explode(F.slice("s", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)).alias("item"))
-    a, b = first.select(F.col("id").alias("a"), "item"), first.select(F.col("id").alias("b"), "item")
-    met = a.join(b, "item").where("a < b").select("a", "b").distinct()
+    reach = F.slice("s", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)
+    first = ordered.select("id", n.alias("n"), F.posexplode(reach).alias("i", "item"))
+    a, b = first.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "item"), first.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "item")
+    near = (F.least("na", "nb") >= F.ceil(least * F.greatest("na", "nb") - 1e-6)) & (F.col("a") < F.col("b"))
+    met = a.join(b, "item").where(near).groupBy("a", "b").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # both sets from their first shared item on
+    met = met.where(most >= F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6)).select("a", "b")
     both = met.join(ordered.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(ordered.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    score = F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6)
+    shared = F.size(F.array_intersect("x", "y"))
+    score = F.round(shared / (F.size("x") + F.size("y") - shared), 6)
     kept = both.select("a", "b", score.alias("score")).where(F.col("score") >= least)
-    return kept.union(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    ways = F.array(F.struct("a", "b", "score"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    return kept.select(F.explode(ways).alias("p")).select("p.*")

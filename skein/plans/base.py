@@ -21,6 +21,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows read in fewer pieces than there are cores are dealt over the cores, ahead of costly expressions; else as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def register(queries: dict[str, Query], oracle: dict[str, str], sql: str | None = None):
     """Add a query under its function's name, and its SQL."""
 

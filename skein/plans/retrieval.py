@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import ranking, retrieval
-from skein.plans.base import Query, load, register
+from skein.plans.base import Query, load, register, spread
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -39,7 +39,7 @@ rel AS (
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.split(c, r"[\x20\x09-\x0D]+")
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("wanted"), F.concat_ws(" ", F.slice(words(F.col("text")), 2, 4)).alias("k"))
     # The generator keeps the split from being evaluated once a gram.
-    split = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
+    split = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4))))
     met = split.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(items, "k").select("doc_id", "query_id", "wanted").distinct()
     return met.join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("wanted"))).select("query_id", "doc_id")

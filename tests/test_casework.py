@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from skein.functions import cases as scalars
-from skein.operators import casework, evaluate, knowledge, retrieval
+from skein.operators import casework, evaluate, joins, knowledge, retrieval
 from skein.sources import syslog
 
 
@@ -163,3 +163,12 @@ def test_lines_without_a_time_or_field(spark):
     ids = lambda *args: sorted(r.id for r in syslog.select_lines(parsed, *args).collect())
     assert ids(None, None, {"a": "x"}) == [1, 2] and ids(datetime(2024, 1, 1, 10), None) == [1, 3, 4] and ids(None, datetime(2024, 1, 1, 11), {"a": "x"}) == [1]
     assert [r.id for r in syslog.tail(rows, "id", 2).collect()] == [4, 3]
+
+
+def test_similar_sets_lose_no_pair(spark):
+    rng = random.Random(4)
+    sets = [(i, rng.sample(range(14), rng.randint(0, 9))) for i in range(70)] + [(90, [1, 1, 2]), (91, [2, 1]), (92, None)]
+    frame = spark.createDataFrame(sets, "id int, s array<int>")
+    for least in (0.2, 0.5, 0.8, 1.0):
+        want = {(a, b) for a, x in sets for b, y in sets if a != b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= least}
+        assert {(r.a, r.b) for r in joins.jaccard_pairs(frame, "id", "s", least).collect()} == want
