@@ -315,3 +315,34 @@ def community_profiles(members: DataFrame, ties: DataFrame, by: str = "segment")
     kinds = inner.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     rows = sized.join(most("role"), key, "left").join(most("maker"), key, "left").join(kinds, key, "left")
     return rows.select(*key, "size", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("maker", F.lit("")).alias("maker"), F.coalesce("kinds", F.lit("")).alias("kinds"), "denied")
+
+
+def device_search(devices: DataFrame, needle: str, limit: int = 14) -> DataFrame:
+    """Devices any of whose texts (ip, name, maker, role, system, ports) hold ``needle``, the gravest band first, then the most flows, then the address.
+
+    ``devices`` also has (segment, band, flows). A blank needle finds nothing; nulls are no text.
+    """
+    said = F.lower(F.concat_ws(" ", "ip", "name", "maker", "role", "system", F.concat_ws(" ", "ports")))
+    wanted = needle.strip().lower()
+    band = F.when(F.col("band") == "high", 0).when(F.col("band") == "watch", 1).when(F.coalesce("band", F.lit("ok")) == "ok", 2).otherwise(3)
+    found = devices.where(F.contains(said, F.lit(wanted)) & F.lit(wanted != "")).dropDuplicates(["ip", "segment"])
+    return found.orderBy(band, F.desc(F.coalesce("flows", F.lit(0))), "ip", "segment").limit(limit)
+
+
+def incidents(rows: DataFrame, status: str | None = None, kind: str | None = None, ip: str | None = None) -> DataFrame:
+    """Rows (status, kind, ip) that equal what is asked; what is not asked does not narrow."""
+    for name, value in (("status", status), ("kind", kind), ("ip", ip)):
+        rows = rows.where(F.col(name) == value) if value else rows
+    return rows
+
+
+def recent_captures(captures: DataFrame, now, seconds: int) -> DataFrame:
+    """Captures (ts) at most ``seconds`` before ``now``, later ones included; those without a time are left out."""
+    return captures.where(F.unix_micros(F.lit(now)) - F.unix_micros("ts") <= seconds * 1_000_000)
+
+
+def tag_overlap(tagged: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank) of (doc_id, tags) and (query_id, tokens): how many of its tags a query names, repeated tags each."""
+    held = tagged.select("doc_id", F.explode("tags").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("t"))
+    return retrieval.top(held.join(asked, "t").groupBy("query_id", "doc_id").agg(F.sum("n").alias("score")), k)

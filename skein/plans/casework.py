@@ -475,3 +475,45 @@ def selected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = load(spark, sf_dir, "events").agg((F.date_trunc("second", F.min("ts")) + F.expr("INTERVAL 1 HOUR")).alias("a"), (F.date_trunc("second", F.max("ts")) - F.expr("INTERVAL 1 HOUR")).alias("b")).first()
     rows = syslog.select_lines(telemetry.parsed(spark, sf_dir), whole.a, whole.b, {"type": "traffic", "action": "deny"})
     return rows.select("event_id", F.col("fields")["srcip"].alias("srcip"))
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """SELECT ip, band, flows FROM (SELECT '10.0.' || (c_custkey // 200) || '.' || (c_custkey % 200) AS ip, c_name AS name, ['Dell', 'Cisco', NULL][c_custkey % 3 + 1] AS maker, ['low', 'watch', 'high', 'ok', NULL][c_custkey % 5 + 1] AS band, (c_custkey * 37) % 1000 AS flows FROM customer)
+    WHERE contains(lower(concat_ws(' ', ip, name, maker)), 'cisco') ORDER BY CASE band WHEN 'high' THEN 0 WHEN 'watch' THEN 1 WHEN 'low' THEN 3 ELSE 2 END, flows DESC, ip LIMIT 14""",
+)
+def device_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+    rows = load(spark, sf_dir, "customer").select(
+        F.concat(F.lit("10.0."), F.expr("c_custkey div 200"), F.lit("."), k % 200).alias("ip"), F.col("c_name").alias("name"), _pick(("Dell", "Cisco", None), k % 3).alias("maker"), none.alias("role"), none.alias("system"), F.array().cast("array<string>").alias("ports"),
+        F.lit("s").alias("segment"), _pick(("low", "watch", "high", "ok", None), k % 5).alias("band"), (k * 37 % 1000).alias("flows"),
+    )
+    return casework.device_search(rows, " Cisco ").select("ip", "band", "flows")
+
+
+@register(QUERIES, ORACLE, "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 20 = 3")
+def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"), F.concat(F.lit("10.0.0."), F.col("o_custkey") % 20).alias("ip"))
+    return casework.incidents(rows, status="F", ip="10.0.0.3").select("id")
+
+
+@register(QUERIES, ORACLE, "SELECT event_id FROM events WHERE event_id % 9 > 0 AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) <= 7200000000")
+def recent_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    rows = e.select("event_id", F.when(F.col("event_id") % 9 > 0, F.col("ts")).alias("ts"))
+    return casework.recent_captures(rows, e.agg(F.max("ts")).first()[0], 7200).select("event_id")
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH t AS (SELECT s_suppkey AS doc_id, unnest(['t' || (s_suppkey % 7), 't' || (s_suppkey % 5), 't' || (s_suppkey % 3)]) AS t FROM supplier), q AS (SELECT n_nationkey AS query_id, unnest(list_distinct(['t' || (n_nationkey % 6), 't' || (n_nationkey % 4), 'x'])) AS t FROM nation)
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, count(*) AS score FROM t JOIN q USING (t) GROUP BY 1, 2)) WHERE rank <= 10""",
+)
+def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    t = lambda c: F.concat(F.lit("t"), c)
+    tagged = load(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.array(t(k % 7), t(k % 5), t(k % 3)).alias("tags"))
+    return casework.tag_overlap(tagged, load(spark, sf_dir, "nation").select(n.alias("query_id"), F.array(t(n % 6), t(n % 4), F.lit("x")).alias("tokens")))
