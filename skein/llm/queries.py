@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import table
+from skein.llm.hard_negatives import MINE_SQL
 from skein.llm.mixing import TAKEN_SQL
 from skein.llm.url_filter import JUDGE_SQL
 from skein.llm.warc import ROUND_TRIP_SQL
@@ -72,6 +73,18 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"), relabel=(7, 10))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.secret_scan import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -83,5 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_near_dup": op9_near_dup,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_secrets": op13_secrets,
 }
-ORACLE: dict[str, str] = {"op4_mixing": TAKEN_SQL, "op6_warc": ROUND_TRIP_SQL, "op10_url_filter": JUDGE_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": TAKEN_SQL, "op6_warc": ROUND_TRIP_SQL, "op10_url_filter": JUDGE_SQL, "op11_hard_negatives": MINE_SQL}
