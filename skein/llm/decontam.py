@@ -31,7 +31,8 @@ from skein.llm.textbatch import IS_BREAK, Words, text_slices
 FEATURES, RANK, OVERSAMPLE = 1 << 16, 256, 8
 STEP, PASSAGE = 16, 64  # windows are of 2 * STEP words
 COSINE, COMMON, ANSWER, WHOLE = 0.2, 0.6, 0.5, 0.8
-#: Terms in more of the documents weigh nothing, but in passages with fewer than FEW rarer ones.
+#: Terms in more of the documents weigh nothing, but in passages with fewer than FEW rarer ones, or
+#: that can be hit by common words alone, as they make up a share of COMMON or more.
 MOST_DOCUMENTS, FEW = 0.05, 5
 #: Passages searched in one pass over the documents, in blocks of RANK; a larger benchmark takes more passes.
 PASS = 2048
@@ -260,8 +261,9 @@ def _needed(common: np.ndarray):
         for frame in frames:
             p = _cut([(0, t) for t in frame["text"]])
             for a, n in zip(p.first, p.size, strict=True):
-                own = np.unique(_term(p.words[a : a + n]))
-                if (~common[own]).sum() < FEW:
+                said = _term(p.words[a : a + n])
+                own = np.unique(said)
+                if (~common[own]).sum() < FEW or common[said].mean() >= COMMON:
                     seen |= set(own[common[own]].tolist())
         yield pd.DataFrame({"term": sorted(seen)}, dtype="int64")
 

@@ -68,29 +68,30 @@ def uniform(*keys: Column) -> Column:
 
 
 def plan(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies; the copies of equal rows are decided alike.
+    """(row, doc_id, size, source_size, target, copies): each row of ``docs`` as one struct, and how often it is taken.
 
-    Null texts have size 0. The rates meet the documents by a join on the source whose side Spark
-    broadcasts only if the written table of sources is small; otherwise both are sorted, and a hot
-    source is split by the adaptive skew join.
+    The copies of equal rows are decided alike; null texts have size 0. Rows travel as structs, so
+    columns of any name stay as they are. The rates meet the documents by a join on the source whose
+    side Spark broadcasts only if the written table of sources is small; otherwise both are sorted,
+    and a hot source is split by the adaptive skew join.
     """
-    rates = save(source_targets(docs, cap), "rates").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    rates = save(source_targets(docs, cap), "rates").withColumnRenamed("source", "own")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source")
     chance = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    copies = F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")
-    return docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_size", word_count(F.col("text"))).withColumn("_copies", copies).drop("_source", "_rate")
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    met = rows.join(rates, F.col("source").eqNullSafe(F.col("own")))
+    return met.select("row", "doc_id", word_count(F.col("text")).alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mixture: each row of ``docs`` as often as it is taken, columns unchanged."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return plan(docs, cap, seed).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+    """The mixture: each row of ``docs`` as often as it is taken, columns unchanged, whatever their names."""
+    taken_rows = plan(docs, cap, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return taken_rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def taken(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row a row of ``docs``."""
-    return plan(docs.select("doc_id", "text", "source"), cap, seed).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken")
-    )
+    return plan(docs.select("doc_id", "text", "source"), cap, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: The same rows by DuckDB: capped sources are those whose cap to weight ratio is at or below the level.

@@ -367,15 +367,17 @@ def _marked(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: that with the least doc_id.
 
-    Rows that repeat a kept doc_id stay only once (the first by text). A component of null ids
-    alone keeps one row; null ids without words all stay. Columns stay as they are.
+    Rows that repeat a kept doc_id stay only once (the first by a hash of the text, then of the whole
+    row). A component of null ids alone keeps one row; null ids without words all stay. Rows travel
+    as structs, so columns of any name and type stay as they are.
     """
     marked = _marked(docs, shingle, percent)
-    drop = save(marked.where("NOT kept").select(F.col("key").alias("_drop")).distinct(), "dropped")
-    kept = docs.join(drop, _key(docs) == F.col("_drop"), "left_anti")
-    again = save(marked.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again")), "again")
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, _key(kept) == F.col("_again"), "left_anti")
-    repeated = kept.join(again, _key(kept) == F.col("_again"), "left_semi").groupBy("doc_id", _key(kept)).agg(F.min(F.struct(*[c for c in kept.columns if c != "doc_id"])).alias("_row"))
-    return single.unionByName(repeated.select("doc_id", *[F.col(f"_row.`{c}`").alias(c) for c in kept.columns if c != "doc_id"]).select(*kept.columns))
+    drop = save(marked.where("NOT kept").select("key").distinct(), "dropped")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = rows.join(drop, "key", "left_anti").select("row", "key", "doc_id", "text")
+    again = save(marked.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("key").count().where("count > 1").select("key"), "again")
+    if not again.isEmpty():
+        order = F.struct(F.xxhash64("text"), F.sha2(F.to_json("row"), 256))
+        repeated = kept.join(again, "key", "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", order).alias("row")).select("row")
+        kept = kept.join(again, "key", "left_anti").select("row").unionByName(repeated)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.common import table
 from skein.llm.hard_negatives import MINE_SQL
 from skein.llm.mixing import TAKEN_SQL
+from skein.llm.phrases import COLLOCATIONS_SQL
 from skein.llm.url_filter import JUDGE_SQL
 from skein.llm.warc import ROUND_TRIP_SQL
 
@@ -79,6 +80,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), relabel=(7, 10))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.secret_scan import find
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dup": op9_near_dup,
     "op10_url_filter": op10_url_filter,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_secrets": op13_secrets,
 }
-ORACLE: dict[str, str] = {"op4_mixing": TAKEN_SQL, "op6_warc": ROUND_TRIP_SQL, "op10_url_filter": JUDGE_SQL, "op11_hard_negatives": MINE_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": TAKEN_SQL, "op6_warc": ROUND_TRIP_SQL, "op10_url_filter": JUDGE_SQL, "op11_hard_negatives": MINE_SQL, "op12_collocations": COLLOCATIONS_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -9,8 +10,9 @@ import re
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
-from skein.llm import hard_negatives, secret_scan
+from skein.llm import decontam, fingerprints, hard_negatives, mixing, near_dup, phrases, secret_scan, suffix_dedup
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -127,3 +129,125 @@ def test_hard_negatives_of_too_large_components(spark):
     df = spark.createDataFrame([(0, [1e9, 1e9], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(ValueError):
         hard_negatives.mine(df)
+
+
+SPACE = re.compile(r"[^\x20\x09]+")
+PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
+ASCII = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def brute_collocations(rows, least, longest=5, share=100, most=2000):
+    f, n = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        for piece in PIECE.split((text or "").translate(ASCII)):
+            w = SPACE.findall(piece)
+            n[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                f.update((lang or "und", tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    kept = {x: a for x, a in f.items() if a >= least and len(x[1]) > 1}
+    longer = collections.Counter()
+    for (lang, w), a in kept.items():
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                if j - i < len(w):
+                    longer[lang, w[i:j]] = max(longer[lang, w[i:j]], a)
+    told = collections.defaultdict(list)
+    for (lang, w), a in kept.items():
+        if longer[lang, w] and 100 * longer[lang, w] >= share * a:
+            continue
+        score, k = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w)))
+        told[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, i, p.decode(), -a, l, r, n[lang], -s) for lang, x in told.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:most], 1))
+
+
+def phrase_rows():
+    r = random.Random(7)
+    words = ["the", "The", "of", "in", "New", "York", "city", "é", "日本", "a-b", "x", "xx", "new", "\x1e", " "]
+    rows = [(" ".join(r.choices(words, weights=[9, 3, 8, 7, 5, 5, 3, 2, 2, 1, 6, 2, 3, 1, 1], k=r.randrange(1, 80))) + r.choice([".", "", "\n", " , x"]), r.choice(["en", "en", "fr", None, "und"])) for _ in range(600)]
+    rows += [("of the New\tYork  city!the", "en")] * 120 + [("x " * 5_000, "en"), ("x,x\nx x", "fr"), (None, "en"), ("", None), (".,;", "fr"), (None, None), ("lone", "de")]
+    return rows + [("w" * 100_000 + " of", "en")] * 2
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_collocations_match_brute_force(spark, monkeypatch, narrow):
+    if narrow:  # sketches too narrow to tell much, and many automata in many scans
+        monkeypatch.setattr(phrases, "LEAST_CELLS", 1 << 16)
+        monkeypatch.setattr(phrases, "MOST_CELLS", 1 << 16)
+        monkeypatch.setattr(phrases, "AUTOMATON_BYTES", 500)
+        monkeypatch.setattr(phrases, "SCAN_BYTES", 2_000)
+    rows = phrase_rows()
+    docs = spark.createDataFrame([(t, lang, i, "x") for i, (t, lang) in enumerate(rows)], "text string, lang string, n long, phrase string").repartition(7)
+    got = sorted(tuple(r) for r in phrases.collocations(docs, least=20).collect())
+    assert got == brute_collocations(rows, 20)
+    assert len(got) > 100
+
+
+def test_collocations_with_other_parameters(spark):
+    rows = phrase_rows()
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for least, longest, share, most in ((300, 3, 50, 5), (5, 2, 100, 3), (10**6, 5, 100, 10)):
+        got = sorted(tuple(r) for r in phrases.collocations(docs, least, longest, share, most).collect())
+        assert got == brute_collocations(rows, least, longest, share, most)
+    assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_scores_beyond_64_bits(spark, monkeypatch):
+    counts = {"a b": 10**11, "a": 2 * 10**11, "b": 3 * 10**11 + 7}
+    told = spark.createDataFrame([("en", p, c) for p, c in counts.items()], "lang string, phrase string, f long")
+    monkeypatch.setattr(phrases, "counted", lambda docs, wanted: told)
+    docs = spark.createDataFrame([("a b", "en")] * 9, "text string, lang string")
+    monkeypatch.setattr(phrases.F, "regexp_count", lambda *_: phrases.F.lit(10**14 + 1))
+    row = phrases.collocations(docs, least=2).first()
+    assert row.score == 1000 * 10**11 * 9 * (10**14 + 1) // (2 * 10**11 * (3 * 10**11 + 7))
+
+
+def twins(n):
+    """Two words of n letters, each the other with its letters swapped, that sums of powers of an odd base cannot tell apart."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_words_that_differ_have_different_hashes(spark, n):
+    a, b = twins(n)
+    docs = spark.createDataFrame([(1, a, None, None, None), (2, b, None, None, None), (3, a.upper(), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, shingle=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    benchmark = spark.createDataFrame([(7, " ".join([b] * 8))], "item_id long, text string")
+    table = spark.createDataFrame([(1, " ".join([a] * 8)), (2, " ".join([b] * 8))], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.search(table, benchmark).collect()} == {2}
+    marked = {r.doc_id: r for r in fingerprints.with_next(docs.where("doc_id < 3")).collect()}
+    assert marked[1].fingerprint != marked[2].fingerprint and marked[1].near_next < 0.2
+    left = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs.where("doc_id < 3")).collect()}
+    windows = collections.Counter(t[i : i + 200] for t in (a, b) for i in range(n - 199))
+    for i, t in ((1, a), (2, b)):
+        gone = set()
+        for at in range(n - 199):
+            if windows[t[at : at + 200]] > 1:
+                gone.update(range(at, at + 200))
+        assert left[i] == len(gone)
+
+
+def test_mixing_and_deduplication_leave_columns_of_any_name_alone(spark):
+    rows = [(1, "one two three", "a"), (2, "one two three", "b"), (3, "four five", None), (3, "four five six", "a"), (None, "lone text", "a"), (4, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for i, c in enumerate(["_copy", "_size", "_source", "_rate", "_drop", "_again", "a.b", "key", "row", "own", "rate", "copies", "target"]):
+        docs = docs.withColumn(c, F.lit(i))
+    docs = docs.withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id")))
+    plain = lambda df: sorted(map(str, df.collect()))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and set(plain(mixed)) <= set(plain(docs))
+    kept = near_dup.deduplicate(docs)
+    assert kept.columns == docs.columns and set(plain(kept)) <= set(plain(docs))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+
+
+@pytest.mark.parametrize("others", [2000, 100])
+@pytest.mark.parametrize("foreign", [4, 5])
+def test_common_words_do_not_hide_a_hit(spark, others, foreign):
+    item = " ".join([f"said{i}" for i in range(20)] + [f"rare{i}" for i in range(foreign)])
+    body = " ".join(f"said{i}" for i in range(20))
+    rows = [(i, f"{body} and then tail{i}") for i in range(30)] + [(1000 + i, f"plain{i} words{i % 7} of no note {i}") for i in range(others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontam.search(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == list(range(30))
