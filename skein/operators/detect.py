@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import net
 
 
-def _finding(rows: DataFrame, fault: str, subject: str, severity: str, confidence: float | Column, measured: Column) -> DataFrame:
+def finding(rows: DataFrame, fault: str, subject: str, severity: str, confidence: float | Column, measured: Column) -> DataFrame:
     sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return rows.select(F.lit(fault).alias("fault"), F.col(subject).cast("string").alias("subject"), F.lit(severity).alias("severity"), sure.alias("confidence"), measured.cast("double").alias("measured"))
 
@@ -22,7 +22,7 @@ def duplicate_leases(leases: DataFrame, seconds: int = 300) -> DataFrame:
     a, b = claims.select("ip", F.col("mac").alias("a"), F.col("f").alias("af"), F.col("l").alias("al")), claims.select("ip", F.col("mac").alias("b"), F.col("f").alias("bf"), F.col("l").alias("bl"))
     gap = F.least(*[F.abs(F.col(x) - F.col(y)) for x in ("af", "al") for y in ("bf", "bl")])
     pairs = a.join(b, "ip").where("a < b").withColumn("gap", gap).where(F.col("gap") <= seconds)
-    return _finding(pairs.groupBy("ip").agg(F.min("gap").alias("gap")), "duplicate_lease", "ip", "high", 0.9, F.col("gap"))
+    return finding(pairs.groupBy("ip").agg(F.min("gap").alias("gap")), "duplicate_lease", "ip", "high", 0.9, F.col("gap"))
 
 
 def churning_leases(leases: DataFrame, lease_seconds: int = 3600, least: int = 4, share: float = 0.05) -> DataFrame:
@@ -32,18 +32,18 @@ def churning_leases(leases: DataFrame, lease_seconds: int = 3600, least: int = 4
     keyed = leases.withColumn("k", F.concat_ws("|", "ip", "mac"))
     gaps = median_gap(keyed, "k", "ts", "mac").where((F.col("n") >= least) & (F.col("median_gap") < share * lease_seconds))
     of = gaps.withColumn("segment", net.segment(F.substring_index("k", "|", 1))).groupBy("segment").agg(F.median("median_gap").alias("m"))
-    return _finding(of, "lease_churn", "segment", "medium", 0.8, F.col("m"))
+    return finding(of, "lease_churn", "segment", "medium", 0.8, F.col("m"))
 
 
 def many_addresses(leases: DataFrame) -> DataFrame:
     """Machines with several addresses."""
-    return _finding(leases.groupBy("mac").agg(F.countDistinct("ip").alias("n")).where("n > 1"), "multi_address", "mac", "low", 0.7, F.col("n"))
+    return finding(leases.groupBy("mac").agg(F.countDistinct("ip").alias("n")).where("n > 1"), "multi_address", "mac", "low", 0.7, F.col("n"))
 
 
 def random_machines(leases: DataFrame, least: int = 2) -> DataFrame:
     """Segments with locally administered machine addresses."""
     local = leases.where(net.is_local_mac(F.col("mac"))).withColumn("segment", net.segment(F.col("ip")))
-    return _finding(local.groupBy("segment").agg(F.countDistinct("mac").alias("n")).where(F.col("n") >= least), "unmanaged_identity", "segment", "low", 0.6, F.col("n"))
+    return finding(local.groupBy("segment").agg(F.countDistinct("mac").alias("n")).where(F.col("n") >= least), "unmanaged_identity", "segment", "low", 0.6, F.col("n"))
 
 
 def unmanaged(flows: DataFrame, leases: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def unmanaged(flows: DataFrame, leases: DataFrame) -> DataFrame:
     hosts = flows.where(net.is_host(F.col("srcip")) & ~net.is_structural(F.col("srcip"))).groupBy(F.col("srcip").alias("ip")).agg(F.count(F.lit(1)).alias("n"))
     served = leases.select(net.segment(F.col("ip")).alias("segment")).distinct()
     free = hosts.withColumn("segment", net.segment(F.col("ip"))).join(served, "segment", "left_semi").join(leases.select("ip").distinct(), "ip", "left_anti")
-    return _finding(free, "unmanaged_address", "ip", "medium", 0.75, F.col("n"))
+    return finding(free, "unmanaged_address", "ip", "medium", 0.75, F.col("n"))
 
 
 def failed_logins(logins: DataFrame, least: int = 20) -> DataFrame:
     """Sources with at least ``least`` failed logins."""
-    return _finding(logins.where("NOT ok").groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "login_bruteforce", "srcip", "high", 0.95, F.col("n"))
+    return finding(logins.where("NOT ok").groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "login_bruteforce", "srcip", "high", 0.95, F.col("n"))
 
 
 def contradicted_owners(neighbours: DataFrame, leases: DataFrame) -> DataFrame:
@@ -65,18 +65,18 @@ def contradicted_owners(neighbours: DataFrame, leases: DataFrame) -> DataFrame:
     seen = neighbours.select("ip", F.lower("mac").alias("mac")).distinct().join(known.withColumn("_known", F.lit(1)), ["ip", "mac"], "left")
     owners = seen.groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.count("_known").alias("k"))
     held = owners.join(known.select("ip").distinct().withColumn("_leased", F.lit(True)), "ip", "left").where("n > 1 OR (_leased AND k = 0)")
-    return _finding(held, "duplicate_ip_static", "ip", "critical", F.when(F.col("n") > 1, 0.98).otherwise(0.9), F.col("n"))
+    return finding(held, "duplicate_ip_static", "ip", "critical", F.when(F.col("n") > 1, 0.98).otherwise(0.9), F.col("n"))
 
 
 def pool_pressure(stats: DataFrame, share: float = 0.8) -> DataFrame:
     """Pools whose latest row (pool, at, total, used) has at least ``share`` of its addresses in use; empty pools tell nothing."""
     last = stats.groupBy("pool").agg(F.max_by(F.struct("total", "used"), "at").alias("s")).select("pool", F.try_divide("s.used", "s.total").alias("u"), "s.total")
-    return _finding(last.where((F.col("total") > 0) & (F.col("u") >= share)), "pool_pressure", "pool", "high", 0.9, F.round("u", 3))
+    return finding(last.where((F.col("total") > 0) & (F.col("u") >= share)), "pool_pressure", "pool", "high", 0.9, F.round("u", 3))
 
 
 def session_clashes(clashes: DataFrame, least: int = 10) -> DataFrame:
     """Sources of at least ``least`` clashing sessions."""
-    return _finding(clashes.groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "session_tuple_clash", "srcip", "medium", 0.75, F.col("n"))
+    return finding(clashes.groupBy("srcip").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "session_tuple_clash", "srcip", "medium", 0.75, F.col("n"))
 
 
 def report(parts: list[DataFrame], limit: int | None = None) -> DataFrame:

@@ -23,6 +23,25 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b): component is the least node that can be reached.
+
+    Each round takes the least label of a node's neighbours and then that label's own label, so the
+    way to the least node about halves; it ends with the round that changes nothing. A self loop
+    keeps a lone node; null ends are ignored.
+    """
+    both = settle(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")).distinct())
+    label = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
+    while True:
+        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        lower = settle(label.join(near, "a").select("a", F.least("c", "m").alias("c"), F.col("c").alias("old")))
+        jumped = lower.join(lower.select(F.col("a").alias("c"), F.col("c").alias("next")), "c").select("a", F.col("next").alias("c"), "old")
+        after = settle(jumped)
+        label = after.select("a", "c")
+        if after.where("c <> old").isEmpty():
+            return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
+
+
 def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, distance) within ``depth`` hops of each start, over undirected edges.
 
@@ -38,6 +57,80 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def explained_distances(edges: DataFrame, starts: DataFrame, depth: int, relation: str | None = None) -> DataFrame:
+    """(start, node, distance, parent, relation, forward, verified): one shortest way to each node, by its last hop.
+
+    ``edges`` has src, dst, relation and verified and is walked both ways; ``forward`` says whether the
+    hop goes along its edge. Of the hops that reach a node in one level that from the least parent
+    counts (then a verified one, then by relation), so every node but a start has one parent that is
+    one nearer. With ``relation`` only edges of that kind are walked.
+    """
+    kept = edges.select("src", "dst", "relation", "verified")
+    kept = kept if relation is None else kept.where(F.col("relation") == relation)
+    back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "verified", F.lit(False).alias("forward"))
+    both = kept.withColumn("forward", F.lit(True)).unionByName(back)
+    node = edges.schema["src"].dataType
+    reached = starts.select(F.col("node").cast(node).alias("start"), F.col("node").cast(node).alias("node")).distinct().withColumns(
+        {"distance": F.lit(0), "parent": F.lit(None).cast(node), "relation": F.lit(None).cast("string"), "forward": F.lit(None).cast("boolean"), "verified": F.lit(True)}
+    )
+    front = reached
+    for d in range(1, depth + 1):
+        hop = F.struct(F.col("parent"), (~F.col("verified")).alias("doubt"), "relation", (~F.col("forward")).alias("against"))
+        step = front.select("start", F.col("node").alias("src")).join(both, "src").withColumnsRenamed({"src": "parent", "dst": "node"})
+        new = step.groupBy("start", "node").agg(F.min(hop).alias("h")).join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        front = settle(new.select("start", "node", F.lit(d).alias("distance"), "h.parent", "h.relation", (~F.col("h.against")).alias("forward"), (~F.col("h.doubt")).alias("verified")))
+        reached = settle(reached.unionByName(front))
+        if front.isEmpty():
+            break
+    return reached
+
+
+def explained_paths(reached: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """(start, node, distance, path, relations, verified) of the ``targets`` (start, node) that were reached.
+
+    Ways are rebuilt from their ends, one join with the hops a level; a way is verified if every hop is.
+    """
+    hops = reached.select("start", F.col("node").alias("at"), F.col("parent").alias("_p"), F.col("relation").alias("_r"), F.col("verified").alias("_v"))
+    ways = reached.join(targets.select("start", "node").distinct(), ["start", "node"], "left_semi")
+    none = F.array().cast("array<string>")
+    ways = ways.select("start", "node", "distance", F.col("node").alias("at"), F.array("node").alias("path"), none.alias("relations"), F.lit(True).alias("ok"))
+    for _ in range(depth):
+        met = ways.join(hops, ["start", "at"])
+        back = F.col("_p").isNotNull()
+        ways = settle(met.select(
+            "start", "node", "distance", F.coalesce("_p", "at").alias("at"), F.when(back, F.array_prepend("path", F.col("_p"))).otherwise(F.col("path")).alias("path"),
+            F.when(back, F.array_prepend("relations", F.col("_r"))).otherwise(F.col("relations")).alias("relations"), (F.col("ok") & F.col("_v")).alias("ok"),
+        ))
+    return ways.select("start", "node", "distance", "path", "relations", F.col("ok").alias("verified"))
+
+
+def explained_chains(chains: DataFrame, edges: DataFrame, records: DataFrame, early: list[str], failures: list[str]) -> DataFrame:
+    """(chain_id, path, relations, assets, early_change, hidden_failure, verified) of chains (chain_id, path array of ids in order).
+
+    ``edges`` (src, dst, relation, temporal, evidence array), ``records`` (memory_id, asset_ids,
+    event_type, observed_at, changed). A hop is verified by evidence or, if temporal, by the times of
+    both ends. ``early_change`` is the first record of an early kind or with a changed baseline; a
+    hidden failure starts with one, spans two assets and ends in a failure.
+    """
+    at = chains.select("chain_id", F.posexplode("path").alias("place", "memory_id"))
+    known = at.join(records.select("memory_id", "asset_ids", "event_type", "observed_at", "changed"), "memory_id", "left")
+    is_early = F.col("event_type").isin(*early) | F.coalesce("changed", F.lit(False))
+    listed = F.sort_array(F.collect_list(F.struct("place", "memory_id", "asset_ids", "event_type")))  # one chain's records
+    by_chain = known.groupBy("chain_id").agg(listed.alias("l"), F.min(F.when(is_early, F.struct("place", "memory_id"))).alias("e"))
+    hops = known.select("chain_id", "place", F.col("memory_id").alias("src"), F.col("observed_at").alias("a")).join(
+        known.select("chain_id", (F.col("place") - 1).alias("place"), F.col("memory_id").alias("dst"), F.col("observed_at").alias("b")), ["chain_id", "place"]
+    )
+    proof = (F.size("evidence") > 0) | (F.col("temporal") & F.col("a").isNotNull() & F.col("b").isNotNull())
+    told = hops.join(edges, ["src", "dst"], "left").groupBy("chain_id", "place").agg(F.min(F.struct("relation", F.coalesce(proof, F.lit(False)).alias("ok"))).alias("h"))
+    ways = told.groupBy("chain_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]["relation"]).alias("relations"), F.min("h.ok").alias("verified"))
+    assets = F.array_distinct(F.flatten(F.transform("l", lambda x: F.coalesce(x["asset_ids"], F.array().cast("array<string>")))))
+    last = F.element_at("l", -1)["event_type"]
+    return by_chain.join(ways, "chain_id", "left").select(
+        "chain_id", F.transform("l", lambda x: x["memory_id"]).alias("path"), F.coalesce("relations", F.array().cast("array<string>")).alias("relations"), assets.alias("assets"), F.col("e.memory_id").alias("early_change"),
+        (F.col("e").isNotNull() & (F.size(assets) >= 2) & F.coalesce(last.isin(*failures), F.lit(False))).alias("hidden_failure"), F.coalesce("verified", F.lit(True)).alias("verified"),
+    )
+
+
 def longest_chains(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(root, hops, path): the longest simple directed path from each root, ties by the path itself."""
     paths = roots.select(F.col("node").alias("root"), F.col("node").alias("tail"), F.array("node").alias("path")).distinct()

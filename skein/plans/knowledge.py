@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import knowledge, retrieval
+from skein.operators import ann, knowledge, retrieval
 from skein.plans.base import Query, load, register
 from skein.plans.retrieval import vector_flat
 
@@ -20,7 +20,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @register(QUERIES, ORACLE)
 def vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.approximate(*_vectors(spark, sf_dir))
+    return ann.search(*_vectors(spark, sf_dir))
 
 
 @register(QUERIES, ORACLE)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import net
-from skein.operators import detect, pack
-from skein.plans.base import Query, load, once, register
+from skein.operators import detect, pack, sweep
+from skein.plans.base import Query, load, once, register, spread
 from skein.sources import syslog
 
 QUERIES: dict[str, Query] = {}
@@ -23,7 +23,7 @@ _LINES = """p AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, line): one key-value log line an event."""
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events"))
     u, i = F.col("user_id"), F.col("event_id")
     src = F.concat(F.lit("10."), u % 3, F.lit("."), u % 7, F.lit("."), u % 250 + 1)
     dst = F.concat(F.lit("192.168.1."), i % 90)
@@ -133,10 +133,25 @@ UNION ALL SELECT 'unmanaged_address', ip, 'medium', 0.75, n FROM (SELECT srcip A
 
 @register(QUERIES, ORACLE, f"WITH {_LEASES}, c AS (SELECT ip, mac, epoch(min(ts)) AS f, epoch(max(ts)) AS l FROM l GROUP BY 1, 2) {_DETECTED}")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(parsed(spark, sf_dir))
-    leases, flows = _leases(rows), _facts(spark, sf_dir, rows)
-    parts = [detect.many_addresses(leases), detect.random_machines(leases), detect.failed_logins(_logins(rows), 3), detect.duplicate_leases(leases, 86400), detect.unmanaged(flows, leases)]
-    return detect.report(parts)
+    return sweep.findings(once(sweep.observed(parsed(spark, sf_dir))), logins=3, lease_gap=86400)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    f"""WITH {_LEASES}, f AS (SELECT srcip AS a FROM p WHERE type = 'traffic' UNION ALL SELECT dstip FROM p WHERE type = 'traffic'), s AS (SELECT event_id, date_trunc('second', ts) AS ts FROM events)
+    SELECT 'corpus' AS kind, '' AS subject, '' AS detail, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM s
+    UNION ALL SELECT 'ack', ip, mac, count(*), min(ts), max(ts) FROM l GROUP BY 2, 3
+    UNION ALL SELECT 'login_failed', srcip, '', count(*), min(date_trunc('second', ts)), max(date_trunc('second', ts)) FROM p WHERE type = 'system' AND event_type = 'error' GROUP BY 2
+    UNION ALL SELECT 'flow', a, '', count(*), min(ts), max(ts) FROM (SELECT srcip AS a, date_trunc('second', ts) AS ts FROM p UNION ALL SELECT dstip, date_trunc('second', ts) FROM p) GROUP BY 2
+    UNION ALL SELECT 'source', k, '', n, a, b FROM (SELECT 'dhcp_ack' AS k, count(*) AS n, min(ts) AS a, max(ts) AS b FROM l UNION ALL SELECT 'admin_auth', count(*), min(date_trunc('second', ts)), max(date_trunc('second', ts)) FROM p WHERE type = 'system' AND event_type = 'error'
+      UNION ALL SELECT 'l3_flow', 2 * count(*), min(date_trunc('second', ts)), max(date_trunc('second', ts)) FROM p) WHERE n > 0
+    UNION ALL SELECT 'traffic', srcip, '', count(*), min(date_trunc('second', ts)), max(date_trunc('second', ts)) FROM p WHERE type = 'traffic' GROUP BY 2""",
+)
+def swept_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of the one scan: counts and times of each kind of observation."""
+    seen = sweep.observed(parsed(spark, sf_dir))
+    return seen.select("kind", "subject", "detail", "n", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
 @register(

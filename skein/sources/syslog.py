@@ -11,13 +11,13 @@ PAIR = r'(\w+)=("(?:[^"\\]|\\.)*"|\S+)'
 
 def fields(line: Column) -> Column:
     """The line's pairs as a map, quotes taken off; of repeated keys the last holds. Any line parses."""
-    pairs = F.transform(
-        F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)),
-        lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)), r'(?s)^"(.*)"$', "$1").alias("value")),
-    )
-    # A pair stays if no later one has its key.
-    last = F.transform(F.array(pairs), lambda every: F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["key"] == p["key"])))
-    return F.map_from_entries(F.element_at(last, 1))
+    keys, values = (F.regexp_extract_all(line, F.lit(PAIR), F.lit(i)) for i in (1, 2))
+    bare = lambda v: F.when(F.startswith(v, F.lit('"')) & F.endswith(v, F.lit('"')) & (F.length(v) > 1), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    pairs = F.struct(keys.alias("k"), F.transform(values, bare).alias("v"))
+    # Hardly a line repeats a key; one that does takes each key's last place.
+    last = lambda p: F.transform(F.array_distinct(p["k"]), lambda k: F.element_at(p["v"], (F.size(p["k"]) - F.array_position(F.reverse(p["k"]), k) + 1).cast("int")))
+    made = F.transform(F.array(pairs), lambda p: F.when(F.size(F.array_distinct(p["k"])) == F.size(p["k"]), F.map_from_arrays(p["k"], p["v"])).otherwise(F.map_from_arrays(F.array_distinct(p["k"]), last(p))))
+    return F.element_at(made, 1)
 
 
 def parse(lines: DataFrame) -> DataFrame:
