@@ -226,6 +226,8 @@ def evolve(
     spark = candidates.sparkSession
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # The session's streams start the coordinator of state stores, which a batch frame needs as well.
+    len(spark.streams.active)
     start: GroupedData | None = None if records is None else records.groupBy("tier", "store")
     settings = {"update": update, "noop": noop, "budget": budget, "retention": retention, "floor": floor}
     return candidates.select(*CANDIDATE).groupBy("tier", "store").transformWithStateInPandas(Evolve(**settings), OPS, "Append", "None", start)

@@ -302,12 +302,12 @@ def test_leaked_masks_and_the_site_graph(spark):
         z = 0
         while d >> z & 1:
             z += 1
-        if 8 < z < 32 and s >> z == d >> z:
+        if 8 < z < 32 and s >> z == d >> z and s >> 8 != d >> 8:
             want[a][32 - z] += 1
     assert got == {a: (min(c), c[min(c)]) for a, c in want.items()}
-    hosts = spark.createDataFrame([(f"10.0.1.{i}", f"00:11:22:33:44:{i:02x}", f"cam-{i}" if i < 5 else None, None, [443], i, i * 10) for i in range(1, 10)], "ip string, mac string, name string, system string, ports array<int>, denied long, flows long")
+    hosts = spark.createDataFrame([(f"10.0.1.{i}", f"00:11:22:33:44:{i:02x}", f"cam-{i}" if i < 5 else None, None, ["443"], i, i * 10) for i in range(1, 10)], "ip string, mac string, name string, system string, ports array<string>, denied long, flows long")
     frame = spark.createDataFrame(sent, "node string, target string")
-    flows = spark.createDataFrame([(f"10.0.1.{i}", "8.8.8.8" if i < 4 else f"9.9.9.{i}", p) for i in range(1, 10) for p in (80, 443, 22)], "node string, target string, port int")
+    flows = spark.createDataFrame([(f"10.0.1.{i}", "8.8.8.8" if i < 4 else f"9.9.9.{i}", p) for i in range(1, 10) for p in ("80", "443", "22")], "node string, target string, port string")
     leases = spark.createDataFrame([(f"10.0.1.{i}", s) for i in (2, 3) for s in range(5)] + [("10.0.1.4", 1)], "node string, slot long")
     clashes = spark.createDataFrame([("10.0.1.1", "t"), ("10.0.1.5", "t"), ("10.0.1.6", "u")], "node string, tuple string")
     site = signals.site_graph(hosts, frame, flows, leases, clashes)
