@@ -23,7 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import save, small_batches
@@ -40,8 +40,10 @@ _STEP = np.random.default_rng(20261128).integers(1, 2**63, 64, dtype=np.uint64)
 
 #: Cells of a sketch row: about a cell for CELL_BYTES bytes of text, within these bounds (a cell is a byte at thresholds up to 255).
 CELL_BYTES, LEAST_CELLS, MOST_CELLS, ROWS, BLOCK = 64, 1 << 20, 1 << 26, 2, 1 << 16
-#: Tasks that sketch, for each core: what is merged grows with these, not with the data.
-TASKS_A_CORE = 4
+#: Tasks that read the texts, for each core: what they give to be merged grows with these, not with the data.
+TASKS_A_CORE = 2
+#: Phrases a task counts at once while it looks for candidates.
+MOST_SEEN = 1 << 22
 #: Bytes of phrases in one automaton, and of all automata of one scan of the texts.
 AUTOMATON_BYTES, SCAN_BYTES = 1 << 20, 1 << 22
 SCAN_SLICE = 1 << 20
@@ -188,11 +190,15 @@ def _merged(sketches: DataFrame, bounds: Bounds, threshold: int, name: str) -> N
             bounds.put(level, row, block, data)
 
 
-def _candidates(docs: DataFrame, shared, longest: int) -> DataFrame:
-    """(lang, phrase): every phrase that the bounds let through, repeats within a task mostly left out."""
+def _candidates(docs: DataFrame, shared, longest: int, enough: int) -> DataFrame:
+    """(lang, phrase): phrases that the bounds let through and that occur ``enough`` times in the texts of one task.
+
+    A phrase that occurs ``least`` times over n tasks occurs least / n times in one of them at least,
+    so none is lost; those that every task has seen once or twice are not told by all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, seen, out = shared.value, set(), []
+        bounds, seen, out, need = shared.value, {}, [], enough
         for batch in batches:
             languages = batch.column("lang").to_pylist()
             for a, b, raw, off in text_slices(batch.column("text")):
@@ -202,13 +208,15 @@ def _candidates(docs: DataFrame, shared, longest: int) -> DataFrame:
                     may = whole if may is None else whole & may[:-1] & may[1:]
                     may = may & bounds.reach(k, hashes)
                     at = np.flatnonzero(may)
-                    key, first = np.unique(hashes[at], return_index=True)
-                    for h, i in zip(key.tolist(), at[first].tolist(), strict=True):
-                        if h not in seen:
-                            seen.add(h)
+                    key, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
+                    for h, i, more in zip(key.tolist(), at[first].tolist(), n.tolist(), strict=True):
+                        before = seen.get(h, 0)
+                        seen[h] = before + more
+                        if before < need <= before + more:
                             out.append((languages[a + runs.doc[i]], b" ".join(data[start[i] : end[i + k - 1]].translate(_FOLD).split()).decode()))
-            if len(seen) > 1 << 21:
-                seen.clear()  # a phrase may then be told again
+                    if len(seen) > MOST_SEEN:
+                        # What was seen too rarely so far need not be told; from here on all is, at first sight.
+                        seen, need = {}, 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lang", "phrase"])
                 out = []
@@ -257,7 +265,7 @@ def _counted(docs: DataFrame, phrases: dict[str, list[list[tuple[int, str]]]], i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(total[at])], names=["id", "n"])
 
-    return docs.where(F.col("lang").isin(*phrases)).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("f"))
+    return _few(docs.where(F.col("lang").isin(*phrases))).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("f"))
 
 
 def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -300,17 +308,27 @@ def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return dealt.join(counts, "id").select("lang", "phrase", "f")
 
 
+def tasks(spark: SparkSession) -> int:
+    """The tasks that read the texts, at most."""
+    return max(1, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+
+
+def _few(docs: DataFrame) -> DataFrame:
+    return docs.coalesce(tasks(docs.sparkSession))
+
+
 def candidates(docs: DataFrame, least: int, longest: int) -> DataFrame:
     """(lang, phrase): all phrases of 2 to ``longest`` words that may occur ``least`` times in ``docs`` (lang, text)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = 1 << max(LEAST_CELLS.bit_length() - 1, min(MOST_CELLS.bit_length() - 1, (size // CELL_BYTES).bit_length()))
-    few = docs.coalesce(max(1, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+    few = _few(docs)
+    most = tasks(spark)
     bounds = Bounds(cells)
     _merged(_sketched(few, cells, least, longest, None), bounds, least, "pairs")
     if longest > 2:
         _merged(_sketched(few, cells, least, longest, spark.sparkContext.broadcast(bounds)), bounds, least, "longer")
-    return save(_candidates(docs, spark.sparkContext.broadcast(bounds), longest).distinct(), "candidates")
+    return save(_candidates(few, spark.sparkContext.broadcast(bounds), longest, -(-least // most)).distinct(), "candidates")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, most: int = 2_000) -> DataFrame:

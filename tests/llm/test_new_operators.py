@@ -175,6 +175,7 @@ def test_collocations_match_brute_force(spark, monkeypatch, narrow):
         monkeypatch.setattr(phrases, "MOST_CELLS", 1 << 16)
         monkeypatch.setattr(phrases, "AUTOMATON_BYTES", 500)
         monkeypatch.setattr(phrases, "SCAN_BYTES", 2_000)
+        monkeypatch.setattr(phrases, "MOST_SEEN", 100)
     rows = phrase_rows()
     docs = spark.createDataFrame([(t, lang, i, "x") for i, (t, lang) in enumerate(rows)], "text string, lang string, n long, phrase string").repartition(7)
     got = sorted(tuple(r) for r in phrases.collocations(docs, least=20).collect())
