@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import root_keys, similarity, tagset
+from skein.functions.text import root_keys, tagset
+from skein.operators.sequences import leading
 
 PROTECTED = r"^(seed|asset|insight)"
 UPDATE, NOOP = 0.62, 0.97
@@ -25,26 +26,42 @@ def quarantine(records: DataFrame, which: Column, reason: str) -> DataFrame:
     return records.withColumn("tags", tags).withColumn("quarantined", F.col("quarantined") | hit)
 
 
+def _keyed(rows: DataFrame, name: str, *keep: str | Column) -> DataFrame:
+    """(name, keep..., k, nt, na): a row for each content tag and asset, with how many of both the record has."""
+    tags, assets = tagset(F.col("tags")), F.array_distinct("asset_ids")
+    keys = F.concat(F.transform(tags, lambda x: F.concat(F.lit("t:"), x)), F.transform(assets, lambda x: F.concat(F.lit("a:"), x)))
+    return rows.select(F.col("memory_id").alias(name), *keep, F.size(tags).alias("nt"), F.size(assets).alias("na"), F.explode(keys).alias("k"))
+
+
+def _alike(met: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
+    """(a, b, keep..., s) of pairs that met on keys: shared keys are counted where they meet, so no set is fetched again."""
+    tag = F.col("k").startswith("t:")
+    first = lambda c: F.first(c).alias(c)
+    counts = met.groupBy(a, b).agg(F.count_if(tag).alias("st"), F.count_if(~tag).alias("sa"), *map(first, ("nt", "na", "mt", "ma", *keep)))
+    share = lambda n, x, y: F.coalesce(F.try_divide(F.col(n), F.col(x) + F.col(y) - F.col(n)), F.lit(0.0))
+    return counts.select(a, b, *keep, F.round(0.6 * share("st", "nt", "mt") + 0.4 * share("sa", "na", "ma"), 4).alias("s")).where("s > 0")
+
+
 def route(records: DataFrame, candidates: DataFrame, update: float = UPDATE, noop: float = NOOP, resolve_conflicts: bool = True) -> DataFrame:
     """(memory_id, op, target_id, similarity) of each candidate against the records of its tier.
 
     The best match is that of the greatest similarity, the earliest on ties. All candidates are
-    judged against one generation. Pairs meet on a shared tag or asset, without which similarity is 0.
+    judged against one generation. Pairs meet on a shared tag or asset, without which similarity is 0;
+    only a candidate's best match is looked at closer.
     """
-    keys = lambda t, a: F.array_union(F.transform(tagset(t), lambda x: F.concat(F.lit("t:"), x)), F.transform(a, lambda x: F.concat(F.lit("a:"), x)))
-    c = candidates.select(F.col("memory_id").alias("cid"), "tier", F.col("tags").alias("ct"), F.col("asset_ids").alias("ca"))
-    r = active(records).select(F.col("memory_id").alias("rid"), "tier", F.col("tags").alias("rt"), F.col("asset_ids").alias("ra"), "insertion_order")
-    ck = c.select("cid", "tier", F.explode(keys(F.col("ct"), F.col("ca"))).alias("k"))
-    rk = r.select("rid", "tier", F.explode(keys(F.col("rt"), F.col("ra"))).alias("k"))
-    met = ck.join(rk, ["tier", "k"]).where("cid <> rid").select("cid", "rid").distinct()
-    sim = met.join(c, "cid").join(r.drop("tier"), "rid").withColumn("s", similarity(F.col("ct"), F.col("ca"), F.col("rt"), F.col("ra"))).where("s > 0")
-    best = sim.withColumn("_r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("s"), "insertion_order"))).where("_r = 1")
+    live = active(records)
+    theirs = _keyed(live, "rid", "tier", F.col("insertion_order").alias("o")).withColumnsRenamed({"nt": "mt", "na": "ma"})
+    met = _keyed(candidates, "cid", "tier").join(theirs, ["tier", "k"]).where("cid <> rid")
+    best = _alike(met, "cid", "rid", "o").groupBy("cid").agg(F.min(F.struct((-F.col("s")).alias("s"), "o", "rid")).alias("b")).select("cid", "b.rid", (-F.col("b.s")).alias("s"))
+    c = candidates.select(F.col("memory_id").alias("cid"), F.col("tags").alias("ct"), F.col("asset_ids").alias("ca"))
+    r = live.select(F.col("memory_id").alias("rid"), F.col("tags").alias("rt"), F.col("asset_ids").alias("ra"))
+    both = best.join(c, "cid").join(r, "rid")
     fresh = (F.size(F.array_except(tagset(F.col("ct")), tagset(F.col("rt")))) > 0) | (F.size(F.array_except("ca", "ra")) > 0)
     conflict = (F.size(root_keys(F.col("rt"))) > 0) & (F.size(F.array_except(root_keys(F.col("ct")), root_keys(F.col("rt")))) > 0) & F.lit(resolve_conflicts)
     op = F.when(F.col("s") < update, "ADD").when(conflict, "SUPERSEDE").when((F.col("s") >= noop) & ~fresh, "NOOP").otherwise("UPDATE")
-    found = best.select(F.col("cid").alias("memory_id"), op.alias("op"), F.when(op != "ADD", F.col("rid")).alias("target_id"), F.col("s").alias("similarity"))
-    rest = candidates.select("memory_id").join(found.select("memory_id"), "memory_id", "left_anti")
-    return found.unionByName(rest.select("memory_id", F.lit("ADD").alias("op"), F.lit(None).cast("string").alias("target_id"), F.lit(0.0).alias("similarity")))
+    found = both.select(F.col("cid").alias("memory_id"), op.alias("op"), F.when(op != "ADD", F.col("rid")).alias("target_id"), F.col("s").alias("similarity"))
+    name = found.schema["target_id"].dataType
+    return candidates.select("memory_id").join(found, "memory_id", "left").select("memory_id", F.coalesce("op", F.lit("ADD")).alias("op"), F.col("target_id").cast(name).alias("target_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def reflect(records: DataFrame, least_salience: float = 3.0, least_members: int = 2) -> DataFrame:
@@ -81,7 +98,7 @@ def evict(records: DataFrame, budget: int) -> DataFrame:
         raise ValueError("the budget is negative")
     sizes = active(records).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("memory_id").rlike(PROTECTED)).alias("p")).first()
     out = max(0, (sizes.n - sizes.p) - max(0, budget - sizes.p)) if sizes.n > budget else 0
-    return utilities(records).orderBy("utility", "strength", "insertion_order").limit(out).select("memory_id", "utility")
+    return leading(utilities(records), out, "utility", "strength", "insertion_order").select("memory_id", "utility")
 
 
 def health(records: DataFrame) -> DataFrame:
@@ -140,14 +157,11 @@ def similar_links(records: DataFrame, k: int = 3, least: float = 0.34) -> DataFr
 
     Pairs meet on a shared tag or asset, without which similarity is 0.
     """
-    r = active(records).select("memory_id", "tags", "asset_ids", "insertion_order")
-    keys = F.array_union(F.transform(tagset(F.col("tags")), lambda x: F.concat(F.lit("t:"), x)), F.transform("asset_ids", lambda x: F.concat(F.lit("a:"), x)))
-    exploded = r.select("memory_id", F.explode(keys).alias("k"))
-    met = exploded.join(exploded.withColumnRenamed("memory_id", "other"), "k").where("memory_id < other").select("memory_id", "other").distinct()
-    other = r.select(F.col("memory_id").alias("other"), F.col("tags").alias("ot"), F.col("asset_ids").alias("oa"), F.col("insertion_order").alias("oo"))
-    scored = met.join(r, "memory_id").join(other, "other").withColumn("score", similarity(F.col("tags"), F.col("asset_ids"), F.col("ot"), F.col("oa"))).where(F.col("score") >= least)
-    one = scored.select("memory_id", "other", "score", F.col("oo").alias("o"))
-    both = one.unionByName(scored.select(F.col("other").alias("memory_id"), F.col("memory_id").alias("other"), "score", F.col("insertion_order").alias("o")))
+    mine = _keyed(active(records), "memory_id", F.col("insertion_order").alias("own"))
+    theirs = mine.withColumnsRenamed({"memory_id": "other", "nt": "mt", "na": "ma", "own": "o"})
+    one = _alike(mine.join(theirs, "k").where("memory_id < other"), "memory_id", "other", "own", "o").where(F.col("s") >= least)
+    ways = F.array(F.struct("memory_id", "other", "o"), F.struct(F.col("other").alias("memory_id"), F.col("memory_id").alias("other"), F.col("own").alias("o")))
+    both = one.select("s", F.explode(ways).alias("w")).select("w.*", F.col("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("score"), "o"))
     return both.withColumn("_r", rank).where(F.col("_r") <= k).select("memory_id", "other", "score")
 
@@ -179,8 +193,8 @@ def neighbours(records: DataFrame) -> DataFrame:
 def evict_by(records: DataFrame, budget: int, policy: str) -> DataFrame:
     """(memory_id): what another policy would evict: ``random`` (by a hash), ``lru`` or ``ebbinghaus`` (weakest first)."""
     order = {"random": [F.md5("memory_id")], "lru": [F.col("access_count"), F.col("insertion_order")], "ebbinghaus": [F.col("strength"), F.col("insertion_order")]}[policy]
-    n = max(0, active(records).count() - budget)
-    return active(records).orderBy(*order, "memory_id").limit(n).select("memory_id")
+    rows = active(records).select("memory_id", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    return leading(rows, max(0, rows.count() - budget), *[f"_o{i}" for i in range(len(order))], "memory_id").select("memory_id")
 
 
 def consolidate(records: DataFrame, runs: DataFrame, strikes: int = 2, cap: float = 3.0) -> DataFrame:

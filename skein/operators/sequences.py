@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.graph import settle
+
 
 def sliding_distinct(rows: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
     """Per key the window of ``seconds`` (both ends in) with the most distinct values, the earliest on ties.
@@ -29,6 +31,27 @@ def median_gap(rows: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return rows.withColumn("_g", gap).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("_g"), 3).alias("median_gap"))
 
 
+def leading(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``, however many: a range-partitioned sort that is cut where its parts reach n.
+
+    The sort is written where the session names a shared folder; only the sizes of its parts reach the
+    driver. Without such a folder, on one machine, it is a plain limit.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    if not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return rows.orderBy(*order).limit(n)
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    left, cut = n, -1
+    for r in sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a part of the sort
+        if left <= r.n:
+            cut = r.p
+            break
+        left -= r.n
+    return placed.where((part < cut) | (part == cut) & (place < left)).drop("_at") if cut >= 0 else placed.drop("_at")
+
+
 def top_per_group(rows: DataFrame, group: str, value: str, n: int) -> DataFrame:
     """The ``n`` most frequent values of each group, ties by value."""
     counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import casework, devices, evolving, knowledge, learning, lifecycle, retrieval, telemetry, timeline, upkeep
+from skein.plans import casework, devices, evolving, exposure, knowledge, learning, lifecycle, retrieval, telemetry, timeline, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (retrieval, timeline, lifecycle, telemetry, knowledge, devices, upkeep, casework, evolving, learning):
+for _module in (retrieval, timeline, lifecycle, telemetry, knowledge, devices, upkeep, casework, evolving, learning, exposure):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 FLAGSHIP = "hybrid_gated"
