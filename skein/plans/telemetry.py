@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import net
 from skein.operators import detect, pack, sweep
 from skein.plans.base import Query, load, once, register, spread
-from skein.sources import syslog
+from skein.sources import corpus, syslog
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -192,6 +192,17 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.html_blocks(load(spark, sf_dir, "pages"))
 
 
+@register(
+    QUERIES,
+    ORACLE,
+    r"""WITH n AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages), e AS (SELECT page_id, unnest(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1)) AS title, generate_subscripts(regexp_extract_all(nav, '<a href="([^"]*)">', 1), 1) - 1 AS place FROM n)
+    SELECT page_id, place::INT AS place, NULL::INT AS parent, replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href, replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS path FROM e""",
+)
+def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every page's menus, with the titles above them."""
+    return corpus.toc(load(spark, sf_dir, "pages")).select("page_id", "place", "parent", "href", F.array_join("path", " > ").alias("path"))
+
+
 @register(QUERIES, ORACLE)
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.chunks(pack.html_blocks(load(spark, sf_dir, "pages")))
