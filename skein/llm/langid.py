@@ -29,7 +29,10 @@ from skein.llm.textbatch import text_slices
 
 ORDER = 4
 #: Training text is a bounded sample: about so many bytes a language, and over all languages together.
-TRAIN_BYTES, TRAIN_TOTAL = 400_000, 1 << 26
+#: A sampled byte adds at most a context and a code of 16 bytes each to every order, 160 bytes, so that
+#: the model that is collected and broadcast stays below 160 * TRAIN_TOTAL = 671 MB for any text, and
+#: below a tenth of that for written language (3 to 40 bytes a sampled byte were measured).
+TRAIN_BYTES, TRAIN_TOTAL = 400_000, 1 << 22
 #: Texts are sampled in pieces of so many characters, wherever they stand in a text.
 PIECE = 2048
 _LINE = 10

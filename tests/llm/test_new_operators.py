@@ -12,7 +12,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontam, fingerprints, hard_negatives, mixing, near_dup, phrases, secret_scan, suffix_dedup
+from skein.llm import decontam, fingerprints, hard_negatives, langid, mixing, near_dup, phrases, secret_scan, suffix_dedup
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -252,3 +252,19 @@ def test_common_words_do_not_hide_a_hit(spark, others, foreign):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = decontam.search(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == list(range(30))
+
+
+def test_the_model_of_very_many_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_TOTAL", 1 << 17)
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        letters = r.sample([chr(97 + j) for j in range(26)] + [chr(0x430 + j) for j in range(32)], 12)
+        rows += [(i * 10 + j, "".join(r.choices(letters + [" "], k=3000)), f"l{i:03d}") for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    size = sum(a.nbytes for t in model.trees for part in (t.contexts, t.escapes, t.codes, t.bits) for a in part)
+    assert len(model.trees) == 300 and size <= 160 * (langid.TRAIN_TOTAL + 300 * 4 * langid.PIECE)
+    told = langid.identify(docs, model).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert sum(want[x.doc_id] == x.lang_pred for x in told) >= 0.95 * len(rows)
