@@ -209,3 +209,24 @@ def label_propagation(edges: DataFrame, group: str, rounds: int = 24) -> DataFra
 
     kind = edges.schema[group].dataType.simpleString()
     return edges.groupBy(group).applyInPandas(run, f"group {kind}, node long, label long")
+
+
+def synchronous_labels(edges: DataFrame, rounds: int = 24, stay: float = 0.0) -> DataFrame:
+    """(node, label) by weighted label propagation over all edges (a, b, weight), every node at once.
+
+    Each round a node takes the label that weighs most among its neighbours, its own counting ``stay``
+    besides, ties to the lesser label; the loop ends with the round that changes nothing. A round is
+    one join and two aggregations summed within tasks first, so no group of nodes is one task's.
+    """
+    both = settle(edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    label = both.select("a").distinct().withColumn("l", F.col("a"))
+    for _ in range(rounds):
+        told = both.join(label.select(F.col("a").alias("b"), "l"), "b").select("a", "l", F.col("weight").cast("double").alias("w"))
+        own = label.select("a", "l", F.lit(float(stay)).alias("w"))
+        sums = told.unionByName(own).where("w > 0").groupBy("a", "l").agg(F.sum("w").alias("w"))
+        best = sums.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), "l")).alias("x")).select("a", "x.l")
+        after = settle(best.join(label.select("a", F.col("l").alias("old")), "a"))
+        label = after.select("a", "l")
+        if after.where("l <> old").isEmpty():
+            break
+    return label.select(F.col("a").alias("node"), F.col("l").alias("label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import contracts, graph, knowledge, nested
@@ -207,3 +207,38 @@ def vector_recall_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("rows"))
     few = (F.lit(200) * 10 <= F.col("rows")) | (F.col("rows") < 2000)
     return sizes.join(recall).join(rows).select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_held"), few.alias("few_scored"))  # one row each
+
+
+_LABELS = """e AS (SELECT o_custkey % 500 AS a, 1000 + l_suppkey AS b, count(*) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), l0 AS (SELECT DISTINCT a, a AS l FROM u)"""
+for _d in range(1, 5):
+    _LABELS += f""", l{_d} AS (SELECT a, l FROM (SELECT a, l, row_number() OVER (PARTITION BY a ORDER BY sum(w) DESC, l) AS r FROM (SELECT u.a, k.l, u.w FROM u JOIN l{_d - 1} k ON k.a = u.b UNION ALL SELECT a, l, 3 FROM l{_d - 1}) GROUP BY a, l) WHERE r = 1)"""
+
+
+@register(QUERIES, ORACLE, f"WITH {_LABELS} SELECT a AS node, l AS label FROM l4")
+def synchronous_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of customers (in 500 groups) and suppliers by what is ordered, after four rounds."""
+    o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy((F.col("o_custkey") % 500).alias("a"), (1000 + F.col("l_suppkey")).alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    return graph.synchronous_labels(edges, rounds=4, stay=3.0)
+
+
+@register(
+    QUERIES,
+    ORACLE,
+    """WITH o AS (SELECT *, row_number() OVER w - 1 AS i, lead(o_orderkey) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    c AS (SELECT o_custkey AS c, count(*) AS n, string_agg(o_orderkey::VARCHAR, '>' ORDER BY i) AS path, min_by(o_orderkey, i) FILTER (o_orderpriority = '1-URGENT' OR o_orderkey % 9 = 0) AS early, max_by(o_orderpriority, i) AS last, count(DISTINCT o_orderkey % 4) AS assets,
+      string_agg(CASE WHEN o_orderkey % 2 = 0 THEN 'causes' ELSE 'precedes' END, ',' ORDER BY i) FILTER (nxt IS NOT NULL) AS relations, coalesce(bool_and(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 10 <> 4 ELSE true END) FILTER (nxt IS NOT NULL), true) AS verified FROM o GROUP BY 1)
+    SELECT c AS chain_id, path, coalesce(relations, '') AS relations, assets::INT AS assets, early AS early_change, early IS NOT NULL AND assets >= 2 AND last = '5-LOW' AS hidden_failure, verified FROM c""",
+)
+def explained_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in time as a chain; even orders cause the next one with evidence, mostly, odd ones precede it."""
+    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = o.select("o_custkey", k, F.row_number().over(order).alias("i"), F.lead(k).over(order).alias("nxt"))
+    chains = rows.groupBy(F.col("o_custkey").alias("chain_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("path"))  # a customer's orders
+    even = k % 2 == 0
+    proof = F.when(even & (k % 10 != 4), F.array(F.concat(F.lit("e"), k))).otherwise(F.array().cast("array<string>"))
+    edges = rows.where("nxt IS NOT NULL").select(k.alias("src"), F.col("nxt").alias("dst"), F.when(even, "causes").otherwise("precedes").alias("relation"), (~even).alias("temporal"), proof.alias("evidence"))
+    records = o.select(k.alias("memory_id"), F.array(F.concat(F.lit("a"), k % 4)).alias("asset_ids"), F.col("o_orderpriority").alias("event_type"), F.col("o_orderdate").alias("observed_at"), (k % 9 == 0).alias("changed"))
+    told = graph.explained_chains(chains, edges, records, ["1-URGENT"], ["5-LOW"])
+    return told.select("chain_id", F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"), F.concat_ws(",", "relations").alias("relations"), F.size("assets").alias("assets"), "early_change", "hidden_failure", "verified")
