@@ -23,7 +23,11 @@ KINDS = {
 CLASH_SOURCE = r"(\d+\.\d+\.\d+\.\d+):\d+->"
 
 
-def _rows(f: Column, line: Column, at: Column) -> Column:
+#: The fields that observations are made of.
+USED = ("logdesc", "ip", "mac", "srcip", "dstip", "lease", "hostname", "interface", "total", "used", "type")
+
+
+def _rows(f: dict[str, Column], line: Column) -> Column:
     """The observations of one line as an array of (kind, subject, detail, value)."""
     said = F.coalesce(f["logdesc"], F.lit(""))
     text = lambda c: F.coalesce(c, F.lit("")).cast("string")
@@ -51,12 +55,12 @@ def _rows(f: Column, line: Column, at: Column) -> Column:
         row("login_failed", F.coalesce(f["srcip"], F.lit("unknown")), when=said == "Admin login failed"),
         row("login_disabled", F.coalesce(f["srcip"], F.lit("unknown")), when=said == "Admin login disabled"),
         row("traffic", f["srcip"], when=F.coalesce(f["type"].isin("traffic", "voip"), F.lit(False)) & f["srcip"].isNotNull()),
-        *[row("flow", f[c], when=F.coalesce(net.is_private(f[c]), F.lit(False))) for c in inner],
+        *[row("flow", f[c], when=f[f"inner_{c}"]) for c in inner],
         row("source", F.lit("dhcp_ack"), when=is_ack),
         row("source", F.lit("dhcp_stats"), when=is_pool),
         row("source", F.lit("session_clash"), when=is_clash),
         row("source", F.lit("admin_auth"), when=said.isin("Admin login failed", "Admin login disabled")),
-        *[row("source", F.lit("l3_flow"), when=F.coalesce(net.is_private(f[c]), F.lit(False))) for c in inner],
+        *[row("source", F.lit("l3_flow"), when=f[f"inner_{c}"]) for c in inner],
     ]
     return F.concat(*parts)
 
@@ -74,7 +78,11 @@ def observed(lines: DataFrame, order: str | None = None, counts: Observation | N
     if counts is not None:
         rows = rows.observe(counts, F.count(F.lit(1)).alias("lines"), F.min("_at").alias("first_seen"), F.max("_at").alias("last_seen"))
     place = [F.col(order)] if order else []
-    typed = rows.select(F.struct(*place, F.col("_at")).alias("_o"), "_at", F.explode(_rows(f, F.col("line"), F.col("_at"))).alias("r"))
+    # The generator keeps each field from being looked up once a use.
+    inner = {f"inner_{c}": F.coalesce(net.is_private(f[c]), F.lit(False)) for c in ("srcip", "dstip")}
+    told = F.explode(F.array(F.struct(*[f[c].alias(c) for c in USED], *[c.alias(n) for n, c in inner.items()]))).alias("_f")
+    plain = rows.select(F.struct(*place, F.col("_at")).alias("_o"), "_at", "line", told)
+    typed = plain.select("_o", "_at", F.explode(_rows({c: F.col(f"_f.{c}") for c in (*USED, *inner)}, F.col("line"))).alias("r"))
     last = F.max(F.when(F.col("r.value").isNotNull(), F.struct(F.col("_o"), F.col("r.value").alias("v"))))
     return typed.groupBy("r.kind", "r.subject", "r.detail").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first_seen"), F.max("_at").alias("last_seen"), last["v"].alias("value"))
 
