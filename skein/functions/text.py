@@ -78,6 +78,13 @@ def similarity(a_tags: Column, a_assets: Column, b_tags: Column, b_assets: Colum
     return F.round(0.6 * jaccard(tagset(a_tags), tagset(b_tags)) + 0.4 * jaccard(a_assets, b_assets), 4)
 
 
+def parts(items: Column) -> Column:
+    """All subsets of a set but the empty one, 2 ** n - 1 of them, each sorted; for sets of a few items."""
+    own = F.array_sort(items)
+    every = F.aggregate(own, F.array(F.slice(own, 1, 0)), lambda acc, x: F.concat(acc, F.transform(acc, lambda p: F.array_append(p, x))))
+    return F.slice(every, F.lit(2), F.size(every))
+
+
 def structural_prior(strength: Column, links: Column, importance: Column, confidence: Column, tier: Column) -> Column:
     """A convex blend of five lifecycle signals in [0, 1]."""
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
