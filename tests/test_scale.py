@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
-from skein.operators import evaluate, memory
+import numpy as np
+
+from skein.operators import evaluate, memory, retrieval
 
 
 def shuffled(spark, run):
@@ -75,3 +78,20 @@ def test_the_best_skill_equals_a_loop_and_copies_do_not_meet_in_pairs(spark):
     many = frames([(i, [1, 2]) for i in range(2000)], [(f"s{i:04}", 1, [2, 1, 3]) for i in range(1000)])
     rows, n = shuffled(spark, lambda: evaluate.best_skill(*many).collect())
     assert len(rows) == 2000 and {(r.skill, r.hits) for r in rows} == {("s0999", 2)} and n < 20_000
+
+
+def test_flat_search_holds_a_tile_at_once(spark):
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.integers(-3, 4, (3000, 8)).astype(float), rng.integers(-3, 4, (600, 8)).astype(float)  # many equal scores
+    frame = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.flat_search(frame(vectors, "doc_id"), frame(asked, "query_id"), 7).collect()}
+    score = asked @ vectors.T
+    want = {(i, n + 1): (int(j), score[i, j]) for i in range(600) for n, j in enumerate(np.lexsort((np.arange(3000), -score[i]))[:7])}
+    assert got == want
+    rows, names = np.full((256, 7), -np.inf), np.full((256, 7), retrieval.NONE)
+    tracemalloc.start()
+    for i in range(0, 3000, 1024):
+        rows, names = retrieval._first(rows, names, score[:256, i : i + 1024], np.arange(i, min(i + 1024, 3000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(names, [[want[i, n + 1][0] for n in range(7)] for i in range(256)]) and peak < 64 << 20
