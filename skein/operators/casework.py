@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import cases as scalars
+from skein.functions.text import parts
 from skein.operators import evaluate, retrieval
 
 # The sources a class of fault needs before it can be seen at all.
@@ -17,6 +18,7 @@ REQUIRED = {
 # Kinds of cases in order, the skew beyond which a suite is lopsided, and the axes in order.
 KINDS = ("happy_path", "boundary", "negative", "error_path", "idempotency")
 MOST_SKEW = 0.35
+FEW = 6  # records and cases of so many terms at most meet on subsets of them
 AXES = ("kind_balance", "boundary_coverage", "error_coverage", "param_coverage")
 
 
@@ -75,16 +77,30 @@ def recall_episode(records: DataFrame, cases: DataFrame, least: float = 0.8, sur
     """(case_id, memory_id): the first record fit to be a case's hypothesis; cases without one are left out.
 
     ``records`` (memory_id, tags, asset_ids, confidence, observed, insertion_order), ``cases`` (case_id, terms, assets). A record
-    must have been observed, be sure, share an asset, and hold the share ``least`` of the terms. A record that holds
-    so many holds one of the first (1 - least) n + 1 of n terms, so the two meet on an asset and one of these.
+    must have been observed, be sure, share an asset, and hold the share ``least`` of the terms. Of records with the
+    same terms only the first counts. Where both sides have ``FEW`` terms at most, a case meets, asset by asset, the first record
+    of each subset of as few of its terms as make the share; others meet on an asset and one of the first (1 - least) n + 1 of n terms,
+    one of which a record that holds so many must hold.
     """
     terms = F.array_sort(F.array_distinct("terms"))
-    lead = F.slice(terms, F.lit(1), (F.floor(F.size(terms) * (1 - least) + 1e-9) + 1).cast("int"))
-    asked = cases.select("case_id", terms.alias("t"), "assets", F.explode(lead).alias("term")).select("case_id", "t", "term", F.explode(F.array_distinct("assets")).alias("asset"))
-    fit = records.where((F.col("confidence") >= sure) & F.col("observed")).select("memory_id", "insertion_order", F.array_distinct(F.transform("tags", F.lower)).alias("own"), F.explode(F.array_distinct("asset_ids")).alias("asset"))
-    met = fit.select("memory_id", "insertion_order", "own", "asset", F.explode("own").alias("term")).join(asked, ["asset", "term"])
-    held = F.size(F.array_intersect("t", "own")) / F.size("t") >= least
-    return met.where(held).groupBy("case_id").agg(F.min_by("memory_id", F.struct("insertion_order", "memory_id")).alias("memory_id"))
+    cases = cases.select("case_id", terms.alias("t"), "assets").where(F.size("t") > 0)
+    asked = cases.select("t", F.explode(F.array_distinct("assets")).alias("asset")).distinct()
+    fit = records.where((F.col("confidence") >= sure) & F.col("observed")).select(F.struct("insertion_order", "memory_id").alias("v"), F.array_sort(F.array_distinct(F.transform("tags", F.lower))).alias("own"), F.explode(F.array_distinct("asset_ids")).alias("asset"))
+    fit = fit.groupBy("own", "asset").agg(F.min("v").alias("v"))
+    few = lambda c: F.size(c) <= FEW
+    enough = F.size(F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: i / F.size("t") < least)) + 1
+    index = fit.where(few("own")).select("asset", "v", F.explode(parts(F.col("own"))).alias("p")).groupBy("asset", "p").agg(F.min("v").alias("v"))
+    short = asked.where(few("t")).select("t", "asset", enough.alias("n"), F.explode(parts(F.col("t"))).alias("p")).where(F.size("p") == F.col("n")).join(index, ["asset", "p"]).select("t", "asset", "v")
+
+    def by_term(asked: DataFrame, fit: DataFrame) -> DataFrame:
+        lead = F.slice("t", F.lit(1), (F.floor(F.size("t") * (1 - least) + 1e-9) + 1).cast("int"))
+        met = fit.select("own", "v", "asset", F.explode("own").alias("term")).join(asked.select("t", "asset", F.explode(lead).alias("term")), ["asset", "term"])
+        return met.where(F.size(F.array_intersect("t", "own")) / F.size("t") >= least).select("t", "asset", "v")
+
+    every = short.union(by_term(asked, fit.where(~few("own")))).union(by_term(asked.where(~few("t")), fit.where(few("own"))))
+    best = every.groupBy("t", "asset").agg(F.min("v").alias("v"))
+    found = cases.select("case_id", "t", F.explode(F.array_distinct("assets")).alias("asset")).join(best, ["t", "asset"])
+    return found.groupBy("case_id").agg(F.min("v").alias("v")).select("case_id", "v.memory_id")
 
 
 def entity_relation(kind: Column, entity: Column, types: Column, entities: Column) -> Column:

@@ -105,3 +105,19 @@ def test_ties_of_communities_grow_with_their_nodes(spark, monkeypatch):
     cases_plan.community_profiles(spark, "/root/testdata/sf0.1")
     members, ties = seen[0]
     assert ties.count() <= 4 * members.count()  # pairs within a segment and group were 5.8 times as many
+
+
+def test_recall_equals_a_loop_and_copies_do_not_meet_in_pairs(spark):
+    rng = random.Random(3)
+    pick = lambda n, most: rng.sample([f"t{i}" for i in range(10)], rng.randint(0, min(n, most)))
+    records = [(f"m{i}", pick(9, 9), rng.sample("xyz", rng.randint(0, 2)), rng.choice([0.5, 0.95]), rng.random() < 0.8, i) for i in range(150)]
+    asked = [(i, pick(9, 9), rng.sample("xyz", rng.randint(0, 2))) for i in range(60)]
+    frames = lambda r, c: (spark.createDataFrame(r, "memory_id string, tags array<string>, asset_ids array<string>, confidence double, observed boolean, insertion_order long"), spark.createDataFrame(c, "case_id long, terms array<string>, assets array<string>"))
+    want = {}
+    for i, terms, assets in asked:
+        fit = [m for m, tags, own, sure, seen, _ in records if terms and sure >= 0.9 and seen and set(own) & set(assets) and len(set(tags) & set(terms)) / len(terms) >= 0.6]
+        want |= {i: fit[0]} if fit else {}
+    assert want and {r.case_id: r.memory_id for r in casework.recall_episode(*frames(records, asked), least=0.6).collect()} == want
+    many = frames([(f"m{i}", ["a", "b", "c"], ["x"], 1.0, True, i) for i in range(2000)], [(i, ["a", "b"], ["x"]) for i in range(1000)])
+    rows, n = shuffled(spark, lambda: casework.recall_episode(*many).collect())
+    assert len(rows) == 1000 and {r.memory_id for r in rows} == {"m0"} and n < 20_000
