@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,30 +186,33 @@ def label_propagation(edges: DataFrame, group: str, rounds: int = 24) -> DataFra
     """(group, node, label) by asynchronous weighted label propagation inside each group.
 
     Nodes are visited in order and take the neighbours' heaviest label, ties by the lesser one. The
-    order matters, so a group is one task; groups are subnets of bounded size.
+    order matters, so what hangs together is one task's, as arrays of its edges; parts of a group that do not hang
+    together never change each other's labels and go to tasks of their own.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        links: dict = {}
-        for a, b, w in zip(frame["a"], frame["b"], frame["weight"], strict=True):
-            links.setdefault(a, []).append((b, w))
-            links.setdefault(b, []).append((a, w))
-        label = {n: n for n in links}
+        m, weight = len(frame), frame["weight"].to_numpy()
+        names, at = np.unique(np.concatenate([frame["a"].to_numpy(), frame["b"].to_numpy()]), return_inverse=True)
+        one, order = frame[group].iloc[0], np.argsort(at, kind="stable")
+        del frame
+        other, weight = np.concatenate([at[m:], at[:m]])[order].astype(np.int32), np.concatenate([weight, weight])[order]
+        edge = np.searchsorted(at[order], np.arange(len(names) + 1))
+        label = np.arange(len(names))
         for _ in range(rounds):
             changed = False
-            for n in sorted(links):
-                weight: dict = {}
-                for m, w in links[n]:
-                    weight[label[m]] = weight.get(label[m], 0) + w
-                best = min(weight, key=lambda x: (-weight[x], x))
-                changed |= best != label[n]
+            for n in range(len(names)):
+                told, which = np.unique(label[other[edge[n] : edge[n + 1]]], return_inverse=True)
+                best = told[np.argmax(np.bincount(which, weight[edge[n] : edge[n + 1]]))]
+                changed |= bool(best != label[n])
                 label[n] = best
             if not changed:
                 break
-        return pd.DataFrame({"group": frame[group].iloc[0], "node": sorted(label), "label": [label[n] for n in sorted(label)]})
+        return pd.DataFrame({"group": one, "node": names, "label": names[label]})
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).applyInPandas(run, f"group {kind}, node long, label long")
+    edges = settle(edges.select(group, "a", "b", "weight"))
+    part = components(edges).select(F.col("node").alias("a"), F.col("component").alias("_part"))
+    return edges.join(part, "a").groupBy(group, "_part").applyInPandas(run, f"group {kind}, node long, label long")
 
 
 def synchronous_labels(edges: DataFrame, rounds: int = 24, stay: float = 0.0) -> DataFrame:

@@ -154,3 +154,20 @@ def test_counts_between_equal_a_loop_without_pairs(spark):
         assert got == {i: n for i, u, a, z in spans if (n := sum(a <= t <= z and (not by or u == v) for v, t in points))}
     _, n = shuffled(spark, lambda: timeline.entity_or_time(spark, "/root/testdata/sf0.01").collect())
     assert n < 10 * 10_000  # a few for each event
+
+
+def test_labels_run_by_what_hangs_together(spark):
+    rng = random.Random(6)
+    edges = sorted({("g", *sorted(rng.sample(range(k, k + 12), 2))) for k in (0, 100, 200) for _ in range(25)})
+    edges = [(g, a, b, float(rng.randint(1, 3))) for g, a, b in edges]
+    label = {n: n for e in edges for n in e[1:3]}
+    for _ in range(24):
+        for n in sorted(label):
+            weight = {}
+            for _, a, b, w in edges:
+                for m in ([b] if a == n else []) + ([a] if b == n else []):
+                    weight[label[m]] = weight.get(label[m], 0) + w
+            label[n] = min(weight, key=lambda x: (-weight[x], x))
+    found = graph.label_propagation(spark.createDataFrame(edges, "g string, a long, b long, weight double"), "g")
+    assert {r.node: r.label for r in found.collect()} == label
+    assert "_part" in found._jdf.queryExecution().toString()  # each part of a group that hangs together is a task's own
