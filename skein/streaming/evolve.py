@@ -25,6 +25,8 @@ _RECORD = "tags array<string>, asset_ids array<string>, links array<string>, con
 _FIELDS = ("tags", "asset_ids", "links", "confidence", "importance", "strength", "access_count", "place", "retired", "superseded_by")
 #: Columns of a candidate row, and of a record of the initial state besides.
 CANDIDATE = ("tier", "store", "seq", "pass_no", "memory_id", "tags", "asset_ids", "confidence", "importance")
+#: Operations that are handed on together.
+TOLD = 10_000
 _SKIPPED, _PROTECTED = re.compile(r"^(skill:|quarantine:|root:)"), re.compile(PROTECTED)
 
 
@@ -45,36 +47,45 @@ def _snapshot(record: dict) -> dict:
 
 
 class Fold:
-    """One store: candidates change it in order, and each change is told as (op, id, target, similarity, before, after)."""
+    """One store: candidates change it in order, and each change is told as (op, id, target, similarity, before, after).
+
+    ``live`` are the records that nothing has retired, by place. A step looks at these only, so that its cost does not
+    grow with the records that the store has retired.
+    """
 
     def __init__(self, records: dict[str, dict], update: float, noop: float, budget: int | None, retention: float, floor: float):
         self.records, self.update, self.noop, self.budget, self.retention, self.floor = records, update, noop, budget, retention, floor
         self.place = max((r["place"] for r in records.values()), default=-1) + 1
+        self.live = {i: r for i, r in sorted(records.items(), key=lambda x: x[1]["place"]) if not r["retired"]}
         self.holders: dict[str, set[str]] = {}
-        for i, r in records.items():
-            self._hold(i, r["asset_ids"])
+        self.sets: dict[str, tuple[set[str], set[str]]] = {}
+        for i, r in self.live.items():
+            self._hold(i, r)
         self.changed: set[str] = set()
 
-    def _hold(self, i: str, assets: list[str]) -> None:
-        for a in assets:
+    def _hold(self, i: str, r: dict) -> None:
+        self.sets[i] = _content(r["tags"]), set(r["asset_ids"])
+        for a in r["asset_ids"]:
             self.holders.setdefault(a, set()).add(i)
 
     def _retire(self, i: str, reason: str) -> None:
-        r = self.records[i]
+        r = self.live.pop(i)
         r["retired"] = reason
         r["tags"] = [*r["tags"], f"quarantine:{reason}"]
         self.changed.add(i)
+        for a in self.sets.pop(i)[1]:
+            self.holders[a].discard(i)
 
     def _nearest(self, c: dict) -> tuple[str | None, float]:
         best, most, earliest = None, 0.0, -1
         tags, assets = _content(c["tags"]), set(c["asset_ids"])
         for i in {i for a in assets for i in self.holders.get(a, ())}:
-            r = self.records[i]
-            if i == c["memory_id"] or r["retired"]:
+            if i == c["memory_id"]:
                 continue
-            s = round(0.6 * _share(tags, _content(r["tags"])) + 0.4 * _share(assets, set(r["asset_ids"])), 4)
-            if s > most or s == most and s > 0 and r["place"] < earliest:
-                best, most, earliest = i, s, r["place"]
+            place, (said, held) = self.live[i]["place"], self.sets[i]
+            s = round(0.6 * _share(tags, said) + 0.4 * _share(assets, held), 4)
+            if s > most or s == most and s > 0 and place < earliest:
+                best, most, earliest = i, s, place
         return best, most
 
     def _add(self, c: dict, links: list[str]) -> None:
@@ -84,7 +95,8 @@ class Fold:
             "tags": list(c["tags"]), "asset_ids": list(c["asset_ids"]), "links": links, "confidence": c["confidence"], "importance": c["importance"], "strength": 1.0, "access_count": 0, "place": self.place, "retired": None, "superseded_by": None,
         }
         self.place += 1
-        self._hold(c["memory_id"], c["asset_ids"])
+        self.live[c["memory_id"]] = self.records[c["memory_id"]]
+        self._hold(c["memory_id"], self.records[c["memory_id"]])
         self.changed.add(c["memory_id"])
 
     def take(self, c: dict) -> Iterator[tuple]:
@@ -108,23 +120,19 @@ class Fold:
             r["tags"] = list(dict.fromkeys([*r["tags"], *c["tags"]]))
             r["asset_ids"] = list(dict.fromkeys([*r["asset_ids"], *c["asset_ids"]]))
             r["confidence"], r["importance"] = min(3.0, r["confidence"] + 0.3), r["importance"] + 1.0
-            self._hold(target, c["asset_ids"])
+            self._hold(target, r)
         self.changed.add(target)
         yield op, target, target, s, before, _snapshot(r)
 
-    def _open(self) -> list[tuple[str, dict]]:
-        return sorted(((i, r) for i, r in self.records.items() if not r["retired"]), key=lambda x: x[1]["place"])
-
     def evict(self) -> Iterator[tuple]:
         """What is of least use goes until the budget holds; protected records count but stay."""
-        live = self._open()
-        if self.budget is None or len(live) <= self.budget:
+        if self.budget is None or len(self.live) <= self.budget:
             return
-        mortal = [(i, r) for i, r in live if not _PROTECTED.match(i)]
+        mortal = [(i, r) for i, r in self.live.items() if not _PROTECTED.match(i)]
         signals = [lambda r: max(0.0, r["importance"]), lambda r: float(r["access_count"]), lambda r: max(0.0, r["strength"]), lambda r: float(len(r["links"]))]
         tops = [max((f(r) for _, r in mortal), default=0.0) for f in signals]
         use = {i: round(sum(0.25 * f(r) / top for f, top in zip(signals, tops, strict=True) if top > 0), 6) for i, r in mortal}
-        over = len(mortal) - max(0, self.budget - (len(live) - len(mortal)))
+        over = len(mortal) - max(0, self.budget - (len(self.live) - len(mortal)))
         for i, r in sorted(mortal, key=lambda x: (use[x[0]], x[1]["strength"]))[: max(0, over)]:
             before = _snapshot(r)
             self._retire(i, "evicted")
@@ -132,7 +140,7 @@ class Fold:
 
     def tick(self) -> Iterator[tuple]:
         """The end of a pass: strength fades, and what falls below the floor is forgotten."""
-        for i, r in self._open():
+        for i, r in list(self.live.items()):
             if _PROTECTED.match(i):
                 continue
             before = _snapshot(r)
@@ -149,11 +157,12 @@ class Evolve(StatefulProcessor):
     """The fold of every store, its records in a map state and its clock in a value state.
 
     Rows of a batch are taken in the order of ``seq``; one at or before the clock was taken already
-    and changes nothing, so a source that repeats itself does no harm.
+    and changes nothing, so a source that repeats itself does no harm. A batch frame hands over all rows
+    of a store at once and no batch follows, so that its records need not be ``kept``.
     """
 
-    def __init__(self, **settings):
-        self.settings = settings
+    def __init__(self, kept: bool = True, **settings):
+        self.kept, self.settings = kept, settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stored = handle.getMapState("records", "memory_id string", _RECORD)
@@ -167,7 +176,7 @@ class Evolve(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         records = {k[0]: {f: list(x) if f in ("tags", "asset_ids", "links") else x for f, x in zip(_FIELDS, v, strict=True)} for k, v in self.stored.iterator()}
         fold, (last, pass_no) = Fold(records, **self.settings), self.clock.get() if self.clock.exists() else (-(1 << 62), None)
-        told = []
+        told, names = [], ["tier", "store", "seq", "pass_no", "step", "op", "memory_id", "target_id", "similarity", "before", "after", "added_tags", "added_assets"]
         for c in pd.concat(list(rows)).sort_values("seq", kind="stable").to_dict("records"):
             if c["seq"] <= last:
                 continue
@@ -181,11 +190,14 @@ class Evolve(StatefulProcessor):
             for n, (op, i, target, s, before, after) in enumerate(steps):
                 added = [[x for x in after[f] if x not in set(before[f])] if before else [] for f in ("tags", "asset_ids")]
                 told.append((*key, last, pass_no, n, op, i, target, s, before, after, *added))
-        for i in fold.changed:
+            if len(told) >= TOLD:
+                yield pd.DataFrame(told, columns=names)
+                told = []
+        for i in fold.changed if self.kept else ():
             self.stored.updateValue((i,), tuple(records[i][f] for f in _FIELDS))
         if pass_no is not None:
             self.clock.update((last, pass_no))
-        yield pd.DataFrame(told, columns=["tier", "store", "seq", "pass_no", "step", "op", "memory_id", "target_id", "similarity", "before", "after", "added_tags", "added_assets"])
+        yield pd.DataFrame(told, columns=names)
 
     def close(self) -> None:
         pass
@@ -230,4 +242,4 @@ def evolve(
     len(spark.streams.active)
     start: GroupedData | None = None if records is None else records.groupBy("tier", "store")
     settings = {"update": update, "noop": noop, "budget": budget, "retention": retention, "floor": floor}
-    return candidates.select(*CANDIDATE).groupBy("tier", "store").transformWithStateInPandas(Evolve(**settings), OPS, "Append", "None", start)
+    return candidates.select(*CANDIDATE).groupBy("tier", "store").transformWithStateInPandas(Evolve(candidates.isStreaming or records is not None, **settings), OPS, "Append", "None", start)

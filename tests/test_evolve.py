@@ -169,3 +169,40 @@ def test_an_update_without_a_shared_asset_is_refused(spark):
     with pytest.raises(ValueError):
         E.evolve(spark.createDataFrame([], ROWS + ", store string"), update=0.5)
 
+
+
+def test_a_step_costs_no_more_once_many_records_are_retired():
+    """Each candidate supersedes the one before it: only live records are looked at."""
+    looked = []
+
+    class Counted(E.Fold):
+        def _nearest(self, c):
+            looked.append(sum(len(held) for held in self.holders.values()))
+            return super()._nearest(c)
+
+    fold = Counted({}, 0.62, 0.97, 40, 0.55, 0.4)
+    steps = []
+    for n in range(500):
+        c = {"memory_id": f"c-{n}", "tags": ["vpn", f"root:{n}"], "asset_ids": ["a"], "confidence": 1.0, "importance": 0.0}
+        steps += [*fold.take(c), *fold.evict()]
+    assert [x[0] for x in steps] == ["ADD"] + ["SUPERSEDE"] * 499
+    assert max(looked) <= 1 and list(fold.live) == ["c-499"] and len(fold.records) == 500
+
+
+def test_a_batch_of_many_rows_tells_every_operation(spark):
+    """A store whose rows and operations take several batches, at sf0.01, against the fold by itself."""
+    from skein.plans.evolving import order_candidates
+
+    rows = order_candidates(spark, "/root/testdata/sf0.01").withColumn("store", F.lit("one"))
+    got = sorted((r.tier, r.seq, r.step, r.op, r.memory_id, r.target_id) for r in E.evolve(rows, budget=40).collect())
+    want = []
+    for tier in ("episodic", "semantic", "procedural"):
+        fold, pass_no = E.Fold({}, E.UPDATE, E.NOOP, 40, 0.55, 0.4), None
+        for c in rows.where(F.col("tier") == tier).orderBy("seq").collect():
+            steps = []
+            for _ in range(0 if pass_no is None else c.pass_no - pass_no):
+                steps += fold.tick()
+            pass_no = c.pass_no
+            steps += [*fold.take(c.asDict()), *fold.evict()]
+            want += [(tier, c.seq, n, *x[:3]) for n, x in enumerate(steps)]
+    assert len(want) >= 15_000 and got == sorted(want)
