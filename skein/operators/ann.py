@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from skein.operators import retrieval
 from skein.operators.graph import settle
 
-#: Rows of an index block, queries that meet it together.
-BLOCK, CHUNK = 4_096, 128
+#: Rows of an index block, queries that are broadcast together, and those of them that are scored at once.
+BLOCK, ASKED, CHUNK = 4_096, 4_096, 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -65,11 +65,11 @@ class Codes:
         codes = [((b * b).sum(1)[None, :] - 2 * (left[:, lo:hi] @ b.T)).argmin(1) for b, lo, hi in zip(self.books, self.cuts, self.cuts[1:], strict=False)]
         return own, np.stack(codes, 1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of queries with the coded rows of one cell."""
-        out = np.repeat((q @ self.centre[cell])[:, None], len(codes), 1)
+    def scores(self, q: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate products of queries with coded rows, of which each has its cell."""
+        out = np.take(q @ self.centre.T, cells, axis=1)
         for g, (b, lo, hi) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
-            out += (q[:, lo:hi] @ b.T)[:, codes[:, g]]
+            out += np.take(q[:, lo:hi] @ b.T, codes[:, g], axis=1)
         return out
 
 
@@ -114,6 +114,25 @@ def index(vectors: DataFrame, codes: Broadcast, salts: int = 8) -> DataFrame:
     return settle(dealt.mapInArrow(packed, "cell int, n int, ids binary, codes binary"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, id, code) of the rows of index blocks, as many blocks together as make BLOCK rows."""
+    held, n = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    for batch in batches:
+        for cell, size, ids, code in zip(*(batch.column(x) for x in ("cell", "n", "ids", "codes")), strict=True):
+            rows = size.as_py()
+            held.append((np.full(rows, cell.as_py()), np.frombuffer(ids.as_py(), np.int64), np.frombuffer(code.as_py(), np.uint8).reshape(rows, -1)))
+            n += rows
+            if n >= BLOCK:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, short: int = 200, probed: float = 1.0, codes: Broadcast | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the first ``k`` by exact product of the ``short`` best by code.
 
@@ -121,39 +140,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, short: int = 200
     are those of ``fit`` and ``index``, made here where they are not given. A query looks into the
     share ``probed`` of cells with the greatest products; all of them by default, since a code takes
     a byte a group where the row takes eight a dimension. No more than ``short`` rows a query are
-    fetched and scored exactly. Queries meet blocks by an equi-join on the cell, in chunks.
+    fetched and scored exactly. Queries are broadcast in blocks of ASKED; every task scores the blocks it
+    reads, about BLOCK rows with CHUNK queries at once, and keeps ``short`` a query, so it holds no more
+    than that at once and only ``short`` rows a query and task are shuffled, however many blocks there are.
     """
     codes = codes or fit(vectors)
     if codes is None:
         return retrieval.flat_search(vectors, queries, k)
     blocks = index(vectors, codes) if blocks is None else blocks
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codes.value
-        probes = max(1, round(probed * len(c.centre)))
-        for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(a, CHUNK)
-                ids, q = part.column("query_id").to_numpy(), _matrix(part.column("vector"))
-                near = q @ c.centre.T
-                wanted = np.zeros(near.shape, bool)
-                np.put_along_axis(wanted, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
-                for cell in np.flatnonzero(wanted.any(0)):
-                    at = wanted[:, cell]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(cell)], pa.int32()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([q[at].tobytes()], pa.binary())], names=["cell", "qids", "q"])
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codes.value
-        for batch in batches:
-            for cell, n, ids, code, qids, q in zip(*(batch.column(x).to_pylist() for x in ("cell", "n", "ids", "codes", "qids", "q")), strict=True):
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                score = c.scores(np.frombuffer(q, np.float64).reshape(len(qids), -1), cell, np.frombuffer(code, np.uint8).reshape(n, -1))
-                at = np.argpartition(-score, short - 1, axis=1)[:, :short] if n > short else np.broadcast_to(np.arange(n), score.shape)
-                told = [pa.array(np.repeat(qids, at.shape[1])), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(score, at, 1).ravel())]
-                yield pa.RecordBatch.from_arrays(told, names=["query_id", "doc_id", "about"])
-
-    asked = queries.select("query_id", "vector").mapInArrow(sent, "cell int, qids binary, q binary")
-    met = asked.join(blocks.hint("merge"), "cell").mapInArrow(looked_up, "query_id long, doc_id long, about double")
+    context = vectors.sparkSession.sparkContext
+
+    def look_up(part: list) -> DataFrame:
+        shared = context.broadcast((np.array([r.query_id for r in part], np.int64), np.array([r.vector for r in part], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (ids, q), c = shared.value, codes.value
+            if not len(ids):
+                return
+            probes = max(1, round(probed * len(c.centre)))
+            wanted = None
+            if probes < len(c.centre):
+                wanted = np.zeros((len(ids), len(c.centre)), bool)
+                np.put_along_axis(wanted, np.argsort(-(q @ c.centre.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+            score, name = np.full((len(ids), short), -np.inf), np.full((len(ids), short), retrieval.NONE)
+            for cells, doc, code in _gathered(batches):
+                for i in range(0, len(ids), CHUNK):
+                    own = slice(i, i + CHUNK)
+                    about = c.scores(q[own], cells, code)
+                    if wanted is not None:
+                        about[~wanted[own][:, cells]] = -np.inf
+                    score[own], name[own] = retrieval._first(score[own], name[own], about, doc)
+            told = (name != retrieval.NONE) & (score != -np.inf)
+            for i in range(0, len(ids), CHUNK):
+                own = told[i : i + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + CHUNK], own.sum(1))), pa.array(name[i : i + CHUNK][own]), pa.array(score[i : i + CHUNK][own])], names=["query_id", "doc_id", "about"])
+
+        return blocks.mapInArrow(run, "query_id long, doc_id long, about double")
+
+    met: DataFrame | None = None
+    part: list = []
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        part.append(r)
+        if len(part) == ASKED:
+            met = look_up(part) if met is None else met.unionByName(look_up(part))
+            part = []
+    if part or met is None:
+        met = look_up(part) if met is None else met.unionByName(look_up(part))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "doc_id"))
     best = met.withColumn("_r", place).where(F.col("_r") <= short).select("query_id", "doc_id")
     both = best.join(queries.select("query_id", F.col("vector").alias("asked")), "query_id").join(vectors.select("doc_id", "vector"), "doc_id")

@@ -7,7 +7,7 @@ import tracemalloc
 
 import numpy as np
 
-from skein.operators import casework, evaluate, exposure, graph, joins, memory, retrieval
+from skein.operators import ann, casework, evaluate, exposure, graph, joins, memory, retrieval
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
 
@@ -205,3 +205,33 @@ def test_similar_specs_count_equal_words_once(spark):
     many = spark.range(2000).selectExpr("id AS spec_id", "array('a', 'b') AS words", "array('p') AS params").repartition(4)
     rows, n = shuffled(spark, lambda: exposure.similar_specs(many, many).collect())
     assert len(rows) == 4000 and {r.other for r in rows} == {0, 1, 2} and n < 60_000
+
+
+def test_coded_search_tells_no_more_than_the_best_of_a_task(spark, monkeypatch):
+    """Many small cells and several blocks of queries: rows told to the shuffle do not grow with the blocks of the index."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 4000, 100)], "query_id long, vector array<double>")
+    codes = ann.fit(rows, cells=32)
+    blocks = ann.index(rows, codes)
+    assert blocks.count() >= 32
+    monkeypatch.setattr(ann, "ASKED", 16)
+    monkeypatch.setattr(ann, "CHUNK", 7)
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    found, n = shuffled(spark, lambda: ann.search(rows, asked, 10, short=50, codes=codes, blocks=blocks).collect())
+    # Of the 40 queries 50 rows a task that reads the index, these once more to fetch them, and the rows themselves.
+    assert len(found) == 400 and n <= 40 * 50 * blocks.rdd.getNumPartitions() + 3 * 40 * 50 + 4000
+    c = codes.value
+    cell, code = c.encode(x)
+    about = c.scores(x[::100], cell, code)
+    for i, q in enumerate(range(0, 4000, 100)):
+        best = np.lexsort((np.arange(4000), -about[i]))[:50]
+        exact = np.round(x[best] @ x[q], 5)
+        want = best[np.lexsort((best, -exact))][:10]
+        assert [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == want.tolist()
+    some = ann.search(rows, asked, 10, short=50, codes=codes, blocks=blocks, probed=0.5).collect()
+    near = x[::100] @ c.centre.T
+    for i, q in enumerate(range(0, 4000, 100)):
+        probes = set(np.argsort(-near[i], kind="stable")[:16].tolist())
+        assert all(int(cell[r.doc_id]) in probes for r in some if r.query_id == q)
