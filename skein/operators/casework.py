@@ -181,20 +181,33 @@ def replay_updates(lines: DataFrame, schema: str, key: str) -> tuple[DataFrame,
     return state, read.where(~good).select("seq", "line")
 
 
-def case_defects(params: DataFrame, cases: DataFrame, inputs: DataFrame) -> DataFrame:
+def _told(cases: DataFrame, inputs: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """(spec, case_id, param, value): the cases' own inputs, and of the shared ones those at their targets."""
+    own = inputs.select("spec", "case_id", "param", "value")
+    if shared is None:
+        return own
+    aimed = cases.select("spec", "case_id", "profile", F.col("target_param").alias("param"))
+    return own.unionByName(aimed.join(shared, ["spec", "profile", "param"]).select("spec", "case_id", "param", "value"))
+
+
+def case_defects(params: DataFrame, cases: DataFrame, inputs: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """(spec, case_id, defect): where a case's own claims do not fit its inputs; null where they do.
 
     ``params`` (spec, param, low, high, required), ``cases`` (spec, case_id, kind, target_param, role), ``inputs``
-    (spec, case_id, param, value). Values are whole numbers.
+    (spec, case_id, param, value). Values are whole numbers. Inputs that many cases have alike may be given once, in
+    ``shared`` (spec, profile, param, value): those of every case with that ``profile``, besides its own, which are of
+    other parameters. They are counted once a profile, not once a case.
     """
     declared = params.select("spec", "param", "low", "high", "required").withColumn("_d", F.lit(True))
     fits = scalars.legal(F.col("value"), F.col("low"), F.col("high"))
-    given = inputs.join(declared, ["spec", "param"], "left")
-    per = given.groupBy("spec", "case_id").agg(F.count_if(F.col("_d").isNull()).alias("undeclared"), F.count_if(F.col("_d") & ~fits).alias("illegal"), F.count_if("required").alias("given"))
+    counts = {"undeclared": F.count_if(F.col("_d").isNull()), "illegal": F.count_if(F.col("_d") & ~fits), "given": F.count_if("required")}
+    tally = lambda rows, key, at: rows.join(declared, ["spec", "param"], "left").groupBy("spec", key).agg(*[x.alias(at + c) for c, x in counts.items()])
     needs = params.groupBy("spec").agg(F.count_if("required").alias("needed"))
-    aimed = cases.select("spec", "case_id", F.col("target_param").alias("param")).join(declared, ["spec", "param"]).join(inputs, ["spec", "case_id", "param"], "left")
+    aimed = cases.select("spec", "case_id", F.col("target_param").alias("param")).join(declared, ["spec", "param"]).join(_told(cases, inputs, shared), ["spec", "case_id", "param"], "left")
     aim = aimed.groupBy("spec", "case_id").agg(F.lit(True).alias("named"), F.first("value").alias("value"), F.first(scalars.position(F.col("value"), F.col("low"), F.col("high"), F.lit(True))).alias("at"))
-    rows = cases.join(per, ["spec", "case_id"], "left").join(needs, "spec", "left").join(aim, ["spec", "case_id"], "left")
+    rows = cases.join(tally(inputs, "case_id", ""), ["spec", "case_id"], "left").join(needs, "spec", "left").join(aim, ["spec", "case_id"], "left")
+    if shared is not None:
+        rows = rows.join(tally(shared, "profile", "_"), ["spec", "profile"], "left").withColumns({c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0)) for c in counts})
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     lacks = n("given") < n("needed")
     happy = F.when(lacks, "omits_required").when(n("illegal") > 0, "illegal_value")
@@ -205,12 +218,16 @@ def case_defects(params: DataFrame, cases: DataFrame, inputs: DataFrame) -> Data
     return rows.select("spec", "case_id", defect.alias("defect"))
 
 
-def scorecard(params: DataFrame, cases: DataFrame, inputs: DataFrame, errors: DataFrame) -> DataFrame:
+def scorecard(params: DataFrame, cases: DataFrame, inputs: DataFrame, errors: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """One row a spec: cases by kind, skew, the four axes, self-consistency, and the axis most worth work.
 
     ``params`` also has ``default``, ``cases`` ``target_error`` and ``expected``; kinds that a spec cannot need do not count,
     nor does idempotency unless some case is of that kind. Balance competes only where a suite is lopsided or lacks a kind.
+    ``shared`` are inputs by ``profile``, as in ``case_defects``; the profile of each is that of some case.
     """
+    values = _told(cases, inputs, shared)
+    if shared is not None:
+        values = values.unionByName(shared.select("spec", F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), "param", "value"))
     counted = cases.groupBy("spec").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS], F.count(F.lit(1)).alias("cases"))
     bounded = params.groupBy("spec").agg((F.count_if(F.col("low").isNotNull() | F.col("high").isNotNull()) > 0).alias("_b"))
     failing = errors.groupBy("spec").agg(F.lit(True).alias("_e"))
@@ -224,10 +241,10 @@ def scorecard(params: DataFrame, cases: DataFrame, inputs: DataFrame, errors: Da
     lacking = sum(((wanted[k] & (F.col(k) == 0)).cast("int") for k in KINDS), F.lit(0)) > 0
     dominant = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(KINDS)]))["k"]
     rows = rows.select("spec", "cases", dominant.alias("dominant"), skew.alias("skew"), (lacking | (skew > MOST_SKEW)).alias("lopsided"))
-    defects = case_defects(params, cases, inputs).groupBy("spec").agg(F.round(1 - F.count("defect") / F.count(F.lit(1)), 4).alias("self_consistency"))
+    defects = case_defects(params, cases, inputs, shared).groupBy("spec").agg(F.round(1 - F.count("defect") / F.count(F.lit(1)), 4).alias("self_consistency"))
     axis = lambda df, name: df.select("spec", F.col("coverage").alias(name))
-    rows = rows.join(defects, "spec").join(axis(evaluate.boundary_axis(params, inputs), "boundary_coverage"), "spec", "left").join(axis(evaluate.error_axis(errors, cases), "error_coverage"), "spec", "left")
-    rows = rows.join(axis(evaluate.parameter_axis(params.select("spec", "param", "default"), inputs, cases), "param_coverage"), "spec", "left")
+    rows = rows.join(defects, "spec").join(axis(evaluate.boundary_axis(params, values.select("spec", "param", "value").distinct()), "boundary_coverage"), "spec", "left").join(axis(evaluate.error_axis(errors, cases), "error_coverage"), "spec", "left")
+    rows = rows.join(axis(evaluate.parameter_axis(params.select("spec", "param", "default"), values, cases), "param_coverage"), "spec", "left")
     rows = rows.withColumn("kind_balance", F.round(1 - F.col("skew"), 4)).withColumns({a: F.coalesce(a, F.lit(1.0)) for a in AXES[1:]})
     weakest = F.array_min(F.array_compact(F.array(*[F.when(F.lit(a != "kind_balance") | F.col("lopsided"), F.struct(F.col(a).alias("s"), F.lit(i).alias("o"), F.lit(a).alias("a"))) for i, a in enumerate(AXES)])))
     return rows.withColumn("weakest", F.when((weakest["s"] >= 1.0) & ~F.col("lopsided"), "none").otherwise(weakest["a"])).drop("lopsided")

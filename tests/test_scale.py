@@ -235,3 +235,22 @@ def test_coded_search_tells_no_more_than_the_best_of_a_task(spark, monkeypatch):
     for i, q in enumerate(range(0, 4000, 100)):
         probes = set(np.argsort(-near[i], kind="stable")[:16].tolist())
         assert all(int(cell[r.doc_id]) in probes for r in some if r.query_id == q)
+
+
+def test_inputs_shared_by_profile_judge_cases_as_inputs_by_case(spark):
+    """The same cases with every input listed, and with what they have alike given once a profile."""
+    params = spark.createDataFrame([(s, p, p % 4, 2 if p % 3 else None, 8 if p % 3 else None, p % 4 == 0) for s in (0, 1) for p in range(9)], "spec int, param long, default long, low long, high long, required boolean")
+    kinds, roles = casework.KINDS[:4], ("min", "just_inside", None)
+    listed = [(c % 2, c, kinds[c % 7 % 4], c % 9 if c % 3 else None, roles[c % 5 % 3], None, "E1", c % 12) for c in range(240)]
+    cases = spark.createDataFrame(listed, "spec int, case_id long, kind string, target_param long, role string, target_error string, expected string, profile long")
+    sets = lambda i, p: (i + p) % 11 if (i + p) % 5 < 3 or p % 4 == 0 and i % 3 else None
+    shared = [(s, i, p, sets(i, p)) for s in (0, 1) for i in range(12) if i % 2 == s for p in range(9) if sets(i, p) is not None]
+    own = [(s, c, t, c % 10) for s, c, _, t, _, _, _, i in listed if t is not None and sets(i, t) is None and c % 4] + [(s, c, 100 + c, 1) for s, c, *_ in listed if c % 31 == 0]
+    every = own + [(s, c, p, sets(i, p)) for s, c, *_, i in listed for p in range(9) if sets(i, p) is not None]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"spec int, {key} long, param long, value long")
+    errors = spark.createDataFrame([(s, "E1") for s in (0, 1)], "spec int, code string")
+    ask = lambda df: sorted(map(str, df.collect()))
+    by_case, by_profile = frame(every, "case_id"), (frame(own, "case_id"), frame(shared, "profile"))
+    got = casework.case_defects(params, cases, *by_profile)
+    assert ask(got) == ask(casework.case_defects(params, cases, by_case)) and got.select("defect").distinct().count() >= 6
+    assert ask(casework.scorecard(params, cases, by_profile[0], errors, by_profile[1])) == ask(casework.scorecard(params, cases, by_case, errors))
