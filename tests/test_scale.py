@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 
-from skein.operators import ann, casework, evaluate, exposure, graph, joins, memory, retrieval
+from skein.operators import ann, casework, evaluate, exposure, graph, joins, memory, retrieval, signals
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
 
@@ -254,3 +255,31 @@ def test_inputs_shared_by_profile_judge_cases_as_inputs_by_case(spark):
     got = casework.case_defects(params, cases, *by_profile)
     assert ask(got) == ask(casework.case_defects(params, cases, by_case)) and got.select("defect").distinct().count() >= 6
     assert ask(casework.scorecard(params, cases, by_profile[0], errors, by_profile[1])) == ask(casework.scorecard(params, cases, by_case, errors))
+
+
+def test_corpus_signals_count_pairs_of_records_in_tasks(spark, monkeypatch):
+    rng = random.Random(31)
+    monkeypatch.setattr(signals, "BLOCK", 90, raising=False)  # several blocks
+    rows = [(i, [f"t{j}" for j in rng.sample(range(14), 5)]) for i in range(400)] + [(400 + i, ["t1", "t2", "t3", "t4", "t5"]) for i in range(500)] + [(900, []), (901, ["one"])]
+    frame = spark.createDataFrame(rows, "memory_id long, tags array<string>").repartition(4).cache()
+    frame.count()
+    got, n = shuffled(spark, lambda: signals.corpus_signals(frame, link=0.5, probe_terms=3, probe_k=4).collect())
+    assert n < 40_000  # 902 records make over 100,000 pairs
+    sets = {i: set(t) for i, t in rows}
+    df = Counter(t for s in sets.values() for t in s)
+    access = Counter()
+    for i, s in sets.items():
+        probe = set(sorted(s, key=lambda t: (df[t], t))[:3])
+        access.update(j for m, j in sorted((-len(probe & sets[j]), j) for j in sets if j != i)[:4] if m < 0)
+    links = {i: sum(1 for j, t in sets.items() if j != i and s and t and len(s & t) / len(s | t) >= 0.5) for i, s in sets.items()}
+    assert {r.memory_id: (r.links, r.access_count) for r in got} == {i: (links[i], access[i]) for i in sets}
+
+
+def test_shared_terms_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(signals, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    sides = [[np.unique(rng.integers(0, 12, rng.integers(1, 8))) for _ in range(n)] for n in (9, 11)]
+    x, y = ((np.repeat(np.arange(len(s)), [len(t) for t in s]), np.concatenate(s)) for s in sides)
+    pieces = list(signals._pairs(x, y, 12))
+    want = {(a, b): len(np.intersect1d(s, t)) for a, s in enumerate(sides[0]) for b, t in enumerate(sides[1]) if len(np.intersect1d(s, t))}
+    assert len(pieces) > 1 and {(int(a), int(b)): int(n) for p in pieces for a, b, n in zip(*p)} == want
