@@ -263,7 +263,12 @@ def test_corpus_signals_count_pairs_of_records_in_tasks(spark, monkeypatch):
     rows = [(i, [f"t{j}" for j in rng.sample(range(14), 5)]) for i in range(400)] + [(400 + i, ["t1", "t2", "t3", "t4", "t5"]) for i in range(500)] + [(900, []), (901, ["one"])]
     frame = spark.createDataFrame(rows, "memory_id long, tags array<string>").repartition(4).cache()
     frame.count()
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # else what is small is joined in one task, which shuffles nothing
+    for k, v in held.items():
+        spark.conf.set(k, v)
     got, n = shuffled(spark, lambda: signals.corpus_signals(frame, link=0.5, probe_terms=3, probe_k=4).collect())
+    for k in held:
+        spark.conf.unset(k)
     assert n < 40_000  # 902 records make over 100,000 pairs
     sets = {i: set(t) for i, t in rows}
     df = Counter(t for s in sets.values() for t in s)
