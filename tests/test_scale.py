@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import tracemalloc
 from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 
 from skein.operators import ann, casework, evaluate, exposure, graph, joins, memory, retrieval, signals
 from skein.plans import casework as cases_plan
@@ -288,3 +290,39 @@ def test_shared_terms_are_counted_in_pieces(monkeypatch):
     pieces = list(signals._pairs(x, y, 12))
     want = {(a, b): len(np.intersect1d(s, t)) for a, s in enumerate(sides[0]) for b, t in enumerate(sides[1]) if len(np.intersect1d(s, t))}
     assert len(pieces) > 1 and {(int(a), int(b)): int(n) for p in pieces for a, b, n in zip(*p)} == want
+
+
+def test_lockstep_equals_a_loop_and_near_stamps_do_not_become_rows(spark):
+    rng = random.Random(8)
+    start = datetime(2024, 1, 1)
+    rows = {(rng.choice("xy"), rng.randrange(60), start + timedelta(seconds=rng.randrange(900))) for _ in range(1500)} | {(None, 1, start), ("x", None, start), ("x", 1, None)}
+    frame = spark.createDataFrame(sorted(rows, key=str), "g string, n long, t timestamp").repartition(4).cache()
+    frame.count()
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    got, n = shuffled(spark, lambda: graph.lockstep(frame, "n", "t", 60, 4, 0.9, "g").collect())
+    for k in held:
+        spark.conf.unset(k)
+    assert n < 15_000  # about 1,500 stamps have over 140,000 others near
+    hits, size = {}, {}
+    for g, a, t in rows:
+        if a is not None and t is not None:
+            size.setdefault(a, set()).add(t)
+        for h, b, u in rows:
+            if None not in (g, a, t, b, u) and g == h and a < b and abs((t - u).total_seconds()) <= 60:
+                hits.setdefault((a, b), set()).add(t)
+    ratio = {p: len(h) / min(len(size[p[0]]), len(size[p[1]])) for p, h in hits.items()}
+    want = {(a, b): (len(hits[a, b]), round(r, 4)) for (a, b), r in ratio.items() if len(hits[a, b]) >= 4 and round(r, 4) >= 0.9}
+    assert 0 < len(want) < len(hits) and {(r.a, r.b): (r.hits, r.ratio) for r in got} == want
+
+
+def test_lockstep_counts_near_stamps_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    tiles = [pd.DataFrame({"i": 0, "j": j, "side": n % 2 * j, "g": rng.choice(["x", "y"], 90), "n": n, "t": rng.integers(0, 40, 90) * 1_000_000, "m": 9}).drop_duplicates() for j in (0, 1) for n in [rng.integers(0, 12, 90)]]
+    run = graph._steps(3, 2, 0.1)
+    whole = [run(t.copy()) for t in tiles]
+    monkeypatch.setattr(graph, "CHUNK", 5)
+    for a, t in zip(whole, tiles):
+        order = ["a", "b", "hits", "m"]
+        assert len(a) and a.sort_values(order).to_numpy().tolist() == run(t.copy()).sort_values(order).to_numpy().tolist()
