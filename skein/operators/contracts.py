@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.nested import nodes
+from skein.operators.graph import settle
+from skein.operators.nested import LEVELS, children, kind, let, members
 
 SIDES = ("before", "after", "args", "result")
 PHASES = ("pre", "post", "invariant", "readback")
 OPS = ("exists", "missing", "eq", "ne", "lt", "le", "gt", "ge", "in", "matches")
 # The threshold and the score of a step whose result names another skill.
 JUDGE, MISNAMED = 0.5, 0.25
+NUMBERS = ("long", "bigint", "decimal", "double", "float", "int", "smallint", "tinyint")
 NOT_LANDED = "claimed but not landed: intended effect absent from observed state"
 
 
@@ -39,23 +41,48 @@ def _holds(op: Column, value: Column, than: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _pairs(want: Column, have: Column, levels: int) -> Column:
+    """(ok, w, h) for each place of ``want``: whether ``have`` is alike there; containers ``levels`` deep are left as they are (w, h)."""
+    told = lambda ok, w=None, h=None: F.array(F.struct(ok.alias("ok"), *[(F.lit(None) if x is None else x).cast("variant").alias(n) for x, n in ((w, "w"), (h, "h"))]))
+    k, l = kind(want), F.when(have.isNotNull(), kind(have))
+    number = k.isin(*NUMBERS) & F.coalesce(l.isin(*NUMBERS), F.lit(False))
+    same = F.when(number, want.try_cast("double") == have.try_cast("double")).otherwise(k.eqNullSafe(l) & want.try_cast("string").eqNullSafe(have.try_cast("string")))
+    alike = told(F.coalesce(same, F.lit(False)))
+    boxed = children(want)
+    if not levels:
+        return F.when(boxed.isNotNull(), told(F.lit(True), want, have)).otherwise(alike)
+    inside = F.struct(boxed.alias("c"), members(want).isNotNull().alias("object"), members(have).alias("m"), have.try_cast("array<variant>").alias("a"))
+
+    def box(x: Column) -> Column:
+        pair = lambda v, other: F.struct(v["value"].alias("w"), other.alias("h"))
+        by_key = F.transform(x["c"], lambda v: pair(v, F.try_element_at(x["m"], v["key"])))
+        pairs = F.when(x["object"], by_key).otherwise(F.transform(x["c"], lambda v, i: pair(v, F.get(x["a"], i))))
+        fits = F.when(x["object"], x["m"].isNotNull()).otherwise(F.coalesce(F.size(x["a"]) == F.size(x["c"]), F.lit(False)))
+        below = F.flatten(F.transform(pairs, lambda p: _pairs(p["w"], p["h"], levels - 1)))
+        return F.when(x["c"].isNull(), alike).when(fits, below).otherwise(told(F.lit(False)))
+
+    return let(inside, box)
+
+
 def landed(steps: DataFrame, key: str, intended: str, after: str) -> DataFrame:
     """(key, landed): whether every leaf of the ``intended`` JSON stands at the same place of ``after``; an empty or missing intention never does.
 
-    Objects are contained member by member; arrays must be equal as wholes.
+    Objects are contained member by member; arrays must be as long and alike at every place. Both are gone through
+    within their row, ``LEVELS`` levels a pass; the loop ends with the pass that leaves no container.
     """
-    want = nodes(steps.select(key, intended), intended, key)
-    have = nodes(steps.select(key, after), after, key)
-    # Whatever lies in an array is compared place by place; its length is compared besides.
-    size = lambda rows: rows.where(F.size("path") > 0).withColumn("_up", F.slice("path", 1, F.size("path") - 1)).groupBy(key, F.col("_up").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    told = want.select(key, "path", "kind", "leaf").join(size(want), [key, "path"], "left")
-    seen = have.select(key, "path", F.col("kind").alias("k"), F.col("leaf").alias("l")).join(size(have).withColumnRenamed("n", "m"), [key, "path"], "left")
-    both = told.join(seen, [key, "path"], "left")
-    numbers = ("long", "bigint", "decimal", "double", "float", "int", "smallint", "tinyint")
-    alike = F.when(F.col("kind").isin(*numbers) & F.col("k").isin(*numbers), F.col("leaf").try_cast("double") == F.col("l").try_cast("double")).otherwise(F.col("kind").eqNullSafe(F.col("k")) & F.col("leaf").eqNullSafe(F.col("l")))
-    fits = F.when(F.col("kind") == "object", F.col("k") == "object").when(F.col("kind") == "array", (F.col("k") == "array") & F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("m", F.lit(0)))).otherwise(alike)
-    good = both.groupBy(key).agg(F.min(F.coalesce(fits, F.lit(False))).alias("_ok"), F.max((F.size("path") == 0) & (F.col("kind") == "object") & (F.col("n") > 0)).alias("_some"))
-    return steps.select(key).join(good, key, "left").select(key, (F.coalesce("_ok", F.lit(False)) & F.coalesce("_some", F.lit(False))).alias("landed"))
+    want, have = F.try_parse_json(intended), F.try_parse_json(after)
+    rows = steps.select(key, want.alias("_w"), have.alias("_h"))
+    rows = rows.select(key, F.coalesce(F.size(members(F.col("_w"))) > 0, F.lit(False)).alias("_some"), _pairs(F.col("_w"), F.col("_h"), LEVELS).alias("_l"))
+    good, open_ = F.col("_some") & F.forall("_l", lambda x: x["ok"]), F.exists("_l", lambda x: x["w"].isNotNull())
+    out = None
+    while True:
+        rows = settle(rows)
+        told = rows.where(~(good & open_)).select(key, good.alias("landed"))
+        out = told if out is None else out.unionByName(told)
+        rest = rows.where(good & open_)
+        if rest.isEmpty():
+            return out
+        rows = rest.select(key, "_some", F.flatten(F.transform(F.filter("_l", lambda x: x["w"].isNotNull()), lambda x: _pairs(x["w"], x["h"], LEVELS))).alias("_l"))
 
 
 def check_steps(steps: DataFrame, rules: DataFrame, threshold: float = JUDGE) -> DataFrame:
@@ -69,7 +96,8 @@ def check_steps(steps: DataFrame, rules: DataFrame, threshold: float = JUDGE) ->
     """
     two = F.when(F.col("phase") == "invariant", F.array(F.lit("before"), F.lit("after"))).otherwise(F.array("side"))
     tests = rules.where("phase <> 'readback'").withColumn("side", F.explode(two))
-    met = steps.select("step_id", "skill", *SIDES).join(tests, "skill")
+    # Skills are few and have many steps each: rules go to the steps.
+    met = steps.select("step_id", "skill", *SIDES).join(F.broadcast(tests), "skill")
     value = F.call_function("get_json_object", _side(F.col("side")), F.col("path"))
     than = F.when(F.col("other").isNull(), F.col("operand")).otherwise(F.call_function("get_json_object", _side(F.col("other")), F.col("operand")))
     failed = met.where(~_holds(F.col("op"), value, than))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import contracts, graph, knowledge, nested
-from skein.plans.base import Query, load, once, register
+from skein.plans.base import Query, load, once, register, spread
 from skein.plans.knowledge import vector_approximate
 from skein.plans.retrieval import vector_flat
 from skein.streaming import evolve
@@ -183,7 +183,7 @@ _RULES = [
 )
 def step_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as steps: two thirds ship, which is read back, the others bill; rules come from a table."""
-    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o, k = spread(load(spark, sf_dir, "orders")), F.col("o_orderkey")
     total, w = F.floor("o_totalprice"), F.col("o_custkey") % 5
     ship = k % 3 < 2
     state = lambda t: F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.lit(9).alias("n")).alias("state"), t.alias("total"))

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 
-from skein.operators import ann, casework, evaluate, exposure, graph, joins, memory, retrieval, signals
+from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, memory, nested, retrieval, signals
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
 
@@ -326,3 +326,29 @@ def test_lockstep_counts_near_stamps_in_pieces(monkeypatch):
     for a, t in zip(whole, tiles):
         order = ["a", "b", "hits", "m"]
         assert len(a) and a.sort_values(order).to_numpy().tolist() == run(t.copy()).sort_values(order).to_numpy().tolist()
+
+
+def test_nested_values_are_taken_apart_within_their_rows(spark):
+    rows = [(i, '{"b": [1, {"x": null, "a": [true, [2.5, {"d": {"e": "deep"}}]]}], "a": "%d"}' % i) for i in range(50)]
+    frame = spark.createDataFrame(rows, "k long, j string").repartition(4).cache()
+    frame.count()
+    got, n = shuffled(spark, lambda: nested.text(frame, "j", "k").collect())
+    assert {r.k: r.text for r in got} == {i: f"a {i} b 1 a True 2.5 d e deep x None" for i in range(50)} and n < 20
+    got, n = shuffled(spark, lambda: nested.summaries(frame, "j", "k").collect())
+    assert {r.k: r.summary for r in got} == {i: '{"a":"%d","b":[1,{"a":[true,"[depth-limited]"],"x":null}]}'.replace("true,", '"[depth-limited]",') % i for i in range(50)} and n < 20
+    got, n = shuffled(spark, lambda: nested.nodes(frame, "j", "k").collect())
+    assert len(got) == 50 * 13 and n < 50
+
+
+def test_steps_are_not_sent_by_skill(spark):
+    steps = [(i, "ab"[i % 2], "ab"[i % 2], '{"s": 1}', '{"s": {"t": [1, 2]}}', "{}", "{}", '{"s": {"t": [1, %d]}}' % (i % 3)) for i in range(600)]
+    frame = spark.createDataFrame(steps, "step_id long, skill string, result_skill string, before string, after string, args string, result string, intended string").repartition(4).cache()
+    frame.count()
+    rules = spark.createDataFrame([("a", "pre", "r1", "before", "$.s", "eq", "1", None, "no"), ("b", "post", "r2", "after", "$.s", "exists", None, None, "none")], "skill string, phase string, rule string, side string, path string, op string, operand string, other string, message string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    got, n = shuffled(spark, lambda: contracts.check_steps(frame, rules).collect())
+    for k in held:
+        spark.conf.unset(k)
+    assert {r.step_id: r.readback for r in got} == {i: int(i % 3 != 2) for i in range(600)} and n < 1500
