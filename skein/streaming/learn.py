@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.graph import settle
 from skein.sources import generations
 
 PAYLOAD = "included_memory_ids array<string>, root_cause_key string, confidence double, evidence array<struct<evidence_id: string>>, passed boolean, skills array<string>, memory_id string, memory_ids array<string>, items array<struct<memory_id: string, role: string>>, blocked boolean, skill string, evidence_ids array<string>"
@@ -78,10 +79,11 @@ def learn(state: dict[str, DataFrame], events: DataFrame, cases: DataFrame, evid
     produced takes a strike, and with two runs' strikes is retired. Skills count successes and idle
     exposures and freeze once misuse prevails. Runs are taken in the order of (at, run_id).
     """
-    runs = facts(events).join(state["runs"], "run_id", "left_anti").join(cases, "run_id", "left")
+    # Read many times below: made once, where a shared folder can hold it.
+    told = facts(events).join(state["runs"], "run_id", "left_anti").join(cases, "run_id", "left")
     skill_tags = lambda c: F.transform(c, lambda s: F.concat(F.lit("skill:"), s))
     won = F.array_distinct(F.transform(F.filter("produced", lambda x: x["skill"].isNotNull() & F.arrays_overlap(x["evidence_ids"], F.col("cited"))), lambda x: x["skill"]))
-    runs = runs.withColumn("winning", won).withColumn("verified", F.col("diagnosed") & F.col("passed") & (F.col("root") != ""))
+    runs = settle(told.withColumn("winning", won).withColumn("verified", F.col("diagnosed") & F.col("passed") & (F.col("root") != "")))
     held = state["memories"]
     marks = state["marks"]
     live = held.where("NOT quarantined").select("memory_id")
@@ -95,21 +97,25 @@ def learn(state: dict[str, DataFrame], events: DataFrame, cases: DataFrame, evid
     strikes = named.where("NOT quarantined").select("run_id", "memory_id", F.lit("contradiction").alias("mark"))
     helped = runs.where("verified").select("run_id", F.explode(F.array_intersect("included", "credited")).alias("memory_id")).join(held.select("memory_id"), "memory_id", "left_semi").join(named, ["run_id", "memory_id"], "left_anti")
     credit = helped.select("run_id", "memory_id", F.lit("credit").alias("mark"))
-    fresh = access.unionByName(strikes).unionByName(credit).distinct().join(marks, ["run_id", "memory_id", "mark"], "left_anti")
+    fresh = settle(access.unionByName(strikes).unionByName(credit).distinct().join(marks, ["run_id", "memory_id", "mark"], "left_anti"))
     every = marks.unionByName(fresh)
-    # Patterns and procedures: the first verified run of a root makes them where the store has none.
-    order = Window.partitionBy("root").orderBy("at", "run_id")
-    good = runs.where("verified").withColumn("n", F.row_number().over(order)).withColumn("_made", F.sum((F.size("winning") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Patterns and procedures: the first verified run of a root makes them where the store has none. Roots are few and
+    # have many runs each, so what is asked of their order are sums and extremes, which tasks begin before the shuffle.
+    n = F.struct("at", "run_id")
+    making = F.when(F.size("winning") > 0, n)
+    good = runs.where("verified")
+    since = good.groupBy("root").agg(F.min(making).alias("_first"))
+    good = good.join(F.broadcast(since), "root").withColumn("_since", (n >= F.col("_first")).cast("long"))
     base = F.array_distinct(F.concat(F.coalesce(F.transform("terms", F.lower), F.array().cast("array<string>")), F.array(F.col("root"), F.concat(F.lit("root:"), "root"))))
     name = lambda p: F.concat(F.lit(p), F.col("root")).alias("memory_id")
-    pattern = good.groupBy("root").agg(F.count(F.lit(1)).alias("hits"), F.min_by(base, "n").alias("tags"), F.min_by("assets", "n").alias("assets"), F.max_by("run_id", "n").alias("last_run")).select(name("sem-"), F.lit("semantic").alias("tier"), "hits", "hits", "tags", "assets", F.array().cast("array<string>").alias("more"), "last_run")
+    pattern = good.groupBy("root").agg(F.count(F.lit(1)).alias("hits"), F.min_by(base, n).alias("tags"), F.min_by("assets", n).alias("assets"), F.max_by("run_id", n).alias("last_run")).select(name("sem-"), F.lit("semantic").alias("tier"), "hits", "hits", "tags", "assets", F.array().cast("array<string>").alias("more"), "last_run")
     pattern = pattern.toDF("memory_id", "tier", "hits", "later", "tags", "assets", "more", "last_run").withColumn("later", F.col("hits") - 1)
-    lists = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("winning").alias("w")))), lambda x: x["w"]))
-    used = F.array_distinct(lists)  # the skills of a root
-    making = F.when(F.size("winning") > 0, F.col("n"))
+    # The skills of a root by their first win; those of one run in its order.
+    wins = good.select("root", "at", "run_id", F.posexplode("winning").alias("i", "w")).groupBy("root", "w").agg(F.min(F.struct("at", "run_id", "i")).alias("_n"))
+    used = wins.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "w"))), lambda x: x["w"]).alias("more"))
     procedure = good.groupBy("root").agg(
-        F.count(F.lit(1)).alias("hits"), F.count_if(F.col("_made") > 0).alias("since"), F.min_by(base, making).alias("tags"), F.min_by("assets", making).alias("assets"), used.alias("more"), F.max_by("run_id", "n").alias("last_run")
-    )
+        F.count(F.lit(1)).alias("hits"), F.coalesce(F.sum("_since"), F.lit(0)).alias("since"), F.min_by(base, making).alias("tags"), F.min_by("assets", making).alias("assets"), F.max_by("run_id", n).alias("last_run")
+    ).join(used, "root", "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
     procedure = procedure.select(name("proc-"), F.lit("procedural").alias("tier"), "hits", (F.col("since") - 1).alias("later"), "tags", "assets", skill_tags(F.col("more")).alias("more"), "last_run")
     told = pattern.unionByName(procedure)
     credits = fresh.groupBy("memory_id").agg(F.count_if(F.col("mark") == "access").alias("a"), F.count_if(F.col("mark") == "credit").alias("c"))

@@ -13,6 +13,7 @@ import pandas as pd
 from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, memory, nested, retrieval, signals
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
+from skein.streaming import learn
 
 
 def shuffled(spark, run):
@@ -352,3 +353,14 @@ def test_steps_are_not_sent_by_skill(spark):
     for k in held:
         spark.conf.unset(k)
     assert {r.step_id: r.readback for r in got} == {i: int(i % 3 != 2) for i in range(600)} and n < 1500
+
+
+def test_what_roots_learn_is_not_ordered_by_root(spark):
+    payload = lambda kind, i: {"diagnosis_completed": '{"root_cause_key": "c%d", "evidence": [{"evidence_id": "e"}]}' % (i % 2), "verifier_result": '{"passed": true}', "tool_called": '{"skill": "s%d", "evidence_ids": ["e"]}' % (i % 3)}[kind]
+    events = [(f"r{i:03}", i * 10 + j, kind, payload(kind, i)) for i in range(40) for j, kind in enumerate(("tool_called", "diagnosis_completed", "verifier_result"))]
+    frame = spark.createDataFrame(events, "run_id string, seq long, kind string, payload string")
+    cases = spark.createDataFrame([], "run_id string, terms array<string>, assets array<string>")
+    told = learn.learn(learn.empty(spark), frame, cases, spark.createDataFrame([], "run_id string, evidence_id string, contradicts string"))["memories"]
+    assert "Window" not in told._jdf.queryExecution().executedPlan().toString()  # two roots would be two tasks
+    got = {r.memory_id: (r.tags, r.importance, r.last_run) for r in told.collect()}
+    assert got["proc-c1"] == (["c1", "root:c1", "skill:s1", "skill:s0", "skill:s2"], 19.0, "r039") and got["sem-c0"] == (["c0", "root:c0"], 19.0, "r038")
