@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import cases as scalars
 from skein.functions.text import parts
 from skein.operators import evaluate, retrieval
+from skein.operators.graph import settle
 
 # The sources a class of fault needs before it can be seen at all.
 REQUIRED = {
@@ -255,14 +256,15 @@ def reflect(docs: DataFrame, queries: DataFrame, k: int = 10, attempt: int = 5,
 
     Words are drawn from found documents only; ties go to the lesser word. Queries that find nothing stay as they are.
     """
-    tried = retrieval.bm25(docs, queries, attempt).select("query_id", "doc_id")
+    docs = settle(docs.select("doc_id", "tokens"))
+    tried = settle(retrieval.bm25_made(docs, queries, attempt).select("query_id", "doc_id"))
     words = tried.join(docs.select("doc_id", "tokens"), "doc_id").select("query_id", F.explode("tokens").alias("w"))
     own = queries.select("query_id", F.explode("tokens").alias("w"))
     counts = words.join(own, ["query_id", "w"], "left_anti").groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "w"))
     more = counts.withColumn("_r", place).where(F.col("_r") <= terms).groupBy("query_id").agg(F.collect_list("w").alias("more"))
     wider = queries.join(more, "query_id", "left").select("query_id", F.when(F.col("more").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "more")).alias("tokens"))
-    return retrieval.bm25(docs, wider, k)
+    return retrieval.bm25_made(docs, wider, k)
 
 
 def skill_chains(requests: DataFrame, skills: DataFrame) -> DataFrame:

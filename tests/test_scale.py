@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, memory, nested, retrieval, signals
 from skein.plans import casework as cases_plan
@@ -364,3 +365,15 @@ def test_what_roots_learn_is_not_ordered_by_root(spark):
     assert "Window" not in told._jdf.queryExecution().executedPlan().toString()  # two roots would be two tasks
     got = {r.memory_id: (r.tags, r.importance, r.last_run) for r in told.collect()}
     assert got["proc-c1"] == (["c1", "root:c1", "skill:s1", "skill:s0", "skill:s2"], 19.0, "r039") and got["sem-c0"] == (["c0", "root:c0"], 19.0, "r038")
+
+
+def test_a_second_search_reads_made_tokens(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        made.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(30)], "doc_id long, text string").select("doc_id", F.udf(cut, "array<string>")("text").alias("tokens"))
+    asked = spark.createDataFrame([(1, ["b1"]), (2, ["a", "c2"])], "query_id long, tokens array<string>")
+    assert len(casework.reflect(docs, asked, 4, 2, 3).collect()) == 8 and made.value == 30
