@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import ann, knowledge, retrieval
-from skein.plans.base import Query, load, register
+from skein.plans.base import Query, load, register, spread
 from skein.plans.retrieval import vector_flat
 
 QUERIES: dict[str, Query] = {}
@@ -118,7 +118,7 @@ def tiered_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     i = F.col("doc_id")
     tier = F.element_at(F.array(*map(F.lit, ("episodic", "semantic", "procedural", "asset_profile"))), (i % 4 + 1).cast("int"))
-    records = load(spark, sf_dir, "documents").select(
+    records = spread(load(spark, sf_dir, "documents")).select(
         i.cast("string").alias("memory_id"), tier.alias("tier"), tokens(F.col("text")).alias("tokens"), F.array("source").alias("asset_ids"), F.array((i + 1).cast("string"), (i + 2).cast("string")).alias("links"),
         (1.0 / (1 + i % 3)).alias("strength"), (i % 5).cast("double").alias("importance"), (1 + i % 3 * 0.5).alias("confidence"), (i % 29 == 0).alias("quarantined"), i.alias("insertion_order"),
     )

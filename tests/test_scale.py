@@ -9,9 +9,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, memory, nested, retrieval, signals
+from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, knowledge, memory, nested, retrieval, signals
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
 from skein.streaming import learn
@@ -377,3 +378,29 @@ def test_a_second_search_reads_made_tokens(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(30)], "doc_id long, text string").select("doc_id", F.udf(cut, "array<string>")("text").alias("tokens"))
     asked = spark.createDataFrame([(1, ["b1"]), (2, ["a", "c2"])], "query_id long, tokens array<string>")
     assert len(casework.reflect(docs, asked, 4, 2, 3).collect()) == 8 and made.value == 30
+
+
+def test_tiers_equal_all_candidates_and_pairs_stay_in_tasks(spark):
+    rng = random.Random(26)
+    said = [f"w{i}" for i in range(12)]
+    links = lambda n: [f"m{rng.randrange(n)}" for _ in range(rng.randint(0, 3))]
+    rows = [(f"m{i}", rng.choice([*"abc", None]), rng.choices(said, k=rng.randint(1, 9)) if i % 17 else None, rng.choices("xyz", k=rng.randint(0, 2)), links(400), rng.random(), float(rng.randint(0, 4)), 1 + rng.random(), i % 29 == 0, i // 2) for i in range(400)]
+    rows += [(f"copy{i}", "a", ["w1", "w2"], ["x"], [f"m{i}"], 1.0, 1.0, 1.0, False, 1000 + i) for i in range(3000)]
+    cols = "memory_id string, tier string, tokens array<string>, asset_ids array<string>, links array<string>, strength double, importance double, confidence double, quarantined boolean, insertion_order long"
+    records = spark.createDataFrame(rows, cols).repartition(4).cache()
+    asked = spark.createDataFrame([(i, rng.choices(said, k=5) if i % 7 else [], rng.choices("xyz", k=2)) for i in range(40)] + [(40, [], []), (41, None, None)], "query_id int, tokens array<string>, assets array<string>").cache()
+    near = spark.createDataFrame([(i, f"m{rng.randrange(400)}", rng.uniform(-0.5, 1)) for i in range(41) for _ in range(9)], "query_id int, memory_id string, score double")
+    records.count(), asked.count()
+    for dense, per_tier, frontier in ((None, 3, 48), (near, 4, 2)):
+        order = Window.partitionBy("query_id", "tier").orderBy(F.desc("final"), "insertion_order", "memory_id")
+        every = knowledge.tiered_candidates(records, asked, 2, frontier, dense).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tier)
+        want = {tuple(r) for r in every.select("query_id", "tier", "memory_id", "final", "hop", "parent", "rank").collect()}
+        rows, n = shuffled(spark, lambda: knowledge.tiered(records, asked, per_tier, 2, frontier, dense).collect())  # noqa: B023
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        assert n < 60_000  # of pairs of a query and a record there are 130,000
+
+
+def test_rounding_in_tasks_is_that_of_spark(spark):
+    x = [0.0, 0.0000005, 1.0000005, 2.5000015, 1234.5678905, 0.1234565, 7.0000014999999999] + [random.Random(i).random() * 40 for i in range(500)]
+    want = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").withColumn("y", F.round("x", 6)).orderBy("i").collect()]
+    assert retrieval.round_half_up(np.array(x)).tolist() == want
