@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.joins import in_tiles
@@ -68,46 +68,56 @@ def explained_distances(edges: DataFrame, starts: DataFrame, depth: int, relatio
 
     ``edges`` has src, dst, relation and verified and is walked both ways; ``forward`` says whether the
     hop goes along its edge. Of the hops that reach a node in one level that from the least parent
-    counts (then a verified one, then by relation), so every node but a start has one parent that is
+    counts (then a verified one, then by relation; null comes last), so every node but a start has one parent that is
     one nearer. With ``relation`` only edges of that kind are walked.
+
+    A pair of nodes is one row with a code for the best hop each way, and a level sends node, parent and code only.
     """
     kept = edges.select("src", "dst", "relation", "verified")
     kept = kept if relation is None else kept.where(F.col("relation") == relation)
-    back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "verified", F.lit(False).alias("forward"))
-    both = kept.withColumn("forward", F.lit(True)).unionByName(back)
+    named = kept.select("relation").distinct()  # kinds of edges, few
+    names = settle(named.withColumn("_k", F.row_number().over(Window.orderBy(F.asc_nulls_last("relation"))) - 1))
+    told = kept.join(F.broadcast(names.withColumnRenamed("relation", "_n")), F.col("relation").eqNullSafe(F.col("_n")))
+    # Of verified (0, 1 not, 2 null), relation and forward (0, 1 against); the way from the lesser node up and back.
+    code = 2 * F.col("_k") + F.when(F.col("verified"), 0).when(~F.col("verified"), 1 << 30).otherwise(1 << 31)
+    up = F.coalesce(F.col("src") <= F.col("dst"), F.lit(False))
+    ends = told.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"), code.cast("long").alias("c"), up.alias("up"))
+    against = F.when(F.col("up"), 0).otherwise(1)
+    pairs = settle(ends.groupBy("a", "b").agg(F.min(F.col("c") + against).alias("up"), F.min(F.col("c") + 1 - against).alias("down")))
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("up").alias("c")).union(pairs.select("b", "a", "down"))
     node = edges.schema["src"].dataType
     reached = starts.select(F.col("node").cast(node).alias("start"), F.col("node").cast(node).alias("node")).distinct().withColumns(
-        {"distance": F.lit(0), "parent": F.lit(None).cast(node), "relation": F.lit(None).cast("string"), "forward": F.lit(None).cast("boolean"), "verified": F.lit(True)}
+        {"distance": F.lit(0), "parent": F.lit(None).cast(node), "c": F.lit(None).cast("long")}
     )
     front = reached
     for d in range(1, depth + 1):
-        hop = F.struct(F.col("parent"), (~F.col("verified")).alias("doubt"), "relation", (~F.col("forward")).alias("against"))
-        step = front.select("start", F.col("node").alias("src")).join(both, "src").withColumnsRenamed({"src": "parent", "dst": "node"})
-        new = step.groupBy("start", "node").agg(F.min(hop).alias("h")).join(reached.select("start", "node"), ["start", "node"], "left_anti")
-        front = settle(new.select("start", "node", F.lit(d).alias("distance"), "h.parent", "h.relation", (~F.col("h.against")).alias("forward"), (~F.col("h.doubt")).alias("verified")))
-        reached = settle(reached.unionByName(front))
+        step = front.select("start", F.col("node").alias("src")).join(both, "src").select("start", F.col("dst").alias("node"), F.col("src").alias("parent"), "c")
+        new = step.groupBy("start", "node").agg(F.min_by("c", "parent").alias("c"), F.min("parent").alias("parent")).join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        front = settle(new.select("start", "node", F.lit(d).alias("distance"), "parent", "c"))
+        reached = reached.unionByName(front)
         if front.isEmpty():
             break
-    return reached
+    doubt, rest = F.shiftright("c", 30), F.col("c").bitwiseAND((1 << 30) - 1)
+    own = reached.withColumns({"_k": F.shiftright(rest, 1).cast("int"), "forward": rest % 2 == 0, "verified": F.when(F.col("c").isNull() | (doubt == 0), True).when(doubt == 1, False)})
+    return own.join(F.broadcast(names), "_k", "left").select("start", "node", "distance", "parent", "relation", "forward", "verified")
 
 
-def explained_paths(reached: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """(start, node, distance, path, relations, verified) of the ``targets`` (start, node) that were reached.
+def explained_paths(reached: DataFrame, targets: DataFrame | Column, depth: int) -> DataFrame:
+    """(start, node, distance, path, relations, verified) of the ``targets`` that were reached: (start, node), or a condition on ``reached``.
 
-    Ways are rebuilt from their ends, one join with the hops a level; a way is verified if every hop is.
+    Ways are rebuilt from their ends, whose rows hold the last hop; each hop before is one join with the hops of the levels it can be of.
+    A way is verified if every hop is.
     """
-    hops = reached.select("start", F.col("node").alias("at"), F.col("parent").alias("_p"), F.col("relation").alias("_r"), F.col("verified").alias("_v"))
-    ways = reached.join(targets.select("start", "node").distinct(), ["start", "node"], "left_semi")
-    none = F.array().cast("array<string>")
-    ways = ways.select("start", "node", "distance", F.col("node").alias("at"), F.array("node").alias("path"), none.alias("relations"), F.lit(True).alias("ok"))
-    for _ in range(depth):
-        met = ways.join(hops, ["start", "at"])
-        back = F.col("_p").isNotNull()
-        ways = settle(met.select(
-            "start", "node", "distance", F.coalesce("_p", "at").alias("at"), F.when(back, F.array_prepend("path", F.col("_p"))).otherwise(F.col("path")).alias("path"),
-            F.when(back, F.array_prepend("relations", F.col("_r"))).otherwise(F.col("relations")).alias("relations"), (F.col("ok") & F.col("_v")).alias("ok"),
-        ))
-    return ways.select("start", "node", "distance", "path", "relations", F.col("ok").alias("verified"))
+    ways = reached.where(targets) if isinstance(targets, Column) else reached.join(targets.select("start", "node").distinct(), ["start", "node"], "left_semi")
+    ways = ways.select("start", "node", "distance", F.col("parent").alias("_a1"), F.col("relation").alias("_r1"), F.col("verified").alias("ok"))
+    deep = max(depth, 1)
+    for k in range(2, deep + 1):
+        near = reached.where(F.col("distance").between(1, deep - k + 1))
+        hops = near.select("start", F.col("node").alias(f"_a{k - 1}"), F.col("parent").alias(f"_a{k}"), F.col("relation").alias(f"_r{k}"), F.col("verified").alias("_v"), F.lit(True).alias("_h"))
+        ways = ways.join(hops, ["start", f"_a{k - 1}"], "left").withColumn("ok", F.when(F.col("_h"), F.col("ok") & F.col("_v")).otherwise(F.col("ok"))).drop("_v", "_h")
+    n = F.col("distance")
+    told = lambda c: F.slice(F.array(*(f"{c}{k}" for k in range(deep, 0, -1))), F.greatest(F.lit(1), deep - n + 1), F.least(n, F.lit(deep)))
+    return ways.select("start", "node", "distance", F.array_append(told("_a"), F.col("node")).alias("path"), told("_r").alias("relations"), F.col("ok").alias("verified"))
 
 
 def explained_chains(chains: DataFrame, edges: DataFrame, records: DataFrame, early: list[str], failures: list[str]) -> DataFrame:

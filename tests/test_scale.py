@@ -404,3 +404,33 @@ def test_rounding_in_tasks_is_that_of_spark(spark):
     x = [0.0, 0.0000005, 1.0000005, 2.5000015, 1234.5678905, 0.1234565, 7.0000014999999999] + [random.Random(i).random() * 40 for i in range(500)]
     want = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").withColumn("y", F.round("x", 6)).orderBy("i").collect()]
     assert retrieval.round_half_up(np.array(x)).tolist() == want
+
+
+def test_ways_are_told_by_codes_and_nulls_come_last(spark):
+    edges = [(0, 1, "b", None), (0, 1, "b", False), (0, 2, None, True), (0, 2, "z", True), (2, 3, None, None), (3, 0, "a", False)]
+    frame = spark.createDataFrame(edges, "src long, dst long, relation string, verified boolean")
+    got = {tuple(r)[1:] for r in graph.explained_distances(frame, spark.createDataFrame([(0,)], "node long"), 2).collect()}
+    assert got == {(0, 0, None, None, None, True), (1, 1, 0, "b", True, False), (2, 1, 0, "z", True, True), (3, 1, 0, "a", False, False)}
+    rng = random.Random(30)
+    rows = spark.createDataFrame([(rng.randrange(400), -1 - rng.randrange(2000), rng.choice("ARN"), rng.random() < 0.5) for _ in range(30_000)], "src long, dst long, relation string, verified boolean").repartition(4).cache()
+    starts = spark.createDataFrame([(i,) for i in range(0, 400, 10)], "node long").cache()
+    rows.count(), starts.count()
+
+    def run():
+        reached = graph.explained_distances(rows, starts, 2)
+        return graph.explained_paths(reached, F.col("distance") == 2, 2).collect()
+
+    ways, n = shuffled(spark, run)
+    hops = {}
+    for a, b, kind, sure in (tuple(r) for r in rows.collect()):
+        for x, y, against in ((a, b, False), (b, a, True)):
+            hops.setdefault(x, {}).setdefault(y, []).append((not sure, kind, against))
+    want = set()
+    for s in range(0, 400, 10):
+        for y in {y for p in hops.get(s, {}) for y in hops[p]} - {s} - set(hops.get(s, {})):
+            p = min(p for p in hops[s] if y in hops[p])
+            one, two = min(hops[s][p]), min(hops[p][y])
+            want.add((s, y, 2, (s, p, y), (one[1], two[1]), not (one[0] or two[0])))
+    assert {(r.start, r.node, r.distance, tuple(r.path), tuple(r.relations), r.verified) for r in ways} == want and len(ways) == len(want)
+    print("records shuffled", n)
+    assert n < 130_000
