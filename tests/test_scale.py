@@ -434,3 +434,24 @@ def test_ways_are_told_by_codes_and_nulls_come_last(spark):
     assert {(r.start, r.node, r.distance, tuple(r.path), tuple(r.relations), r.verified) for r in ways} == want and len(ways) == len(want)
     print("records shuffled", n)
     assert n < 130_000
+
+
+def test_similar_specs_of_many_sets_are_counted_in_tasks(spark, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(exposure, "ASKED", 40, raising=False)  # several blocks on either side
+    monkeypatch.setattr(exposure, "HELD", 500, raising=False)
+    specs = [(i, [f"{c}{rng.randrange(n)}" for c, n in zip("abcde", (3, 4, 8, 15, 25))][: 5 if i % 7 else 2], ["p"]) for i in range(1500)]
+    frame = spark.createDataFrame(specs, "spec_id long, words array<string>, params array<string>").repartition(4).cache()
+    frame.count()
+    want = set()
+    for i, x, _ in specs[::10]:
+        near = sorted((-len(set(x) & set(y)) / len(set(x) | set(y)), k) for k, y, _ in specs if k != i and set(x) & set(y))
+        want |= {(i, k, n + 1, round(-s, 4)) for n, (s, k) in enumerate(near[:2])}
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    rows, n = shuffled(spark, lambda: exposure.similar_specs(frame, frame.where("spec_id % 10 = 0")).collect())
+    for k in held:
+        spark.conf.unset(k)
+    assert {(r.spec_id, r.other, r["rank"], r.score) for r in rows} == want
+    assert n < 30_000  # 150 asked sets share words with most of 1,500
