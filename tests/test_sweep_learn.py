@@ -17,6 +17,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from skein.operators import signals, sweep
+from skein.plans import learning
 from skein.sources import generations, syslog
 from skein.streaming import backfill, learn
 
@@ -358,3 +359,11 @@ def test_deltas_and_rates(spark):
     assert backfill.pending(log, 4) and not backfill.pending(log, 5)
     rows = spark.createDataFrame([("k", i) for i in range(10)] + [("one", 1)], "k string, s long").select("k", F.timestamp_seconds(F.col("s") * 2).alias("ts"))
     assert {r.k: (r.n, r.per_second) for r in backfill.tail_rate(rows, "k", "ts", 5).collect()} == {"k": (5, 0.5), "one": (1, None)}
+
+
+def test_corpus_signals_read_whole_texts(spark, tmp_path):
+    head = " ".join(f"head{i}" for i in range(60))
+    texts = {1: head + " " + " ".join(f"one{i}" for i in range(200)), 2: head + " " + " ".join(f"two{i}" for i in range(200)), 3: " ".join(f"x{i}" for i in range(60)) + " " + " ".join(f"tail{i}" for i in range(200)), 4: " ".join(f"y{i}" for i in range(60)) + " " + " ".join(f"tail{i}" for i in range(200))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.memory_id: r.links for r in learning.corpus_signals(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}  # 1 and 2 begin alike, 3 and 4 share most of what follows
