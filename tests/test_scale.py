@@ -9,10 +9,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.operators import ann, casework, contracts, evaluate, exposure, graph, joins, knowledge, memory, nested, retrieval, signals
+from skein.operators import ann, blocks, casework, contracts, evaluate, exposure, graph, joins, knowledge, memory, nested, retrieval, signals
 from skein.plans import casework as cases_plan
 from skein.plans import timeline, upkeep
 from skein.streaming import learn
@@ -475,3 +476,31 @@ def test_nearest_of_many_sets_are_found_in_tasks(spark, monkeypatch):
         spark.conf.unset(k)
     assert want and {(r.a, r.b, r.score) for r in rows} == want
     assert n < 20_000  # 700 sets make 244,650 pairs
+
+
+def test_corpus_signals_of_long_texts_keep_to_blocks_of_terms(spark, monkeypatch):
+    """Blocks are bounded by their terms, and the terms of pairs are looked at in pieces."""
+    tracemalloc.start()
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 30_000, 4000)) for _ in range(150)]
+    texts += [np.unique(np.concatenate([t[: 9 * len(t) // 10], rng.integers(0, 30_000, 300)])) for t in texts]
+    tables = [pa.table({"id": pa.array(range(k, 300, 2)), "m": pa.array([1] * 150), "s": pa.array([t.tolist() for t in texts[k::2]])}) for k in (0, 1)]
+    monkeypatch.setattr(signals, "CHUNK", 100_000)
+    monkeypatch.setattr(signals, "PART", 100_000)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    told = pa.Table.from_batches(list(signals._tile(0.5, 3, 4)(*tables)))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    links = Counter()
+    for r in told.to_pylist():
+        if r["id"] is None:
+            links[r["ask"]] += r["n"]
+    alike = lambda a, b: len(np.intersect1d(texts[a], texts[b])) / len(np.union1d(texts[a], texts[b])) >= 0.5
+    assert links == Counter({a: n for a in range(300) if (n := sum(alike(a, b) for b in range(1 - a % 2, 300, 2)))})
+    assert peak < 120e6
+    monkeypatch.setattr(signals, "TERMS", 2000, raising=False)
+    asked = []
+    monkeypatch.setattr(blocks, "packed", lambda rows, key, n, packed=blocks.packed: asked.append(n) or packed(rows, key, n))
+    frame = spark.createDataFrame([(i, [f"t{j}" for j in rng.integers(0, 3000, 400)]) for i in range(12)], "memory_id long, tags array<string>")
+    assert signals.corpus_signals(frame).count() == 12 and asked[0] >= 2
