@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import blocks
 from skein.operators.blocks import settle
-from skein.operators.joins import in_tiles
 
-CHUNK = 4_000_000  # near stamps looked at together
+STAMPS, CHUNK = 500_000, 1_000_000  # stamps that a block holds at most; near stamps looked at together
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -162,30 +164,44 @@ def shared_key_edges(members: DataFrame, key: str, node: str, least: int, most:
     return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _steps(seconds: int, least_hits: int, least_ratio: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of two blocks of nodes the pairs (a, b, hits, m) that may do, m the fewer stamps of both."""
+def _near(seconds: int, least_hits: int, least_ratio: float) -> Callable[[pa.Table, pa.Table | None], Iterator[pa.RecordBatch]]:
+    """Of two blocks of nodes the pairs (a, b, hits, m) that may do, in pieces, m the fewer stamps of both."""
     micros = seconds * 1_000_000
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "g", "t"], ignore_index=True)
-        names, who = np.unique(frame["n"].to_numpy(), return_inverse=True)  # numbers in the order of names
-        t, m = frame["t"].to_numpy(), np.zeros(len(names), np.int64)
-        m[who] = frame["m"].to_numpy()
-        stamp = frame.groupby(who)["t"].rank("dense").to_numpy(np.int64)  # of one node, by time
-        most, same = int(stamp.max()) + 1, frame["i"].iloc[0] == frame["j"].iloc[0]
-        parts = frame.groupby(["side", "g"], sort=False).indices
-        del frame
+    def run(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        same, cut = right is None, len(left)
+        rows = (left if same else pa.concat_tables([left, right])).combine_chunks()
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        names = whole(rows.column("n")).unique().sort()  # numbered in the order of names
+        who = pc.index_in(whole(rows.column("n")), names).to_numpy()
+        g, t = whole(rows.column("g")).dictionary_encode().indices.to_numpy(), rows.column("t").to_numpy()
+        m = np.zeros(len(names), np.int64)
+        m[who] = rows.column("m").to_numpy()
+        del rows, left, right
+        part = (np.arange(len(t)) >= cut).astype(np.int64) * (int(g.max(initial=0)) + 1) + g  # a group of a side
+        order = np.lexsort((t, part))
+        who, t, part = who[order], t[order], part[order]
+        order = np.lexsort((t, who))
+        new = (np.diff(who[order], prepend=-1) != 0) | (np.diff(t[order], prepend=0) != 0)
+        first = np.flatnonzero(np.diff(who[order], prepend=-1))
+        stamp = np.empty(len(t), np.int64)  # of one node, by time
+        at = np.cumsum(new)
+        stamp[order] = at - np.repeat(at[first], np.diff(np.append(first, len(t))))
+        most = int(stamp.max(initial=0)) + 1
+        del order, new, at
+        edge = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
+        place = {int(part[i]): slice(i, j) for i, j in zip(edge[:-1], edge[1:], strict=True)}
         lo, n = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        for (side, g), x in parts.items():
-            y = parts.get((side if same else 1, g))
-            if (same or side == 0) and y is not None:
-                lo[x] = y[0] + np.searchsorted(t[y], t[x] - micros, "left")
-                n[x] = y[0] + np.searchsorted(t[y], t[x] + micros, "right") - lo[x]
+        for k, x in place.items():
+            y = x if same else place.get(k + int(g.max()) + 1)
+            if y is not None:
+                lo[x] = y.start + np.searchsorted(t[y], t[x] - micros, "left")
+                n[x] = y.start + np.searchsorted(t[y], t[x] + micros, "right") - lo[x]
         asked = np.flatnonzero(n)
         asked = asked[np.argsort(who[asked], kind="stable")]
         before = np.concatenate([[0], np.cumsum(n[asked])])
         cuts = np.concatenate([np.flatnonzero(np.diff(who[asked], prepend=-1)), [len(asked)]])  # where each node begins
-        out, at = [], 0
+        at = 0
         while at < len(cuts) - 1:
             end = max(at + 1, int(np.searchsorted(before[cuts], before[cuts[at]] + CHUNK, "right")) - 1)
             x = asked[cuts[at] : cuts[end]]
@@ -195,32 +211,43 @@ def _steps(seconds: int, least_hits: int, least_ratio: float) -> Callable[[pd.Da
             kept = who[x] < who[y] if same else who[x] != who[y]
             x, y = x[kept], y[kept]
             a, b = np.where(who[x] < who[y], x, y), np.where(who[x] < who[y], y, x)
-            key = np.sort((who[a] * len(names) + who[b]) * most + stamp[a])
+            key = np.sort((who[a].astype(np.int64) * len(names) + who[b]) * most + stamp[a])
             pair = key[np.diff(key, prepend=-1) > 0] // most
             new = np.flatnonzero(np.diff(pair, prepend=-1))
             pair, hits = pair[new], np.diff(np.append(new, len(pair)))
             a, b = pair // len(names), pair % len(names)
             fewer = np.minimum(m[a], m[b])
             kept = (hits >= least_hits) & (hits / fewer >= least_ratio - 1e-4)
-            out.append(pd.DataFrame({"a": names[a[kept]], "b": names[b[kept]], "hits": hits[kept], "m": fewer[kept]}))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a[kept])), names.take(pa.array(b[kept])), pa.array(hits[kept]), pa.array(fewer[kept])], names=["a", "b", "hits", "m"])
             at = end
-        return pd.concat(out) if out else pd.DataFrame({"a": names[:0], "b": names[:0], "hits": m[:0], "m": m[:0]})
 
     return run
 
 
+def _steps(seconds: int, least_hits: int, least_ratio: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``_near`` of a frame that holds both blocks (i, j) by their side, all pieces at once."""
+    run = _near(seconds, least_hits, least_ratio)
+
+    def both(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [pa.Table.from_pandas(x[["g", "n", "t", "m"]], preserve_index=False) for _, x in frame.groupby("side")]
+        return pa.Table.from_batches(run(sides[0], None if frame["i"].iloc[0] == frame["j"].iloc[0] else sides[1])).to_pandas()
+
+    return both
+
+
 def lockstep(stamps: DataFrame, node: str, ts: str, seconds: int, least_hits: int, least_ratio: float, group: str) -> DataFrame:
     """(a, b, hits, ratio): pairs of a group whose stamps often lie within ``seconds`` of each other.
 
     hits counts the stamps of ``a`` with one of ``b`` near; ratio divides by the fewer stamps. Nodes
     are dealt into blocks, and a task meets two of them in the order of time: what is near is counted
-    there, so only pairs that are told become rows.
+    there in pieces, so only pairs that are told become rows.
     """
     rows = settle(stamps.select(F.col(group).alias("g"), F.col(node).alias("n"), F.unix_micros(F.col(ts)).alias("t")).distinct())
     size = rows.groupBy("n").agg(F.countDistinct("t").alias("m"))
     whole = rows.dropna().join(size, "n").select("g", "n", "t", "m")
     kind = rows.schema["n"].dataType.simpleString()
-    found = in_tiles(whole, "n", rows.count(), 20_000, 4_000_000).groupBy("i", "j").applyInPandas(_steps(seconds, least_hits, least_ratio), f"a {kind}, b {kind}, hits long, m long")
+    number = blocks.number(rows.count(), 20_000, STAMPS)
+    found = blocks.meet(blocks.packed(whole, "n", number), None, number, _near(seconds, least_hits, least_ratio), f"a {kind}, b {kind}, hits long, m long")
     ratio = F.round(F.col("hits") / F.col("m"), 4)
     return found.select("a", "b", "hits", ratio.alias("ratio")).where((F.col("hits") >= least_hits) & (F.col("ratio") >= least_ratio))
 

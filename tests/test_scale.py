@@ -504,3 +504,23 @@ def test_corpus_signals_of_long_texts_keep_to_blocks_of_terms(spark, monkeypatch
     monkeypatch.setattr(blocks, "packed", lambda rows, key, n, packed=blocks.packed: asked.append(n) or packed(rows, key, n))
     frame = spark.createDataFrame([(i, [f"t{j}" for j in rng.integers(0, 3000, 400)]) for i in range(12)], "memory_id long, tags array<string>")
     assert signals.corpus_signals(frame).count() == 12 and asked[0] >= 2
+
+
+def test_lockstep_keeps_to_blocks_and_tells_pairs_in_pieces(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = sorted({("x", rng.randrange(80), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(9000))) for _ in range(2000)})
+    frame = spark.createDataFrame(rows, "g string, n long, t timestamp").repartition(4).cache()
+    want = sorted(map(tuple, graph.lockstep(frame, "n", "t", 60, 2, 0.1, "g").collect()))
+    monkeypatch.setattr(graph, "STAMPS", 120, raising=False)
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    got, n = shuffled(spark, lambda: sorted(map(tuple, graph.lockstep(frame, "n", "t", 60, 2, 0.1, "g").collect())))
+    for k in held:
+        spark.conf.unset(k)
+    assert want and got == want
+    assert n < 6 * 2000  # stamps are dealt into 17 blocks once
+    monkeypatch.setattr(graph, "CHUNK", 500)
+    table = pa.table({"g": ["x"] * 300, "n": [i % 20 for i in range(300)], "t": [i * 1_000_000 for i in range(300)], "m": [15] * 300})
+    pieces = list(graph._near(30, 1, 0.0)(table, None))
+    assert len(pieces) > 4 and pa.Table.from_batches(pieces).num_rows == 190
