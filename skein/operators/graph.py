@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.operators import blocks
 from skein.operators.blocks import settle
 
-STAMPS, CHUNK = 500_000, 1_000_000  # stamps that a block holds at most; near stamps looked at together
+STAMPS, CHUNK = 500_000, 1_000_000  # stamps that a block holds at most; near stamps, and arcs, looked at together
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -258,37 +259,100 @@ def hubs(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
 
 
+class _Arcs:
+    """The arcs of one part, told in the order of their nodes: what is large waits in a file of the task, which is gone when closed; nodes and labels are arrays."""
+
+    def __init__(self) -> None:
+        self.other, self.weight = self._file(), self._file()
+        self.names, self.degrees, self.last = [], [], None
+
+    @staticmethod
+    def _file() -> tempfile.SpooledTemporaryFile:
+        return tempfile.SpooledTemporaryFile(max_size=16 * CHUNK)
+
+    @staticmethod
+    def _read(file: tempfile.SpooledTemporaryFile, kind: type, n: int) -> np.ndarray:
+        return np.frombuffer(file.read(n * np.dtype(kind).itemsize), kind)
+
+    def add(self, node: np.ndarray, other: np.ndarray, weight: np.ndarray) -> None:
+        new = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
+        names, degree = node[new], np.diff(np.append(new, len(node)))
+        if names[0] == self.last:
+            self.degrees[-1][-1] += degree[0]
+            names, degree = names[1:], degree[1:]
+        if len(names):
+            self.names.append(names)
+            self.degrees.append(degree)
+            self.last = names[-1]
+        self.other.write(other.astype(np.int64).tobytes())
+        self.weight.write(weight.astype(np.float64).tobytes())
+
+    def labels(self, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """(names, labels) after ``rounds``, each of which reads the arcs once, ``CHUNK`` or one node's at a time."""
+        names, edge = np.concatenate(self.names), np.concatenate([[0], np.cumsum(np.concatenate(self.degrees))])
+        self.other.seek(0)
+        with self.other as told, self.weight as weights, self._file() as other:
+            for _ in range(0, edge[-1], CHUNK):
+                other.write(np.searchsorted(names, self._read(told, np.int64, CHUNK)).astype(np.int32).tobytes())
+            told.close()
+            label = np.arange(len(names))
+            for _ in range(rounds):
+                changed, i = False, 0
+                other.seek(0)
+                weights.seek(0)
+                while i < len(names):
+                    j = max(i + 1, int(np.searchsorted(edge, edge[i] + CHUNK, "right")) - 1)
+                    to, weight = self._read(other, np.int32, edge[j] - edge[i]), self._read(weights, np.float64, edge[j] - edge[i])
+                    cuts = (edge[i : j + 1] - edge[i]).tolist()
+                    for n, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), i):
+                        seen, which = np.unique(label[to[x:y]], return_inverse=True)
+                        best = seen[np.argmax(np.bincount(which, weight[x:y]))]
+                        changed |= bool(best != label[n])
+                        label[n] = best
+                    i = j
+                if not changed:
+                    break
+        return names, names[label]
+
+
 def label_propagation(edges: DataFrame, group: str, rounds: int = 24) -> DataFrame:
     """(group, node, label) by asynchronous weighted label propagation inside each group.
 
     Nodes are visited in order and take the neighbours' heaviest label, ties by the lesser one. The
-    order matters, so what hangs together is one task's, as arrays of its edges; parts of a group that do not hang
-    together never change each other's labels and go to tasks of their own.
+    order matters, so what hangs together is one task's; parts of a group that do not hang
+    together never change each other's labels and go to tasks of their own. A task reads the arcs of a part in the
+    order of nodes, from a file of its own in each round: only nodes and labels stay in memory.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        m, weight = len(frame), frame["weight"].to_numpy()
-        names, at = np.unique(np.concatenate([frame["a"].to_numpy(), frame["b"].to_numpy()]), return_inverse=True)
-        one, order = frame[group].iloc[0], np.argsort(at, kind="stable")
-        del frame
-        other, weight = np.concatenate([at[m:], at[:m]])[order].astype(np.int32), np.concatenate([weight, weight])[order]
-        edge = np.searchsorted(at[order], np.arange(len(names) + 1))
-        label = np.arange(len(names))
-        for _ in range(rounds):
-            changed = False
-            for n in range(len(names)):
-                told, which = np.unique(label[other[edge[n] : edge[n + 1]]], return_inverse=True)
-                best = told[np.argmax(np.bincount(which, weight[edge[n] : edge[n + 1]]))]
-                changed |= bool(best != label[n])
-                label[n] = best
-            if not changed:
-                break
-        return pd.DataFrame({"group": one, "node": names, "label": names[label]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def done() -> pa.RecordBatch:
+            names, labels = held.labels(rounds)
+            return pa.RecordBatch.from_arrays([pa.repeat(key[0], len(names)), pa.array(names), pa.array(labels)], names=["group", "node", "label"])
+
+        for batch in batches:
+            g, part = batch.column(group), batch.column("_part").to_numpy()
+            kind = g.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            a, b, weight = (batch.column(c).to_numpy() for c in ("a", "b", "weight"))
+            cuts = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(part, prepend=0) != 0)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                one = (g[i], int(part[i]))
+                if held is not None and (one[1] != key[1] or one[0].as_py() != key[0].as_py()):
+                    yield done()
+                    held = None
+                key, held = one, held or _Arcs()
+                held.add(a[i:j], b[i:j], weight[i:j])
+        if held is not None:
+            yield done()
 
     kind = edges.schema[group].dataType.simpleString()
-    edges = settle(edges.select(group, "a", "b", "weight"))
+    edges = settle(edges.select(group, "a", "b", F.col("weight").cast("double").alias("weight")).where("a IS NOT NULL AND b IS NOT NULL"))
     part = components(edges).select(F.col("node").alias("a"), F.col("component").alias("_part"))
-    return edges.join(part, "a").groupBy(group, "_part").applyInPandas(run, f"group {kind}, node long, label long")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    arcs = edges.join(part, "a").select(group, "_part", F.explode(ways).alias("_w"), "weight").select(group, "_part", "_w.*", "weight")
+    dealt = arcs.repartition(group, "_part").sortWithinPartitions(group, "_part", "a", "b")
+    return dealt.mapInArrow(run, f"group {kind}, node long, label long")
 
 
 def synchronous_labels(edges: DataFrame, rounds: int = 24, stay: float = 0.0) -> DataFrame:

@@ -524,3 +524,33 @@ def test_lockstep_keeps_to_blocks_and_tells_pairs_in_pieces(spark, monkeypatch):
     table = pa.table({"g": ["x"] * 300, "n": [i % 20 for i in range(300)], "t": [i * 1_000_000 for i in range(300)], "m": [15] * 300})
     pieces = list(graph._near(30, 1, 0.0)(table, None))
     assert len(pieces) > 4 and pa.Table.from_batches(pieces).num_rows == 190
+
+
+def test_labels_keep_nodes_not_arcs_in_memory(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    monkeypatch.setattr(graph, "CHUNK", 2000, raising=False)
+    pairs = np.unique(np.sort(rng.integers(0, 900, (150_000, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    a, b, w = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]]), np.tile(rng.integers(1, 4, len(pairs)), 2).astype(float)
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    tracemalloc.start()
+    arcs = graph._Arcs()
+    for i in range(0, len(a), 1500):
+        arcs.add(a[i : i + 1500], b[i : i + 1500], w[i : i + 1500])
+    names, labels = arcs.labels(3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000 < 16 * len(a)  # 900 nodes, over 200,000 arcs
+    want = list(range(900))
+    edge = np.searchsorted(a, np.arange(901))
+    for _ in range(3):
+        for n in range(900):
+            weight = Counter()
+            for m, x in zip(b[edge[n] : edge[n + 1]].tolist(), w[edge[n] : edge[n + 1]].tolist()):
+                weight[want[m]] += x
+            want[n] = min(weight, key=lambda x: (-weight[x], x))
+    assert names.tolist() == list(range(900)) and labels.tolist() == want
+    found = graph.label_propagation(spark.createDataFrame([("g", 1, 2, 1.0), ("h", 1, 2, 1.0), (None, 5, 6, 1.0), ("g", None, 2, 9.0)], "g string, a long, b long, weight double"), "g")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # which takes a group whole
+    assert {(r.group, r.node) for r in found.collect()} == {("g", 1), ("g", 2), ("h", 1), ("h", 2), (None, 5), (None, 6)}
