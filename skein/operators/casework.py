@@ -255,16 +255,17 @@ def reflect(docs: DataFrame, queries: DataFrame, k: int = 10, attempt: int = 5,
     """Rankings after one look back: the query takes on the most frequent new words of its first ``attempt`` documents.
 
     Words are drawn from found documents only; ties go to the lesser word. Queries that find nothing stay as they are.
+    Documents are scored in the tasks that read them, once a search; pairs of a query and a document are no rows.
     """
     docs = settle(docs.select("doc_id", "tokens"))
-    tried = settle(retrieval.bm25_made(docs, queries, attempt).select("query_id", "doc_id"))
+    tried = settle(retrieval.bm25_met(docs, queries, attempt).select("query_id", "doc_id"))
     words = tried.join(docs.select("doc_id", "tokens"), "doc_id").select("query_id", F.explode("tokens").alias("w"))
     own = queries.select("query_id", F.explode("tokens").alias("w"))
     counts = words.join(own, ["query_id", "w"], "left_anti").groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "w"))
     more = counts.withColumn("_r", place).where(F.col("_r") <= terms).groupBy("query_id").agg(F.collect_list("w").alias("more"))
     wider = queries.join(more, "query_id", "left").select("query_id", F.when(F.col("more").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "more")).alias("tokens"))
-    return retrieval.bm25_made(docs, wider, k)
+    return retrieval.bm25_met(docs, wider, k)
 
 
 def skill_chains(requests: DataFrame, skills: DataFrame) -> DataFrame:

@@ -554,3 +554,22 @@ def test_labels_keep_nodes_not_arcs_in_memory(spark, monkeypatch):
     found = graph.label_propagation(spark.createDataFrame([("g", 1, 2, 1.0), ("h", 1, 2, 1.0), (None, 5, 6, 1.0), ("g", None, 2, 9.0)], "g string, a long, b long, weight double"), "g")
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # which takes a group whole
     assert {(r.group, r.node) for r in found.collect()} == {("g", 1), ("g", 2), ("h", 1), ("h", 2), (None, 5), (None, 6)}
+
+
+def test_a_second_search_makes_no_rows_of_pairs(spark):
+    rng = random.Random(25)
+    texts = [(i, [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(1, 30))]) for i in range(1200)]
+    asked = [(q, [f"w{rng.randrange(30)}" for _ in range(4)]) for q in range(40)]
+    docs, queries = spark.createDataFrame(texts, "doc_id long, tokens array<string>").repartition(4).cache(), spark.createDataFrame(asked, "query_id long, tokens array<string>").cache()
+    docs.count(), queries.count()
+    got, n = shuffled(spark, lambda: casework.reflect(docs, queries, 10, 5, 4).collect())
+    assert n < 12_000  # most of the 48,000 pairs share a word
+    best: dict = {}
+    for r in retrieval.bm25(docs, queries, 5).collect():
+        best.setdefault(r.query_id, set()).add(r.doc_id)
+    wider = []
+    for q, words in asked:
+        counts = Counter(w for i, t in texts if i in best.get(q, ()) for w in t if w not in words)
+        wider.append((q, words + sorted(counts, key=lambda w: (-counts[w], w))[:4]))
+    want = retrieval.bm25(docs, spark.createDataFrame(wider, queries.schema), 10).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in got) == sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in want)
